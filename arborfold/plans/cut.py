@@ -34,11 +34,11 @@ class Cut:
         self._n = 0
         self._paths: dict[int, str] = {}
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         """df as a written table; it survives the loss of any executor."""
         self._n += 1
         path = f"{self.base}/{self._n}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").parquet(path, partitionBy=partition_by)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
         return out

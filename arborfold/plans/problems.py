@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborfold.operators import intervals, percentiles, skew
+from arborfold.operators import hierarchy, intervals, percentiles, skew
 from arborfold.sources.tables import table
 
 PROBABILITIES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
@@ -14,6 +14,45 @@ BITS = 9
 MEASURES = ("duration_ms", "bytes_transferred")
 
 
+def _forest(spark: SparkSession, folder: str, hashed: bool) -> tuple[DataFrame, DataFrame]:
+    """Links and root entries; by 64-bit keys where only numbers are needed and no two ids share a key."""
+    links = table(spark, folder, "tree_parents").select(F.col("child_id").alias("c"), F.col("parent_id").alias("p")).dropna()
+    roots = table(spark, folder, "entries").where("is_root").select(F.col("id").alias("n"))
+    if hashed:
+        links = links.select(hierarchy.keyed(F.col("c")).alias("c"), hierarchy.keyed(F.col("p")).alias("p"))
+        roots = roots.select(hierarchy.keyed(F.col("n")).alias("n"))
+    return links, roots
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries on cycles, and entries whose height is not the length of the longest way up to a root."""
+    links_raw, entries_raw = table(spark, folder, "tree_parents"), table(spark, folder, "entries")
+    hashed = not hierarchy.keys_collide(links_raw.select("child_id"), links_raw.select("parent_id"), entries_raw.select("id"))
+    key = hierarchy.keyed if hashed else (lambda c: c)
+    links, roots = _forest(spark, folder, hashed)
+    found = hierarchy.values(links, roots)
+    entries = entries_raw.where("height is not null").groupBy(key(F.col("id")).alias("n")).agg(F.max("id").alias("entry_id"), F.max("height").alias("height"))
+    heights = entries.join(found.where("not bad and not cyclic"), "n").where("depth <> height").select("entry_id", F.lit("height").alias("problem"))
+    looped = hierarchy.on_cycles(links, found)
+    names = links_raw.select(key(F.col("child_id")).alias("n"), F.col("child_id").alias("entry_id"))
+    cycles = names.join(looped, "n").select("entry_id", F.lit("cycle").alias("problem")).distinct()
+    return heights.unionByName(cycles)
+
+
+def p1_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
+    """Every entry or linked id: its path from the root, depth, root, and whether a way up fails or runs into a cycle."""
+    links, roots = _forest(spark, folder, hashed=False)
+    found = hierarchy.values(links, roots, "path")
+    return found.select(F.col("n").alias("entry_id"), F.substring_index("path", hierarchy.SEP, 1).alias("root_id"), "depth", "path", "bad", "cyclic")
+
+
+def p1_descendants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every (ancestor, descendant) pair of entries that no cycle is above."""
+    links, roots = _forest(spark, folder, hashed=False)
+    found = hierarchy.values(links, roots, "ancestors")
+    return found.select(F.explode("ancestors").alias("entry_id"), F.col("n").alias("descendant_id"))
+
+
 def p2_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Percentiles of every peer, put together from the summaries of single days."""
     rows = table(spark, folder, "sync_history").withColumn("day", F.to_date("started_at"))
@@ -62,7 +101,7 @@ def p5_periods(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("peer_pubkey", F.col("period_start").alias("period_start_us"), F.col("period_end").alias("period_end_us"))
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_percentiles_exact, p2_daily_summary, p4_per_tree, p4_per_store, p5_found, p5_periods)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p2_percentiles, p2_percentiles_exact, p2_daily_summary, p4_per_tree, p4_per_store, p5_found, p5_periods)}
 
 _UNPIVOTED = """
     select peer_pubkey, cast(started_at as date) as day, 'duration_ms' as measure, duration_ms as v from sync_history
@@ -92,7 +131,39 @@ def _percentile_sql(source: str) -> str:
 _COUNTED = "select peer_pubkey, started_at as a, completed_at as b from sync_history where peer_pubkey is not null and completed_at > started_at"
 _REACHED = f"select *, max(b) over (partition by peer_pubkey order by a, b rows between unbounded preceding and 1 preceding) as reach from ({_COUNTED})"
 
+_LINKS = "select distinct child_id as c, parent_id as p from tree_parents where child_id is not null and parent_id is not null"
+_CYCLIC = f"""
+    links as materialized ({_LINKS}),
+    up(n, a) as (select c, p from links union select up.n, links.p from up join links on links.c = up.a),
+    looped as materialized (select distinct n from up where n = a),
+    cyclic as materialized (select n from looped union select up.n from up join looped on looped.n = up.a)"""
+
 SQL = {
+    "p1_found": f"""
+        with recursive {_CYCLIC},
+        roots as (select distinct id from entries where is_root),
+        tops as (select p as n from links where p not in (select c from links) union select id from roots where id not in (select c from links)),
+        ways(n, top, d) as (select n, n, 0 from tops union
+                            select c, top, d + 1 from ways join links on links.p = ways.n where c not in (select n from cyclic)),
+        depths as (select n, max(d) as depth, bool_or(top not in (select id from roots)) as bad from ways group by n)
+        select entry_id, 'height' as problem
+        from (select id as entry_id, max(height) as height from entries where height is not null group by id) join depths on n = entry_id
+        where not bad and depth <> height
+        union all select n, 'cycle' from looped""",
+    "p1_hierarchy": f"""
+        with recursive {_CYCLIC},
+        roots as (select distinct id from entries where is_root),
+        tops as (select p as n from links where p not in (select c from links) union select id from roots where id not in (select c from links)),
+        ways(n, path, d) as (select n, n, 0 from tops union
+                             select c, path || '/' || c, d + 1 from ways join links on links.p = ways.n where c not in (select n from cyclic)),
+        best as (select n, max(d) as depth, bool_or(split_part(path, '/', 1) not in (select id from roots)) as bad,
+                        (array_agg(path order by d desc, path))[1] as path from ways group by n)
+        select n as entry_id, split_part(path, '/', 1) as root_id, depth, path, bad, false as cyclic
+        from best where n in (select c from links) or n in (select id from roots)
+        union all select n, null, null, null, null, true from cyclic""",
+    "p1_descendants": f"""
+        with recursive {_CYCLIC}
+        select distinct a as entry_id, n as descendant_id from up where n not in (select n from cyclic)""",
     "p2_percentiles": _percentile_sql(_BUCKETED),
     "p2_percentiles_exact": _percentile_sql(f"select peer_pubkey, measure, v as value from ({_UNPIVOTED}) where v is not null"),
     "p2_daily_summary": f"select day, peer_pubkey, measure, value, count(*) as n from ({_BUCKETED}) group by all",
