@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborfold.operators import hierarchy, intervals, percentiles, skew
+from arborfold.operators import hierarchy, intervals, percentiles, references, skew
 from arborfold.sources.tables import table
 
 PROBABILITIES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
@@ -74,6 +74,33 @@ def p2_daily_summary(spark: SparkSession, folder: str) -> DataFrame:
     return percentiles.value_counts(rows, ["day", "peer_pubkey"], {m: F.col(m) for m in MEASURES}, BITS)
 
 
+def _orphans(spark: SparkSession, folder: str) -> DataFrame:
+    links = table(spark, folder, "tree_parents").where("parent_id is not null")
+    by_link = links.groupBy("child_id", "parent_id").agg(F.min("recorded_at").alias("at"), F.max("tree_id").alias("tree_id"))
+    from_links = by_link.select(F.lit("tree_parents").alias("ref_table"), F.col("child_id").alias("ref_id"), F.col("parent_id").alias("target_id"), "at", "tree_id")
+    rows = table(spark, folder, "entries")
+    targets = rows.groupBy("id").agg(F.min("received_at").alias("first_at"), F.max(F.col("deleted_at").isNotNull()).alias("deleted"), F.max("tree_id").alias("tree_id"))
+    from_entries = targets.where("tree_id is not null").select(F.lit("entries").alias("ref_table"), F.col("id").alias("ref_id"), F.col("tree_id").alias("target_id"), F.col("first_at").alias("at"), "tree_id")
+    refs = from_links.unionByName(from_entries)
+    return references.orphans(refs, targets, F.coalesce("tree_id", "ref_id")).withColumn("period", F.date_format("at", "yyyy-MM"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Direct orphan references: missing, deleted or late targets."""
+    found = _orphans(spark, folder).where("kind = 'direct'")
+    return found.select("ref_table", "ref_id", F.col("target_id").alias("missing_id"), "reason", "period")
+
+
+def p3_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    """Every orphan reference, direct or inherited."""
+    return _orphans(spark, folder).select("ref_table", "ref_id", "target_id", "reason", "kind", "period")
+
+
+def p3_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Orphan references per table, month, kind and reason."""
+    return _orphans(spark, folder).groupBy("ref_table", "period", "kind", "reason").agg(F.count(F.lit(1)).alias("n_refs"), F.count_distinct("target_id").alias("n_targets"))
+
+
 def p4_per_tree(spark: SparkSession, folder: str) -> DataFrame:
     """Rows, distinct entries, greatest height and last arrival of every tree."""
     rows = table(spark, folder, "entries")
@@ -101,7 +128,7 @@ def p5_periods(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("peer_pubkey", F.col("period_start").alias("period_start_us"), F.col("period_end").alias("period_end_us"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p2_percentiles, p2_percentiles_exact, p2_daily_summary, p4_per_tree, p4_per_store, p5_found, p5_periods)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p2_percentiles, p2_percentiles_exact, p2_daily_summary, p3_found, p3_cascade, p3_report, p4_per_tree, p4_per_store, p5_found, p5_periods)}
 
 _UNPIVOTED = """
     select peer_pubkey, cast(started_at as date) as day, 'duration_ms' as measure, duration_ms as v from sync_history
@@ -128,6 +155,16 @@ def _percentile_sql(source: str) -> str:
     return _RANKED.format(columns=columns, source=source)
 
 
+_ORPHANS = """
+    with recursive targets as (select id, min(received_at) as first_at, bool_or(deleted_at is not null) as deleted, max(tree_id) as tree_id from entries group by id),
+    refs as (select 'tree_parents' as ref_table, child_id as ref_id, parent_id as target_id, min(recorded_at) as made from tree_parents where parent_id is not null group by child_id, parent_id
+             union all select 'entries', id, tree_id, first_at from targets where tree_id is not null),
+    judged as materialized (select refs.*, case when id is null then 'missing' when deleted then 'deleted' when first_at > made then 'late' end as reason from refs left join targets on target_id = id),
+    tainted(n) as (select ref_id from judged where reason in ('missing', 'deleted')
+                   union select ref_id from judged join tainted on target_id = n),
+    every as (select ref_table, ref_id, target_id, reason, 'direct' as kind, strftime(made, '%Y-%m') as period from judged where reason is not null
+              union all select ref_table, ref_id, target_id, 'inherited', 'inherited', strftime(made, '%Y-%m') from judged where reason is null and target_id in (select n from tainted))"""
+
 _COUNTED = "select peer_pubkey, started_at as a, completed_at as b from sync_history where peer_pubkey is not null and completed_at > started_at"
 _REACHED = f"select *, max(b) over (partition by peer_pubkey order by a, b rows between unbounded preceding and 1 preceding) as reach from ({_COUNTED})"
 
@@ -167,6 +204,9 @@ SQL = {
     "p2_percentiles": _percentile_sql(_BUCKETED),
     "p2_percentiles_exact": _percentile_sql(f"select peer_pubkey, measure, v as value from ({_UNPIVOTED}) where v is not null"),
     "p2_daily_summary": f"select day, peer_pubkey, measure, value, count(*) as n from ({_BUCKETED}) group by all",
+    "p3_found": f"{_ORPHANS} select ref_table, ref_id, target_id as missing_id, reason, period from every where kind = 'direct'",
+    "p3_cascade": f"{_ORPHANS} select * from every",
+    "p3_report": f"{_ORPHANS} select ref_table, period, kind, reason, count(*) as n_refs, count(distinct target_id) as n_targets from every group by all",
     "p4_per_tree": """
         select tree_id, count(*) as n_rows, count(distinct id) as n_distinct, min(id) as first_2nd, max(id) as last_2nd,
                max(height) as max_height, max(epoch_us(received_at)) as last_received_us
