@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborfold.llm import leaks, packing, textform
+from arborfold.plans.cut import Cut
 from arborfold.sources.tables import table
 
 
@@ -45,7 +46,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "documents").where("text is not null").select("doc_id", "text")
     forms = rows.select("doc_id", F.md5("text").alias("text_key"), textform.consistent(F.col("text")).alias("form"))
     keyed = forms.where(F.trim(F.regexp_replace("form", r"[\s\p{Z}\p{Cc}]+", "")) != "").select("doc_id", "text_key", F.md5("form").alias("form_key"))
-    return textform.look_alike_pairs(keyed)
+    return textform.look_alike_pairs(Cut(spark).write(keyed))
 
 
 QUERIES = {f.__name__: f for f in (p6_containers, p6_fill, p7_found, p7_leaks, p8_found, p8_consistent)}

@@ -43,7 +43,7 @@ FILLERS = (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B
 SHOWN = (*range(0x0600, 0x0606), 0x06DD, 0x070F, 0x0890, 0x0891, 0x08E2, 0x110BD, 0x110CD)
 
 LIMIT = 0x110000
-CHUNK = 2_000_000
+CHUNK = 500_000
 #: Decompositions that only tell how a character is drawn: widths, and shapes of joined letters.
 _SHAPES = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>")
 _KEEP, _ONE, _NONE, _MANY, _MARK = 0, 1, 2, 3, 4
