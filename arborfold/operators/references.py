@@ -86,7 +86,7 @@ def orphans(refs: DataFrame, targets: DataFrame, group: Column, block_rows: int
     late target is there by now and passes nothing on. group keeps references that hang together in the same blocks.
     """
     cut = Cut(refs.sparkSession)
-    judged = cut.write(direct(refs.withColumn("_grp", group), targets))
+    judged = cut.write(direct(refs.withColumn("_grp", keyed(group)), targets))
     hashed = not keys_collide(judged.select("ref_id"), judged.select("target_id"))
     key = keyed if hashed else (lambda c: c)
     seeds = judged.where("reason in ('missing', 'deleted') and ref_id is not null").select(key(F.col("ref_id")).alias("n"))

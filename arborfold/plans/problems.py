@@ -76,13 +76,13 @@ def p2_daily_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 def _orphans(spark: SparkSession, folder: str) -> DataFrame:
     links = table(spark, folder, "tree_parents").where("parent_id is not null")
-    by_link = links.groupBy("child_id", "parent_id").agg(F.min("recorded_at").alias("at"), F.max("tree_id").alias("tree_id"))
-    from_links = by_link.select(F.lit("tree_parents").alias("ref_table"), F.col("child_id").alias("ref_id"), F.col("parent_id").alias("target_id"), "at", "tree_id")
+    by_link = links.groupBy("child_id", "parent_id").agg(F.min("recorded_at").alias("at"), F.max(hierarchy.keyed(F.col("tree_id"))).alias("grp"))
+    from_links = by_link.select(F.lit("tree_parents").alias("ref_table"), F.col("child_id").alias("ref_id"), F.col("parent_id").alias("target_id"), "at", "grp")
     rows = table(spark, folder, "entries")
     targets = rows.groupBy("id").agg(F.min("received_at").alias("first_at"), F.max(F.col("deleted_at").isNotNull()).alias("deleted"), F.max("tree_id").alias("tree_id"))
-    from_entries = targets.where("tree_id is not null").select(F.lit("entries").alias("ref_table"), F.col("id").alias("ref_id"), F.col("tree_id").alias("target_id"), F.col("first_at").alias("at"), "tree_id")
+    from_entries = targets.where("tree_id is not null").select(F.lit("entries").alias("ref_table"), F.col("id").alias("ref_id"), F.col("tree_id").alias("target_id"), F.col("first_at").alias("at"), hierarchy.keyed(F.col("tree_id")).alias("grp"))
     refs = from_links.unionByName(from_entries)
-    return references.orphans(refs, targets, F.coalesce("tree_id", "ref_id")).withColumn("period", F.date_format("at", "yyyy-MM"))
+    return references.orphans(refs, targets.drop("tree_id"), F.col("grp")).drop("grp").withColumn("period", F.date_format("at", "yyyy-MM"))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
