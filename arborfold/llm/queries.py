@@ -61,7 +61,13 @@ _FORM = rf"""nfc_normalize(translate(translate(replace(replace(replace(replace(r
     'ﬃ', 'ffi'), 'ﬄ', 'ffl'), 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'),
     '{_WIDE.replace("'", "''")}‐‑', '{_NARROW.replace("'", "''")}--'), '{_FROM}', '{_TO}'))"""
 
+#: Every run of twelve words, for documents and items.
+_RUNS = "select {id}, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) as run from (select {id}, regexp_extract_all(lower(form), '[\\p{{L}}\\p{{N}}]+') as w from (select {id}, {form} as form from {table} where text is not null))"
+
 SQL = {
+    "p7_found": f"""
+        with d as materialized (select distinct * from ({_RUNS.format(id="doc_id", form=_FORM, table="documents")})), i as materialized (select distinct * from ({_RUNS.format(id="item_id", form=_FORM, table="eval_items")}))
+        select distinct doc_id, item_id from d join i using (run)""",
     "p8_found": f"""
         with forms as materialized (select doc_id, text, {_FORM} as form from documents where text is not null)
         select a.doc_id as doc_id_a, b.doc_id as doc_id_b from forms a join forms b on a.form = b.form and a.doc_id < b.doc_id and a.text <> b.text
