@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arborfold.operators.hierarchy import values
 from arborfold.operators.references import cascade
 
 
@@ -187,32 +188,12 @@ def lowest_dominator(links: Iterator[tuple[str, str]], wanted: list[str]) -> str
 def timestamp_heights(entries: DataFrame, edges: DataFrame) -> DataFrame:
     """tree_id, entry_id, height: the larger of the entry's time (ms) and one more than its highest parent.
 
-    One task handles one tree's links; entries has (tree_id, entry_id, ms).
+    entries has (tree_id, entry_id, ms). Parents that are not here do not count; entries on or below a cycle have none.
     """
-
-    def heights(nodes: pa.Table, links: pa.Table) -> pa.Table:
-        ms = dict(zip(nodes["entry_id"].to_pylist(), nodes["ms"].to_pylist()))
-        up: dict = {}
-        kids: dict = {}
-        for c, p in set(zip(links["child_id"].to_pylist(), links["parent_id"].to_pylist())):
-            if p in ms and c in ms:
-                up.setdefault(c, []).append(p)
-                kids.setdefault(p, []).append(c)
-        left = {n: len(up.get(n, ())) for n in ms}
-        ready = [n for n in ms if not left[n]]
-        out: dict = {}
-        while ready:
-            n = ready.pop()
-            out[n] = max([ms[n], *(out[p] + 1 for p in up.get(n, ()))])
-            for c in kids.get(n, ()):
-                left[c] -= 1
-                if not left[c]:
-                    ready.append(c)
-        tree = nodes["tree_id"].to_pylist()[:1] * len(out)
-        return pa.table({"tree_id": pa.array(tree, pa.string()), "entry_id": pa.array(list(out), pa.string()), "height": pa.array(list(out.values()), pa.int64())})
-
-    left = entries.select(F.col("tree_id").alias("tree_id"), "entry_id", "ms").groupBy("tree_id")
-    return left.cogroup(edges.select(F.col("tree_id").alias("tree_id"), "child_id", "parent_id").groupBy("tree_id")).applyInArrow(heights, "tree_id string, entry_id string, height bigint")
+    ms = entries.select(F.col("entry_id").alias("c"), F.col("ms").alias("m"))
+    here = edges.select(F.col("child_id").alias("c"), F.col("parent_id").alias("p")).join(entries.select(F.col("entry_id").alias("p")), "p", "left_semi")
+    found = values(here.join(ms, "c"), ms.withColumnRenamed("c", "n"), "floor")
+    return found.join(entries.select("tree_id", F.col("entry_id").alias("n")), "n").select("tree_id", F.col("n").alias("entry_id"), F.col("floor").alias("height"))
 
 
 def canonical_snapshot(tips: Column) -> Column:

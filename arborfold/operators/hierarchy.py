@@ -30,14 +30,19 @@ IDLE_ROUNDS = 4
 SEP = "/"
 
 
+#: The column of a link that carries a payload.
+_EXTRA = {"path": ["seg"], "ancestors": ["between"], "floor": ["m"], None: []}
+_TYPE = {"path": "string", "ancestors": "array<string>", "floor": "bigint"}
+
+
 def _coin(node: Column, turn: int) -> Column:
     return F.xxhash64(node, F.lit(turn)).bitwiseAND(F.lit(1)) == 1
 
 
 def _round(links: DataFrame, turn: int, payload: str | None) -> DataFrame:
     """links (c, p, w[, seg | between]) after one round, with _gone for the recorded ones."""
-    extra = {"path": ["seg"], "ancestors": ["between"], None: []}[payload]
-    null = {"seg": F.lit(None).cast("string"), "between": F.lit(None).cast("array<string>")}
+    extra = _EXTRA[payload]
+    null = {"seg": F.lit(None).cast("string"), "between": F.lit(None).cast("array<string>"), "m": F.lit(None).cast("bigint")}
     as_child = links.select(F.col("c").alias("n"), "p", "w", *extra, F.lit(0).alias("kids"))
     as_parent = links.select(F.col("p").alias("n"), F.lit(None).cast(links.schema["p"].dataType).alias("p"), F.lit(None).cast("bigint").alias("w"), *[null[e].alias(e) for e in extra], F.lit(1).alias("kids"))
     if payload == "path":
@@ -47,7 +52,8 @@ def _round(links: DataFrame, turn: int, payload: str | None) -> DataFrame:
         best = [F.max("w").alias("mw"), F.array_distinct(F.flatten(F.collect_list("between"))).alias("mb")]
         up_w, up = F.col("mw"), [F.col("mb").alias("u_between")]
     else:
-        best, up_w, up = [F.max("w").alias("mw")], F.col("mw"), []
+        best = [F.max("w").alias("mw"), *([F.max("m").alias("mm")] if payload else [])]
+        up_w, up = F.col("mw"), [F.col("mm").alias("u_m")] if payload else []
     nodes = as_child.unionAll(as_parent).groupBy("n").agg(F.min("p").alias("p0"), F.max("p").alias("p1"), F.sum("kids").alias("kids"), *best)
     splice = (F.col("p0") == F.col("p1")) & (F.col("kids") > 0) & (F.col("n") != F.col("p0")) & _coin(F.col("n"), turn) & ~_coin(F.col("p0"), turn) & up_w.isNotNull()
     mark = nodes.select(F.col("n").alias("mark_n"), ((F.col("kids") == 0) | F.coalesce(splice, F.lit(False))).alias("_gone"))
@@ -58,6 +64,8 @@ def _round(links: DataFrame, turn: int, payload: str | None) -> DataFrame:
     columns = ["c", F.coalesce("u_p", "p").alias("p"), (F.col("w") + F.coalesce("u_w", F.lit(0))).alias("w")]
     if payload == "path":
         columns.append(F.when(on, F.concat("u_seg", "u_n", F.lit(SEP), "seg")).otherwise(F.col("seg")).alias("seg"))
+    if payload == "floor":
+        columns.append(F.greatest("m", F.col("u_m") + F.col("w")).alias("m"))
     if payload == "ancestors":
         columns.append(F.when(on, F.array_distinct(F.concat("u_between", F.array("u_n"), "between"))).otherwise(F.col("between")).alias("between"))
     return moved.select(*columns, "_gone")
@@ -68,17 +76,19 @@ def _solve(rows: list[tuple], payload: str | None) -> Iterator[tuple]:
     parents: dict = {}
     kids: dict = {}
     ok: set = set()
-    for c, p, w, root_ok, extra in rows:
+    floor: dict = {}
+    for c, p, w, root_ok, root_m, extra in rows:
         parents.setdefault(c, []).append((p, w, extra))
         kids.setdefault(p, []).append(c)
         if root_ok:
             ok.add(p)
+            floor[p] = root_m
     left = {n: len(x) for n, x in parents.items()}
     value: dict = {}
     ready = []
     for p in kids:
         if p not in parents:
-            value[p] = (0, p not in ok, str(p) if payload == "path" else [] if payload else None)
+            value[p] = (0, p not in ok, {"path": str(p), "ancestors": [], "floor": floor.get(p)}.get(payload))
             ready.append(p)
     while ready:
         n = ready.pop()
@@ -94,6 +104,8 @@ def _solve(rows: list[tuple], payload: str | None) -> Iterator[tuple]:
                 more = min(v[2] + SEP + extra + str(c) for v, _, w, extra in ways if v[0] + w == depth)
             elif payload == "ancestors":
                 more = list(dict.fromkeys(a for v, p, _, extra in ways for a in (*v[2], p, *extra)))
+            elif payload == "floor":
+                more = max((x for v, _, w, extra in ways for x in (extra, None if v[2] is None else v[2] + w) if x is not None), default=None)
             value[c] = (depth, bad, more)
             ready.append(c)
     for n in parents:
@@ -106,23 +118,25 @@ def _one_task(df: DataFrame) -> DataFrame:
 
 
 def values(links: DataFrame, roots: DataFrame, payload: str | None = None, core_links: int = CORE_LINKS) -> DataFrame:
-    """The value of every node: n, depth, bad, cyclic[, path | ancestors]; a union of written tables.
+    """The value of every node: n, depth, bad, cyclic[, path | ancestors | floor]; a union of written tables.
 
     links has (c, p), of any one key type (strings for a payload); repeated links change nothing, rows with a null do
     not count. roots has (n), the keys of root entries. Nodes with links upwards have a value, and so have roots without
     any. bad: some way up ends at a node that is not a root. cyclic: some way up runs into a cycle; depth, bad and payload
-    are then null. payload "path": ids from the root to the node, joined by "/"; "ancestors": an array of all of them.
+    are then null. payload "path": ids from the root to the node, joined by "/"; "ancestors": an array of all of them;
+    "floor": the larger of the node's own number (m, a column of links for the child and of roots) and one more than the
+    largest floor of its parents, where parents without links or number do not count.
     """
     spark = links.sparkSession
     cut = Cut(spark)
     key = links.schema["c"].dataType
-    live = links.where(F.col("c").isNotNull() & F.col("p").isNotNull()).select("c", "p", F.lit(1).cast("bigint").alias("w"))
+    live = links.where(F.col("c").isNotNull() & F.col("p").isNotNull()).select("c", "p", F.lit(1).cast("bigint").alias("w"), *(["m"] if payload == "floor" else []))
     if payload == "path":
         live = live.withColumn("seg", F.lit(""))
     if payload == "ancestors":
         live = live.withColumn("between", F.array().cast("array<string>"))
     live = cut.write(live)
-    top = roots.select("n").distinct().join(live.select(F.col("c").alias("n")), "n", "left_anti")
+    top = roots.groupBy("n").agg((F.max("m") if payload == "floor" else F.lit(None)).cast("bigint").alias("m")).where("n is not null").join(live.select(F.col("c").alias("n")), "n", "left_anti")
     top = cut.write(top)
 
     count, turn, idle, records = live.count(), 0, 0, []
@@ -132,8 +146,8 @@ def values(links: DataFrame, roots: DataFrame, payload: str | None = None, core_
         live, turn = done.where("not _gone").drop("_gone"), turn + 1
         left = live.count()
         idle, count = idle + 1 if left == count else 0, left
-    more_type = {"path": "string", "ancestors": "array<string>", None: None}[payload]
-    schema = f"n {key.simpleString()}, depth bigint, bad boolean, cyclic boolean" + (f", {payload} {more_type}" if payload else "")
+    schema = f"n {key.simpleString()}, depth bigint, bad boolean, cyclic boolean" + (f", {payload} {_TYPE[payload]}" if payload else "")
+    more_type = {"path": pa.string(), "ancestors": pa.list_(pa.string()), "floor": pa.int64()}.get(payload)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
@@ -141,14 +155,15 @@ def values(links: DataFrame, roots: DataFrame, payload: str | None = None, core_
         size = 20_000
         for i in range(0, len(out), size):
             part = list(zip(*out[i : i + size]))[: 5 if payload else 4]
-            types = [pa.string() if key.simpleString() == "string" else pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string() if payload == "path" else pa.list_(pa.string())]
+            types = [pa.string() if key.simpleString() == "string" else pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), more_type]
             names = ["n", "depth", "bad", "cyclic", payload]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(part, types)], names[: len(part)])
 
-    flagged = live.join(top.select(F.col("n").alias("p"), F.lit(True).alias("ok")), "p", "left")
-    extra = F.col("seg") if payload == "path" else F.col("between") if payload else F.lit(None).cast("string")
-    core = _one_task(flagged.select("c", "p", "w", F.coalesce("ok", F.lit(False)).alias("ok"), extra.alias("extra"))).mapInArrow(solve, schema)
-    start = top.select("n", F.lit(0).cast("bigint").alias("depth"), F.lit(False).alias("bad"), F.lit(False).alias("cyclic"), *([F.col("n").alias("path")] if payload == "path" else [F.array().cast("array<string>").alias("ancestors")] if payload else []))
+    flagged = live.join(top.select(F.col("n").alias("p"), F.col("m").alias("root_m"), F.lit(True).alias("ok")), "p", "left")
+    extra = F.col(_EXTRA[payload][0]) if payload else F.lit(None).cast("string")
+    core = _one_task(flagged.select("c", "p", "w", F.coalesce("ok", F.lit(False)).alias("ok"), "root_m", extra.alias("extra"))).mapInArrow(solve, schema)
+    own = {"path": F.col("n"), "ancestors": F.array().cast("array<string>"), "floor": F.col("m")}.get(payload)
+    start = top.select("n", F.lit(0).cast("bigint").alias("depth"), F.lit(False).alias("bad"), F.lit(False).alias("cyclic"), *([own.alias(payload)] if payload else []))
     solved = cut.write(core)
     parts = [solved, start]
     for record in reversed(records):
@@ -169,9 +184,11 @@ def _replay(record: DataFrame, known: DataFrame, payload: str | None) -> DataFra
     if payload == "ancestors":
         whole = F.concat(F.coalesce("p_more", F.array().cast("array<string>")), F.array("p"), "between")
         out.append(F.array_distinct(F.flatten(F.collect_list(whole))).alias("more"))
+    if payload == "floor":
+        out.append(F.max(F.greatest("m", F.col("p_more") + F.col("w"))).alias("more"))
     values_ = joined.groupBy(F.col("c").alias("n")).agg(*out)
     clean = [F.when(~F.col("cyclic"), F.col(c)).alias(c) for c in ("depth", "bad")]
-    more = {"path": [F.when(~F.col("cyclic"), F.col("more.path")).alias("path")] if payload == "path" else [], "ancestors": [F.when(~F.col("cyclic"), F.col("more")).alias("ancestors")] if payload == "ancestors" else []}.get(payload, [])
+    more = [F.when(~F.col("cyclic"), F.col("more.path" if payload == "path" else "more")).alias(payload)] if payload else []
     return values_.select("n", *clean, "cyclic", *more)
 
 

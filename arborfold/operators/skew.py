@@ -7,9 +7,14 @@ sees; the states of one key in neighbouring partitions are then stitched in part
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborfold.plans.cut import Cut
+
 
 def per_key_states(df: DataFrame, key: str, secondary: str, measures: dict[str, Column]) -> DataFrame:
     """Partial states (_key, _part, n_rows, n_distinct, first_2nd, last_2nd and one column per measure).
@@ -50,3 +55,21 @@ def per_key(df: DataFrame, key: str, secondary: str, measures: dict[str, Column]
         F.max("last_2nd").alias("last_2nd"),
         *[F.max(m).alias(m) for m in measures],
     )
+
+
+def positions(df: DataFrame, within: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """df with position, from 1 on, in the given order within each group (no group columns: over all rows).
+
+    Rows are range-partitioned on (group, order); each partition numbers its own rows and adds how many rows of the group
+    the partitions before it have, so a large group is numbered by many tasks. Ties have any order among themselves.
+    """
+    keys = [*within]
+    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    placed = Cut(df.sparkSession).write(ranged.withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_part") == F.col("_p"))
+    here = Window.partitionBy(*keys, "_part").orderBy(*order)
+    numbered = placed.withColumn("_row", F.row_number().over(here)).join(offsets, same)
+    return numbered.select(*df.columns, (F.col("_row") + F.col("_before")).alias("position"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborfold.functions.values import position_key
 from arborfold.operators import fold
+from arborfold.operators.skew import positions
 
 
 class KeyNotFound(KeyError):
@@ -107,7 +108,7 @@ class Documents:
         return fold.to_json(self.get_all(), self.keys, depth)
 
 
-def list_items(positions: DataFrame, keys: Sequence[str]) -> DataFrame:
+def list_items(positions_of: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, index, value of live list items: rows (num, den, uid, value, deleted) in the order of their positions."""
-    w = Window.partitionBy(*keys).orderBy(position_key(F.col("num"), F.col("den"), F.col("uid")))
-    return positions.where("not deleted").select(*keys, (F.row_number().over(w) - 1).alias("index"), "value")
+    alive = positions_of.where("not deleted").select(*keys, "value", position_key(F.col("num"), F.col("den"), F.col("uid")).alias("_at"))
+    return positions(alive, keys, ["_at"]).select(*keys, (F.col("position") - 1).alias("index"), "value")

@@ -196,7 +196,7 @@ def g15_ids_added(h: History) -> DataFrame:
     return dag.ids_added(h.edges, _cut(h, 3), _cut(h, 2))
 
 
-@_query(f"""{_up("path", _cut_sql(2), where="where parent_id not in (" + _cut_sql(3) + ")")} select entry_id from path""")
+@_query(f"""{_up("path", _cut_sql(2) + " and entry_id not in (" + _cut_sql(3) + ")", where="where parent_id not in (" + _cut_sql(3) + ")")} select entry_id from path""")
 def g15_ids_added_strict(h: History) -> DataFrame:
     return dag.ids_added(h.edges, _cut(h, 3), _cut(h, 2), strict=True)
 
@@ -227,7 +227,7 @@ def g18_missing_ancestors(h: History) -> DataFrame:
     return dag.missing_ancestors(here, inner, wanted)
 
 
-@_query(f"""{_up("send", "select entry_id from (" + _TIPS + ")", where="where parent_id not in (" + _cut_sql(2) + ")")} select entry_id from send""")
+@_query(f"""{_up("send", "select entry_id from (" + _TIPS + ") where entry_id not in (" + _cut_sql(2) + ")", where="where parent_id not in (" + _cut_sql(2) + ")")} select entry_id from send""")
 def g19_entries_to_send(h: History) -> DataFrame:
     return dag.ancestors(h.edges, dag.tree_tips(h.entries, h.edges), _cut(h, 2))
 

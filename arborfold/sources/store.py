@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from urllib.parse import parse_qsl, urlsplit
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arborfold.operators.skew import positions
+
 FORMAT_VERSION = 1
 
 
@@ -23,8 +25,7 @@ def put(stored: DataFrame, arriving: DataFrame) -> DataFrame:
 
 def ordered(rows: DataFrame, *within: str) -> DataFrame:
     """rows with their position in canonical order (height, then id), from 1, within the given columns."""
-    w = Window.partitionBy(*(within or (F.lit(0),))).orderBy("height", "entry_id")
-    return rows.withColumn("position", F.row_number().over(w))
+    return positions(rows, within, ("height", "entry_id"))
 
 
 def membership(entries: DataFrame, wanted: DataFrame, tree_id: str) -> DataFrame:
