@@ -6,8 +6,10 @@ Merging is associative but neither commutative nor idempotent, so every rule use
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,3 +117,34 @@ def merge_settings(settings: DataFrame, keys: Sequence[str]) -> DataFrame:
 def merge_properties(properties: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """keys, property, value: the last value given for each property."""
     return properties.groupBy(*keys, "property").agg(F.max_by("value", F.struct(*order)).alias("value"))
+
+
+def custom(events: DataFrame, keys: Sequence[str], step: Callable[[Any, dict], Any], result: str = "string") -> DataFrame:
+    """keys and state: a user's own merge, called as step(state, row) for the events of a key in canonical order.
+
+    state is None at first. Rows are sorted within partitions of the keys and read as a stream, so memory holds one state
+    at a time however many events a key has; one key's events are folded by one task, as the merge knows no other order.
+    """
+    types = ", ".join(f"`{k}` {events.schema[k].dataType.simpleString()}" for k in keys)
+    ordered = events.repartition(*keys).sortWithinPartitions(*keys, *ORDER)
+    names = [*keys, "state"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict] = []
+        key, state = None, None
+        for batch in batches:
+            for row in batch.to_pylist():
+                now = tuple(row[k] for k in keys)
+                if key is not None and now != key:
+                    out.append(dict(zip(names, (*key, state))))
+                    state = None
+                key, state = now, step(state, row)
+            schema = pa.schema([*(batch.schema.field(k) for k in keys), ("state", pa.string() if result == "string" else pa.int64())])
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+                out = []
+        if key is not None:
+            out.append(dict(zip(names, (*key, state))))
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return ordered.mapInArrow(run, f"{types}, state {result}")

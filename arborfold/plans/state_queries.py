@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arborfold.functions import paths, values
+from arborfold import streaming
+from arborfold.functions import crypto, paths, values
 from arborfold.operators import fold, tables
+from arborfold.plans.cut import Cut
 from arborfold.sources.tables import table
 
 QUERIES: dict = {}
@@ -348,3 +350,53 @@ def f22_ticket_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     peers = F.array(F.concat(F.lit("http://h:"), F.col("event_id").cast("string"), F.lit("/?a=b").substr(1, 100)), F.lit("iroh:x y"))
     text = F.concat(values.ticket(F.concat("event_type", F.lit("&"), F.col("user_id").cast("string")), peers), F.lit("&unknown=1&pr="))
     return e.select("event_id", values.parse_ticket(text).alias("t")).select("event_id", F.col("t.database").alias("database"), F.array_join("t.peers", ";").alias("peers"))
+
+
+@_query("select event_id, props as opened, true as differs, cast(null as varchar) as wrong_key from events")
+def f19_aes_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    key, other = (crypto.derive_key(p, b"salt of the store") for p in ("secret", "guess"))
+    sealed = table(spark, folder, "events").select("event_id", "props", crypto.encrypt(F.col("props"), key).alias("data"))
+    return sealed.select("event_id", crypto.decrypt(F.col("data"), key).alias("opened"), (F.col("data") != F.encode("props", "utf-8")).alias("differs"), crypto.decrypt(F.col("data"), other).alias("wrong_key"))
+
+
+@_query("select user_id, string_agg(left(event_type, 1), '' order by event_id) as state from events where event_id % 4 = 0 group by user_id")
+def x00_custom_merge(spark: SparkSession, folder: str) -> DataFrame:
+    """A merge that depends on the order: the first letters of a user's events, one after another."""
+    e = table(spark, folder, "events").where("event_id % 4 = 0").select("user_id", "event_type", F.col("event_id").alias("height"), F.col("event_id").cast("string").alias("entry_id"))
+    return fold.custom(e, ["user_id"], lambda state, row: (state or "") + row["event_type"][:1])
+
+
+# ---- streams over the files of the events table ----
+
+def _stream(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{folder}/events.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{folder}/events.parque[t]")  # a pattern may name a file or a folder
+
+
+@_query("select tree_id, entry_id from (select cast(user_id as varchar) as tree_id, event_id as entry_id from events) e where not exists (select 1 from events c where c.user_id = e.tree_id::bigint and (c.event_id - c.event_id % 3 - 3) = e.entry_id and c.event_id % 3 <> 0)")
+def x04_streaming_tips(spark: SparkSession, folder: str) -> DataFrame:
+    """Tips of a graph in which two of three events point to an earlier third, whoever that belongs to."""
+    e, i = _stream(spark, folder), F.col("event_id")
+    parents = F.when(i % 3 != 0, F.array((i - i % 3 - 3).cast("string")))
+    place = Cut(spark).base
+    state = streaming.tips(e.select(F.col("user_id").cast("string").alias("tree_id"), i.cast("string").alias("entry_id"), parents.alias("parents")))
+    streaming.write_state(state, f"{place}/state", f"{place}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{place}/state").where("seen and not has_child").select("tree_id", F.col("entry_id").cast("bigint").alias("entry_id"))
+
+
+@_query("select user_id, event_type, value from (" + _LAST.format(where="") + ")")
+def x05_streaming_fold(spark: SparkSession, folder: str) -> DataFrame:
+    place = Cut(spark).base
+    state = streaming.table_state(_stream(spark, folder), ["user_id"], ["event_type", "value"], ["ts", "event_id"])
+    streaming.write_state(state, f"{place}/state", f"{place}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{place}/state")
+
+
+@_query("select tree_id, count(*) as n from (select distinct cast(user_id as varchar) as tree_id, cast(event_id - event_id % 2 as varchar) as entry_id from events where event_id % 2 = 0) group by 1")
+def x01_streaming_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every second entry arrives twice and is stored once."""
+    e, i = _stream(spark, folder), F.col("event_id")
+    place = Cut(spark).base
+    rows = e.where(i % 2 == 0).select(F.col("user_id").cast("string").alias("tree_id"), F.explode(F.array(i, i).cast("array<string>")).alias("entry_id"))
+    streaming.ingest(rows, f"{place}/entries", f"{place}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{place}/entries").groupBy("tree_id").agg(F.count(F.lit(1)).alias("n"))
