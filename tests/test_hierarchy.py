@@ -100,3 +100,17 @@ def test_long_chain_and_star(spark):
 def test_key_collisions_are_seen(spark):
     ids = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "i string")
     assert not hierarchy.keys_collide(ids, ids)
+
+
+def test_floors_by_contraction(spark):
+    rng = random.Random(3)
+    n = 150
+    ids, own = [f"n{i:03d}" for i in range(n)], [rng.randrange(60) for _ in range(n)]
+    links = [(i, p) for i in range(1, n) if rng.random() > 0.05 for p in {i - 1 if rng.random() < 0.6 else rng.randrange(i) for _ in range(rng.choice([1, 1, 2]))}]
+    want = {}
+    for i in range(n):
+        want[i] = max([own[i], *(want[p] + 1 for c, p in links if c == i)])
+    df = spark.createDataFrame([(ids[c], ids[p], own[c]) for c, p in links] + [("late", "absent", 7)], "c string, p string, m long")
+    roots = spark.createDataFrame(list(zip(ids, own)), "n string, m long")
+    got = {r["n"]: r["floor"] for r in hierarchy.values(df, roots, "floor", core_links=5).collect()}
+    assert got == {**{ids[i]: want[i] for i in range(n)}, "late": 7}
