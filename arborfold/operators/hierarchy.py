@@ -192,21 +192,58 @@ def _replay(record: DataFrame, known: DataFrame, payload: str | None) -> DataFra
     return values_.select("n", *clean, "cyclic", *more)
 
 
-def on_cycles(links: DataFrame, found: DataFrame) -> DataFrame:
-    """n of every node that is its own ancestor: the strongly connected parts among the links between cyclic nodes."""
-    cyclic = found.where("cyclic").select("n")
-    key = links.schema["c"].dataType.simpleString()
-    among = links.select("c", "p").join(cyclic.withColumnRenamed("n", "c"), "c", "left_semi").join(cyclic.withColumnRenamed("n", "p"), "p", "left_semi").select("c", "p")
+def on_cycles(links: DataFrame, found: DataFrame, core_links: int = CORE_LINKS) -> DataFrame:
+    """n of every node that is its own ancestor: the strongly connected parts among the links between cyclic nodes.
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    If these links are too many for one task, nodes that no cycle is below are taken out by a contraction in the other
+    direction, and what is left is divided into its connected components, each of which is solved on its own.
+    """
+    cut = Cut(links.sparkSession)
+    kind = links.schema["c"].dataType.simpleString()
+    arrow = pa.string() if kind == "string" else pa.int64()
+
+    def within(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+        some = nodes.select("n")
+        return rows.join(some.withColumnRenamed("n", "c"), "c", "left_semi").join(some.withColumnRenamed("n", "p"), "p", "left_semi").select("c", "p")
+
+    among = cut.write(within(links.select("c", "p"), found.where("cyclic")))
+
+    def solve(c: list, p: list) -> pa.Array:
         up: dict = {}
-        for b in batches:
-            for c, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                up.setdefault(c, set()).add(p)
-        if out := _strong(up):
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string() if key == "string" else pa.int64())], ["n"])
+        for x, y in zip(c, p):
+            up.setdefault(x, set()).add(y)
+        return pa.array(_strong(up), arrow)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(b.column(0).to_pylist(), b.column(1).to_pylist()) for b in batches]
+        yield pa.RecordBatch.from_arrays([solve([x for c, _ in rows for x in c], [y for _, p in rows for y in p])], ["n"])
 
-    return _one_task(among).mapInArrow(parts, f"n {key}")
+    if among.count() <= core_links:
+        return _one_task(among).mapInArrow(task, f"n {kind}")
+    down = values(among.select(F.col("p").alias("c"), F.col("c").alias("p")), among.select(F.col("c").alias("n")).where("false"), core_links=core_links)
+    core = cut.write(within(among, down.where("cyclic")))
+    part = components(core).withColumnRenamed("n", "c")
+    return core.join(part, "c").groupBy("part").applyInArrow(lambda t: pa.table({"n": solve(t["c"].to_pylist(), t["p"].to_pylist())}), f"n {kind}")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """n and part, the smallest node of its connected component; links (c, p) count in both directions.
+
+    Each round takes the smallest label of the neighbours and then the label of the label, until nothing changes.
+    """
+    cut = Cut(links.sparkSession)
+    both = cut.write(links.select(F.col("c").alias("a"), F.col("p").alias("b")).unionAll(links.select("p", "c")).distinct())
+    labels = cut.write(both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.first("a")).alias("part")))
+    while True:
+        near = both.join(labels, F.col("b") == F.col("n")).groupBy("a").agg(F.min("part").alias("near"))
+        lower = cut.write(labels.join(near, F.col("n") == F.col("a")).select("n", F.least("part", "near").alias("part"), F.col("part").alias("was")))
+        over = lower.select(F.col("n").alias("o"), F.col("part").alias("over"))
+        jumped = cut.write(lower.join(over, F.col("part") == F.col("o")).select("n", F.col("over").alias("part"), "was"))
+        changed = not jumped.where("part <> was").isEmpty()
+        cut.drop(labels, lower)
+        labels = jumped.drop("was")
+        if not changed:
+            return labels
 
 
 def _strong(up: dict) -> list:

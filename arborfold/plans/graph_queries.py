@@ -14,16 +14,22 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def _query(sql: str | None):  # noqa: ANN202
-    """Registers a query that takes the derived history, with its SQL after the history's table expressions."""
+def _query_into(queries: dict, sqls: dict):  # noqa: ANN202
+    """A decorator that registers a query over the derived history, with its SQL after the history's table expressions."""
 
-    def add(f):  # noqa: ANN001, ANN202
-        QUERIES[f.__name__] = lambda spark, folder: f(History(spark, folder))
-        if sql is not None:
-            SQL[f.__name__] = f"with recursive {HISTORY_SQL} {sql}"
-        return f
+    def query(sql: str | None):  # noqa: ANN202
+        def add(f):  # noqa: ANN001, ANN202
+            queries[f.__name__] = lambda spark, folder: f(History(spark, folder))
+            if sql is not None:
+                sqls[f.__name__] = f"with recursive {HISTORY_SQL} {sql}"
+            return f
 
-    return add
+        return add
+
+    return query
+
+
+_query = _query_into(QUERIES, SQL)
 
 
 def _up(name: str, seeds: str, edges: str = "edges", where: str = "") -> str:

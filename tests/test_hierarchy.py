@@ -78,8 +78,9 @@ def test_values_equal_plain_walks(spark, seed, payload):
         if payload == "ancestors" and not cyclic:
             assert len(got[n]["ancestors"]) == len(above) and set(got[n]["ancestors"]) == above
     if payload is None:
-        rows = [r["n"] for r in hierarchy.on_cycles(df, found).collect()]
-        assert len(rows) == len(set(rows)) and set(rows) == looped
+        for bound in (1000, 2):
+            rows = [r["n"] for r in hierarchy.on_cycles(df, found, bound).collect()]
+            assert len(rows) == len(set(rows)) and set(rows) == looped
 
 
 def test_empty_links(spark):

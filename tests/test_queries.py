@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from arborfold.plans import graph_queries, problems, service_queries, state_queries
+from arborfold.plans import graph_queries, problems, service_queries, snapshot_queries, state_queries
 from tools import compare
 
 FOLDER = "/root/testdata/sf0.001"
