@@ -32,17 +32,19 @@ def direct(refs: DataFrame, targets: DataFrame) -> DataFrame:
     return refs.where("target_id is not null").join(known, F.col("target_id") == F.col("_id"), "left").withColumn("reason", reason).drop("_id", "first_at", "deleted")
 
 
-def cascade(links: DataFrame, seeds: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def cascade(links: DataFrame, seeds: DataFrame, block_rows: int = BLOCK_ROWS, written: bool = False) -> DataFrame:
     """n of every record that refers, over one or more links, to a seed; a written table.
 
     links has (c, p, grp, at): record c refers to p; grp and at only decide which links share a block. seeds has (n).
-    Seeds that refer to no other seed are not in the result. Cycles and repeated links do no harm.
+    Seeds that refer to no other seed are not in the result. Cycles and repeated links do no harm. written: the links are
+    read from a table, so that reading them twice costs less than another copy.
     """
     spark = links.sparkSession
     cut = Cut(spark)
     rows = links.where("c is not null and p is not null and c <> p")
     key = links.schema["c"].dataType.simpleString()
-    start = cut.write(rows.select("c", "p", "grp", "at"))
+    start = rows.select("c", "p", "grp", "at")
+    start = start if written else cut.write(start)
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-start.count() // block_rows))
     placed = cut.write(start.repartitionByRange(blocks, "grp", "at").select("c", "p", F.spark_partition_id().alias("blk")))
     cut.drop(start)
@@ -91,7 +93,7 @@ def orphans(refs: DataFrame, targets: DataFrame, group: Column, block_rows: int
     key = keyed if hashed else (lambda c: c)
     seeds = judged.where("reason in ('missing', 'deleted') and ref_id is not null").select(key(F.col("ref_id")).alias("n"))
     links = judged.select(key(F.col("ref_id")).alias("c"), key(F.col("target_id")).alias("p"), F.col("_grp").alias("grp"), "at")
-    below = cascade(links, seeds, block_rows)
+    below = cascade(links, seeds, block_rows, written=True)
     tainted = below.unionAll(seeds).distinct().select(F.col("n").alias("_n"), F.lit(True).alias("_tainted"))
     holds = judged.where("reason is null").withColumn("_k", key(F.col("target_id")))
     inherited = holds.join(tainted.drop("_tainted"), F.col("_k") == F.col("_n"), "left_semi").drop("_k").withColumn("reason", F.lit("inherited"))
