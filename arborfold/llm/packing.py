@@ -211,7 +211,8 @@ def pack(items: DataFrame, sizes: DataFrame, item: str, tokens: str, shard_items
     full = F.when(F.col("tokens") > F.col("capacity"), F.floor(F.col("tokens") / F.col("capacity"))).otherwise(F.lit(0)).cast("bigint")
     split = every.withColumn("full", full).withColumn("rest", (F.col("tokens") - F.col("full") * F.col("capacity")).cast("int"))
     shards = max(1, -(-rows.count() // shard_items))
-    shard = F.pmod(F.xxhash64("row", "tokens"), F.lit(shards)).cast("bigint")
+    spread = F.pmod(F.xxhash64("row"), F.lit(shards)) + F.pmod(F.monotonically_increasing_id(), F.lit(shards))  # repeated ids too
+    shard = F.pmod(spread, F.lit(shards)).cast("bigint")
     left = split.where("rest > 0 or full = 0").select("size_name", "capacity", shard.alias("shard"), F.struct("row", "rest", "full").alias("i"))
     groups = left.groupBy("size_name", "capacity", "shard").agg(F.sort_array(F.collect_list("i")).alias("i"))
     state = groups.select(

@@ -274,10 +274,14 @@ def consistent(text: Column) -> Column:
 def look_alike_pairs(keyed: DataFrame) -> DataFrame:
     """(doc_id_a, doc_id_b) of rows (doc_id, text_key, form_key) with one form and different texts, the smaller id first.
 
-    Only forms that several different texts have take part in the join.
+    Only forms that several different texts have take part. Texts are paired first, then the copies of each text, so no
+    two copies of one text ever meet, however many there are.
     """
     mixed = keyed.groupBy("form_key").agg((F.min("text_key") != F.max("text_key")).alias("mixed")).where("mixed").select("form_key")
     kept = keyed.join(mixed, "form_key", "left_semi")
-    a = kept.select("form_key", F.col("doc_id").alias("doc_id_a"), F.col("text_key").alias("key_a"))
-    b = kept.select("form_key", F.col("doc_id").alias("doc_id_b"), F.col("text_key").alias("key_b"))
-    return a.join(b, "form_key").where("doc_id_a < doc_id_b and key_a <> key_b").select("doc_id_a", "doc_id_b").distinct()
+    texts = kept.select("form_key", "text_key").distinct()
+    pairs = texts.join(texts.withColumnRenamed("text_key", "other_key"), "form_key").where("text_key < other_key").select("text_key", "other_key")
+    copies = kept.select("text_key", "doc_id")
+    first = pairs.join(copies, "text_key").select("other_key", F.col("doc_id").alias("one"))
+    both = first.join(copies.withColumnRenamed("text_key", "other_key"), "other_key").where("one <> doc_id")
+    return both.select(F.least("one", "doc_id").alias("doc_id_a"), F.greatest("one", "doc_id").alias("doc_id_b")).distinct()
