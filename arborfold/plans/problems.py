@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arborfold.functions.times import utc_date, utc_month
 from arborfold.operators import hierarchy, intervals, percentiles, references, skew
 from arborfold.sources.tables import table
 
@@ -55,7 +56,7 @@ def p1_descendants(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Percentiles of every peer, put together from the summaries of single days."""
-    rows = table(spark, folder, "sync_history").withColumn("day", F.to_date("started_at"))
+    rows = table(spark, folder, "sync_history").withColumn("day", utc_date(F.col("started_at")))
     daily = percentiles.value_counts(rows, ["day", "peer_pubkey"], {m: F.col(m) for m in MEASURES}, BITS)
     merged = percentiles.merge_counts([daily], ["peer_pubkey"])
     return percentiles.percentiles(merged, ["peer_pubkey"], PROBABILITIES)
@@ -70,7 +71,7 @@ def p2_percentiles_exact(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_daily_summary(spark: SparkSession, folder: str) -> DataFrame:
     """The mergeable form: one frequency for each day, peer, measure and bucket."""
-    rows = table(spark, folder, "sync_history").withColumn("day", F.to_date("started_at"))
+    rows = table(spark, folder, "sync_history").withColumn("day", utc_date(F.col("started_at")))
     return percentiles.value_counts(rows, ["day", "peer_pubkey"], {m: F.col(m) for m in MEASURES}, BITS)
 
 
@@ -82,7 +83,7 @@ def _orphans(spark: SparkSession, folder: str) -> DataFrame:
     targets = rows.groupBy("id").agg(F.min("received_at").alias("first_at"), F.max(F.col("deleted_at").isNotNull()).alias("deleted"), F.max("tree_id").alias("tree_id"))
     from_entries = targets.where("tree_id is not null").select(F.lit("entries").alias("ref_table"), F.col("id").alias("ref_id"), F.col("tree_id").alias("target_id"), F.col("first_at").alias("at"), hierarchy.keyed(F.col("tree_id")).alias("grp"))
     refs = from_links.unionByName(from_entries)
-    return references.orphans(refs, targets.drop("tree_id"), F.col("grp")).drop("grp").withColumn("period", F.date_format("at", "yyyy-MM"))
+    return references.orphans(refs, targets.drop("tree_id"), F.col("grp")).drop("grp").withColumn("period", utc_month(F.col("at")))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from arborfold.functions.times import utc_month
 from arborfold.operators import auth, fold, sync
 from arborfold.sources.tables import table
 
@@ -239,7 +240,7 @@ def y07_peers_union(spark: SparkSession, folder: str) -> DataFrame:
 def y08_retention(spark: SparkSession, folder: str) -> DataFrame:
     """How many syncs of each month a clean-up before April 2025 removes."""
     old = sync.expired(_history(spark, folder), F.lit("2025-04-01T00:00:00Z").cast("timestamp"))
-    return old.groupBy(F.date_format("started_at", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    return old.groupBy(utc_month(F.col("started_at")).alias("month")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query("select distinct id, a.transport_type as transport_type, a.address as address from (select id, unnest(addresses) as a from peers) where a.transport_type = 'http'")
