@@ -9,13 +9,14 @@ before newly orphaned records are handed to the blocks that refer to them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborfold.operators.hierarchy import keyed, keys_collide
+from arborfold.operators.hierarchy import CORE_LINKS, keyed, keys_collide
 from arborfold.plans.cut import Cut
 
 BLOCK_ROWS = 500_000
@@ -32,12 +33,13 @@ def direct(refs: DataFrame, targets: DataFrame) -> DataFrame:
     return refs.where("target_id is not null").join(known, F.col("target_id") == F.col("_id"), "left").withColumn("reason", reason).drop("_id", "first_at", "deleted")
 
 
-def cascade(links: DataFrame, seeds: DataFrame, block_rows: int = BLOCK_ROWS, written: bool = False) -> DataFrame:
+def cascade(links: DataFrame, seeds: DataFrame, block_rows: int = BLOCK_ROWS, written: bool = False, core_links: int = CORE_LINKS) -> DataFrame:
     """n of every record that refers, over one or more links, to a seed; a written table.
 
     links has (c, p, grp, at): record c refers to p; grp and at only decide which links share a block. seeds has (n).
     Seeds that refer to no other seed are not in the result. Cycles and repeated links do no harm. written: the links are
-    read from a table, so that reading them twice costs less than another copy.
+    read from a table, so that reading them twice costs less than another copy. Up to core_links links and seeds are
+    followed in one task.
     """
     spark = links.sparkSession
     cut = Cut(spark)
@@ -45,26 +47,22 @@ def cascade(links: DataFrame, seeds: DataFrame, block_rows: int = BLOCK_ROWS, wr
     key = links.schema["c"].dataType.simpleString()
     start = rows.select("c", "p", "grp", "at")
     start = start if written else cut.write(start)
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-start.count() // block_rows))
+    seeds = cut.write(seeds.select("n").distinct())
+    count = start.count()
+    if max(count, seeds.count()) <= core_links:
+        return _cascade_in_one_task(start, seeds, key)
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // block_rows))
     placed = cut.write(start.repartitionByRange(blocks, "grp", "at").select("c", "p", F.spark_partition_id().alias("blk")))
-    cut.drop(start)
+    if not written:
+        cut.drop(start)
     wanted = cut.write(placed.select("p", "blk").distinct())
     arrow = pa.string() if key == "string" else pa.int64()
 
     def follow(left: pa.Table, right: pa.Table) -> pa.Table:
-        below: dict = {}
-        for c, p in zip(left.column("c").to_pylist(), left.column("p").to_pylist()):
-            below.setdefault(p, []).append(c)
-        todo = right.column("n").to_pylist()
-        seen: set = set()
-        while todo:
-            for c in below.get(todo.pop(), ()):
-                if c not in seen:
-                    seen.add(c)
-                    todo.append(c)
-        return pa.table({"n": pa.array(list(seen), arrow)})
-
-    new, parts = seeds.select("n").distinct(), []
+        found = _below(left.column("c").to_pylist(), left.column("p").to_pylist(), right.column("n").to_pylist())
+        return pa.table({"n": pa.array(found, arrow)})
+
+    new, parts = seeds, []
     while True:
         into = cut.write(new.join(wanted, new["n"] == wanted["p"]).select("n", "blk"))
         if into.isEmpty():
@@ -80,6 +78,38 @@ def cascade(links: DataFrame, seeds: DataFrame, block_rows: int = BLOCK_ROWS, wr
     return reduce(DataFrame.unionAll, parts) if parts else seeds.select("n").where("false")
 
 
+def _below(c: list, p: list, seeds: list) -> list:
+    """Everything that refers to a seed over one or more of the links (c, p)."""
+    below: dict = {}
+    for x, y in zip(c, p):
+        below.setdefault(y, []).append(x)
+    todo, seen = list(seeds), set()
+    while todo:
+        for x in below.get(todo.pop(), ()):
+            if x not in seen:
+                seen.add(x)
+                todo.append(x)
+    return list(seen)
+
+
+def _cascade_in_one_task(links: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
+    arrow = pa.string() if key == "string" else pa.int64()
+    rows = links.select("c", "p").unionAll(seeds.select(F.lit(None).cast(key).alias("c"), F.col("n").alias("p")))
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, p, start = [], [], []
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if x is None:
+                    start.append(y)
+                else:
+                    c.append(x)
+                    p.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array(_below(c, p, start), arrow)], ["n"])
+
+    return Cut(links.sparkSession).write(rows.repartition(1).mapInArrow(follow, f"n {key}"))
+
+
 def orphans(refs: DataFrame, targets: DataFrame, group: Column, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Every orphan reference: the columns of refs, reason and kind.
 

@@ -14,8 +14,9 @@ def test_cascade_crosses_blocks_and_cycles(spark):
         new = {c for c, p in links if c and p and c != p and (p in seeds or p in want)}
         grown, want = new != want, new
     df = spark.createDataFrame([(c, p, "t" if i % 3 else None, i % 17) for i, (c, p) in enumerate(links)], "c string, p string, grp string, at int")
-    got = [r["n"] for r in references.cascade(df, spark.createDataFrame([(s,) for s in seeds], "n string"), block_rows=10).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
+    for core in (0, 1000):
+        got = [r["n"] for r in references.cascade(df, spark.createDataFrame([(s,) for s in seeds], "n string"), block_rows=10, core_links=core).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
     assert references.cascade(df, spark.createDataFrame([], "n string")).count() == 0
     assert references.cascade(df.where("false"), spark.createDataFrame([("r000",)], "n string")).count() == 0
 
