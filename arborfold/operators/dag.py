@@ -112,14 +112,12 @@ def reachability(entries: DataFrame, edges: DataFrame, start: DataFrame, targets
 
     Entries lower than every target cannot lead to one and are not visited. No start entries: unreachable.
     """
-    floor = targets.join(entries.select("entry_id", "height"), "entry_id").agg(F.min("height").alias("_floor"))
-    high = entries.join(floor, F.coalesce(F.col("height") >= F.col("_floor"), F.lit(True))).select(F.col("entry_id").alias("child_id"))
+    floor = targets.join(entries.select("entry_id", "height"), "entry_id").agg(F.min("height")).first()[0]
+    high = (entries if floor is None else entries.where(F.col("height") >= floor)).select(F.col("entry_id").alias("child_id"))
     seen = ancestors(edges.join(high, "child_id", "left_semi"), start)
-    lost = seen.join(entries.select("entry_id"), "entry_id", "left_anti")
-    some = lost.agg((F.count(F.lit(1)) > 0).alias("_lost"))
-    hit = seen.withColumn("_hit", F.lit(True))
-    state = F.when(F.col("_hit"), "reachable").when(F.col("_lost"), "indeterminate").otherwise("unreachable")
-    return targets.join(hit, "entry_id", "left").join(some).withColumn("state", state).drop("_hit", "_lost")
+    lost = not seen.join(entries.select("entry_id"), "entry_id", "left_anti").isEmpty()
+    state = F.when(F.col("_hit"), "reachable").otherwise("indeterminate" if lost else "unreachable")
+    return targets.join(seen.withColumn("_hit", F.lit(True)), "entry_id", "left").withColumn("state", state).drop("_hit")
 
 
 def ids_added(edges: DataFrame, before: DataFrame, after: DataFrame, strict: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ A round of the contraction looks at every node's number of parents and children
   the sum of the lengths. A coin per node and round picks which nodes leave, so that none leaves together with its parent.
 Every recorded link points to a node that stays, links never become more, and about two thirds of them leave in a round.
 When they fit into one task, what is left is solved there; nodes of this core that no order reaches run into a cycle.
+If rounds remove nothing any more before that, every node left has a cycle below it, and the core is peeled from above.
 The records are then replayed backwards, last round first: a node's value is the best of its recorded parents' values.
 
 Nodes may have several parents (merges): depth is the number of links on the longest way up, the path is that way (of
@@ -164,13 +165,29 @@ def values(links: DataFrame, roots: DataFrame, payload: str | None = None, core_
     core = _one_task(flagged.select("c", "p", "w", F.coalesce("ok", F.lit(False)).alias("ok"), "root_m", extra.alias("extra"))).mapInArrow(solve, schema)
     own = {"path": F.col("n"), "ancestors": F.array().cast("array<string>"), "floor": F.col("m")}.get(payload)
     start = top.select("n", F.lit(0).cast("bigint").alias("depth"), F.lit(False).alias("bad"), F.lit(False).alias("cyclic"), *([own.alias(payload)] if payload else []))
-    solved = cut.write(core)
-    parts = [solved, start]
+    parts = [start, cut.write(core) if count <= core_links else _peel(live, start, payload, cut)]
     for record in reversed(records):
         parts.append(cut.write(_replay(record, reduce(DataFrame.unionByName, parts), payload)))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _peel(live: DataFrame, start: DataFrame, payload: str | None, cut: Cut) -> DataFrame:
+    """Values of a core that is too large for one task: level by level from above; what is never reached is cyclic."""
+    parts: list[DataFrame] = []
+    while True:
+        open_ = live.select(F.col("c").alias("k")).distinct()
+        waiting = cut.write(live.join(open_, F.col("p") == F.col("k"), "left_semi").select("c").distinct())
+        ready = cut.write(live.join(waiting, "c", "left_anti"))
+        if ready.isEmpty():
+            break
+        parts.append(cut.write(_replay(ready, reduce(DataFrame.unionByName, parts, start), payload)))
+        live = cut.write(live.join(waiting, "c", "left_semi"))
+    none = [F.lit(None).cast(t).alias(x) for x, t in (("depth", "bigint"), ("bad", "boolean"))]
+    more = [F.lit(None).cast(_TYPE[payload]).alias(payload)] if payload else []
+    stuck = live.select(F.col("c").alias("n")).distinct().select("n", *none, F.lit(True).alias("cyclic"), *more)
+    return reduce(DataFrame.unionByName, parts, cut.write(stuck))
+
+
 def _replay(record: DataFrame, known: DataFrame, payload: str | None) -> DataFrame:
     """Values of the nodes that left in one round, from those of the nodes that stayed; an unknown parent is no root."""
     up = known.select(F.col("n").alias("p"), F.col("depth").alias("p_depth"), F.col("bad").alias("p_bad"), "cyclic", *([F.col(payload).alias("p_more")] if payload else []))

@@ -28,9 +28,9 @@ def direct(refs: DataFrame, targets: DataFrame) -> DataFrame:
     refs has target_id and at; targets has id (unique), first_at and deleted. A null target is no reference. A reference
     without a time is never late, nor is one to a target without an arrival.
     """
-    known = targets.select(F.col("id").alias("_id"), "first_at", "deleted")
-    reason = F.when(F.col("_id").isNull(), "missing").when(F.col("deleted"), "deleted").when(F.col("first_at") > F.col("at"), "late")
-    return refs.where("target_id is not null").join(known, F.col("target_id") == F.col("_id"), "left").withColumn("reason", reason).drop("_id", "first_at", "deleted")
+    known = targets.select(F.col("id").alias("_id"), F.col("first_at").alias("_first"), F.col("deleted").alias("_gone"))
+    reason = F.when(F.col("_id").isNull(), "missing").when(F.col("_gone"), "deleted").when(F.col("_first") > F.col("at"), "late")
+    return refs.where("target_id is not null").join(known, F.col("target_id") == F.col("_id"), "left").withColumn("reason", reason).drop("_id", "_first", "_gone")
 
 
 def cascade(links: DataFrame, seeds: DataFrame, block_rows: int = BLOCK_ROWS, written: bool = False, core_links: int = CORE_LINKS) -> DataFrame:

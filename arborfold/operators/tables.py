@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,7 +82,62 @@ class Documents:
     """Nested documents over a history of path events (see fold.live_events), keyed by the given columns."""
 
     def __init__(self, events: DataFrame, keys: Sequence[str]) -> None:
-        self.events, self.keys = events, list(keys)
+        self.keys = list(keys)
+        self._events = events.select(*self.keys, "path", "cont", "kind", F.col("value").cast("string").alias("value"), F.col("height").cast("bigint").alias("height"), F.col("entry_id").cast("string").alias("entry_id"))
+        self._staged: list[tuple] = []
+
+    @property
+    def events(self) -> DataFrame:
+        """Committed events and, after all of them, the staged ones."""
+        if not self._staged:
+            return self._events
+        return self._events.unionByName(self._events.sparkSession.createDataFrame(self._staged, self._events.schema))
+
+    def _stage(self, key: Sequence, path: str, kind: str, value: str | None) -> None:
+        parts = [p for p in path.split(".") if p]
+        order = (2**63 - 1, f"{len(self._staged):012d}")  # the same for all events of one change
+        for n in range(1, len(parts) + 1):
+            last = n == len(parts)
+            self._staged.append((*key, parts[:n], ["d"] * n, kind if last else "doc", value if last else None, *order))
+
+    def set(self, key: Sequence, path: str, value: str) -> None:
+        """Stages a leaf at a dotted path of one document; documents on the way are made where there are none."""
+        self._stage(key, path, "leaf", value)
+
+    def get(self, key: Sequence, path: str) -> str | None:
+        """The value of the visible leaf of one document; KeyNotFound if there is nothing, TypeMismatch for a branch."""
+        node = self._node(key, path)
+        if node is None:
+            raise KeyNotFound(path)
+        if node["kind"] != "leaf":
+            raise TypeMismatch(f"{path} is a {node['kind']}")
+        return node["value"]
+
+    def _node(self, key: Sequence, path: str):  # noqa: ANN202
+        n = len([p for p in path.split(".") if p])
+        found = self.get_path(path).where(F.size("path") == n)
+        for k, v in zip(self.keys, key):
+            found = found.where(F.col(k).eqNullSafe(F.lit(v)))
+        return found.first()
+
+    def delete(self, key: Sequence, path: str) -> bool:
+        """Stages a tombstone if the path is visible in the document; whether it was."""
+        if self._node(key, path) is None:
+            return False
+        self._stage(key, path, "deleted", None)
+        return True
+
+    def modify(self, key: Sequence, path: str, change: Callable[[str | None], str], default: str | None = None) -> str:
+        """Reads a leaf, stages what change makes of it (of the default if nothing is there) and returns that."""
+        try:
+            old = self.get(key, path)
+        except KeyNotFound:
+            if default is None:
+                raise
+            old = default
+        new = change(old)
+        self.set(key, path, new)
+        return new
 
     def get_all(self) -> DataFrame:
         return fold.nested(self.events, self.keys)

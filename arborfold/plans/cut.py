@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: list[str] = []
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +33,7 @@ class Cut:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/arborfold-{uuid.uuid4().hex}"
         self._n = 0
+        _written.append(self.base)
         self._paths: dict[int, str] = {}
 
     def write(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
@@ -44,9 +46,18 @@ class Cut:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
         for t in tables:
             path = self._paths.pop(id(t), None)
             if path:
-                p = hadoop.Path(path)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+                _delete(self.spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes every table that operators of this process have written; results that read them are no longer valid."""
+    while _written:
+        _delete(spark, _written.pop())

@@ -305,3 +305,43 @@ def y20_db_list(spark: SparkSession, folder: str) -> DataFrame:
     roots = table(spark, folder, "entries").where("is_root").select("id").distinct().join(system, "id", "left_anti")
     n = tips.where("store_name = ''").groupBy(F.col("tree_id").alias("id")).agg(F.count_distinct("entry_id").alias("n_tips"))
     return roots.join(n, "id", "left").select("id", "n_tips")
+
+
+@_query(f"with {_AUTH_KEYS}, {_ENTRIES} select id, coalesce((select ranked from keys where pubkey = signer and status = 'Active'), {_M + 1} - 7) as ranked from e where has_auth")
+def v15_identity_permission(spark: SparkSession, folder: str) -> DataFrame:
+    """The permission of each signer: that of its own active key, else the global one."""
+    own = _keys(spark, folder).where("status = 'Active'").select(F.col("pubkey").alias("signer"), auth.rank(F.col("type"), F.col("priority")).alias("own"))
+    e = _entries(spark, folder).where("has_auth").select("id", "signer")
+    return e.join(own, "signer", "left").select("id", F.coalesce("own", auth.rank(F.lit("Write"), F.lit(7))).alias("ranked"))
+
+
+@_query("select id, case when verification_status = 2 and height % 3 = 0 then 0 else verification_status end as status from (select id, height, arg_max(verification_status, (received_at, verification_status)) as verification_status from entries group by id, height)")
+def v12_status_update(spark: SparkSession, folder: str) -> DataFrame:
+    """The last delivered status of every entry; unverified ones of every third height are set to verified."""
+    last = table(spark, folder, "entries").groupBy("id", "height").agg(F.max_by("verification_status", F.struct("received_at", "verification_status")).alias("s"))
+    return last.select("id", F.when((F.col("s") == 2) & (F.col("height") % 3 == 0), 0).otherwise(F.col("s")).alias("status"))
+
+
+@_query("select distinct id, status from peers where status = 'Blocked'")
+def y10_by_status(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "peers").where("status = 'Blocked'").select("id", "status").distinct()
+
+
+@_query(f"with {_SYNCS}, {_SETTINGS}, tp as (select distinct tree_id, peer_pubkey as peer from s where peer_pubkey is not null) select peer, count(*) as n_trees, bool_or(sync_enabled) as any_enabled, min(interval_seconds) as shortest from tp join settings using (tree_id) group by peer")
+def y11_settings_of_peers(spark: SparkSession, folder: str) -> DataFrame:
+    """The combined settings of all trees that a peer syncs."""
+    h = _history(spark, folder)
+    joined = _tree_peers(h).join(_settings(h), "tree_id")
+    return joined.groupBy("peer").agg(F.count(F.lit(1)).alias("n_trees"), F.bool_or("sync_enabled").alias("any_enabled"), F.min("interval_seconds").alias("shortest"))
+
+
+@_query("select distinct id, trim(display_name) as name from peers where display_name is not null")
+def y13_list_users(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "peers").where("display_name is not null").select("id", F.trim("display_name").alias("name")).distinct()
+
+
+@_query("select user_id from (select user_id, arg_max(event_type, (ts, event_id)) as name from events group by user_id) where name = 'purchase'")
+def t18_find_by_setting(spark: SparkSession, folder: str) -> DataFrame:
+    """Trees whose folded setting has a value."""
+    state = fold.last_writer(table(spark, folder, "events"), ["user_id"], ["event_type"], ["ts", "event_id"])
+    return state.where("event_type = 'purchase'").select("user_id")

@@ -55,6 +55,15 @@ def load(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFr
     return {n: spark.read.format(version["form"]).load(f"{folder}/{n}") for n in names}
 
 
+def set_metadata(spark: SparkSession, folder: str, values: dict[str, str]) -> None:
+    """Replaces the one row of metadata of a folder."""
+    spark.createDataFrame([(values,)], "metadata map<string,string>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/_metadata")
+
+
+def get_metadata(spark: SparkSession, folder: str) -> dict[str, str]:
+    return spark.read.parquet(f"{folder}/_metadata").first()["metadata"]
+
+
 def reader(spark: SparkSession, url: str):  # noqa: ANN201
     """A function from table name to DataFrame for parquet:, json:, orc:, jdbc: and memory: (temporary views) places."""
     kind, sep, rest = url.partition(":")

@@ -128,3 +128,22 @@ def test_custom_merge_sees_canonical_order(spark):
     df = spark.createDataFrame(rows, "k string, height int, entry_id string, v string").repartition(7)
     got = {r["k"]: r["state"] for r in fold.custom(df, ["k"], lambda s, r: (s or "") + r["v"] + ",").collect()}
     assert got == {k: "".join(f"{h}," for h in range(30)) for k in ("x", "y")}
+
+
+def test_documents_with_staged_changes(spark):
+    rows = [(1, ["a"], ["d"], "doc", None, 0, "e0"), (1, ["a", "b"], ["d", "d"], "leaf", "old", 0, "e0"), (1, ["c"], ["d"], "leaf", "x", 1, "e1"), (2, ["a"], ["d"], "leaf", "y", 0, "e0")]
+    df = spark.createDataFrame(rows, "id int, path array<string>, cont array<string>, kind string, value string, height int, entry_id string")
+    d = tables.Documents(df, ["id"])
+    assert d.get((1,), "a.b") == "old" and d.get((2,), "a") == "y"
+    d.set((1,), "a.b", "new")
+    d.set((1,), "c.deep", "z")  # a leaf on the way becomes a document
+    assert d.get((1,), "a.b") == "new" and d.get((1,), "c.deep") == "z"
+    assert d.delete((1,), "a") and not d.delete((1,), "a") and not d.delete((2,), "none")
+    for path, error in (("a.b", tables.KeyNotFound), ("c", tables.TypeMismatch)):
+        try:
+            d.get((1,), path)
+            raise AssertionError(path)
+        except error:
+            pass
+    assert d.modify((2,), "n", lambda v: v + "1", "0") == "01" and d.get((2,), "n") == "01"
+    assert {r["id"]: r["json"] for r in d.json(3).collect()} == {1: '{"c":{"deep":"z"}}', 2: '{"a":"y","n":"01"}'}

@@ -1,9 +1,10 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from arborfold.functions import crypto, paths, values
 from arborfold.operators import auth
 from arborfold.sources import store
-from pyspark.sql import functions as F
 
 
 def test_positions_between():
@@ -46,6 +47,9 @@ def test_saved_folder_and_places(spark, tmp_path):
     with pytest.raises(ValueError, match="version 99"):
         store.load(spark, str(tmp_path / "s"), ["entries"])
     assert store.reader(spark, f"parquet:{tmp_path / 's'}")("entries").count() == 1
+    store.set_metadata(spark, str(tmp_path), {"device": "a"})
+    store.set_metadata(spark, str(tmp_path), {"device": "b"})
+    assert store.get_metadata(spark, str(tmp_path)) == {"device": "b"}
     df.createOrReplaceTempView("mem")
     assert store.reader(spark, "memory:")("mem").count() == 1
     with pytest.raises(ValueError, match="expected"):

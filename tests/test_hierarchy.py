@@ -63,11 +63,12 @@ def random_links(seed):
 
 @pytest.mark.parametrize("seed", range(2))
 @pytest.mark.parametrize("payload", [None, "path", "ancestors"])
-def test_values_equal_plain_walks(spark, seed, payload):
+@pytest.mark.parametrize("core", [0, 8])
+def test_values_equal_plain_walks(spark, seed, payload, core):
     links, roots = random_links(seed)
     df = spark.createDataFrame([(*x, 1, "clash") for x in links], "c string, p string, w long, mark_n string")
     top = spark.createDataFrame([(r, 0) for r in roots] + [(next(iter(roots)), 0)], "n string, depth long")
-    found = hierarchy.values(df, top, payload, core_links=3)
+    found = hierarchy.values(df, top, payload, core_links=core)
     got = {r["n"]: r for r in found.collect()}
     want, looped = brute(links, roots)
     assert found.count() == len(got) and got.keys() == want.keys()

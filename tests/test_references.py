@@ -24,7 +24,7 @@ def test_cascade_crosses_blocks_and_cycles(spark):
 def test_reasons_kinds_and_nulls(spark):
     targets = spark.createDataFrame([("a", 10, False), ("b", 10, True), ("c", 50, False), ("d", None, False)], "id string, first_at int, deleted boolean")
     rows = [("t", "x", "a", 20), ("t", "y", "b", 20), ("t", "z", "c", 20), ("t", "a", "", 20), ("t", "w", "a", None), ("t", "v", None, 1), ("t", "u", "y", 5), (None, None, "gone", None), ("t", "q", "d", 3)]
-    refs = spark.createDataFrame([(*r, "clash") for r in rows], "ref_table string, ref_id string, target_id string, at int, id string").drop("id")
+    refs = spark.createDataFrame([(*r, "clash", 1, True) for r in rows], "ref_table string, ref_id string, target_id string, at int, id string, first_at int, deleted boolean")
     got = {(r["ref_id"], r["target_id"], r["reason"], r["kind"]) for r in references.orphans(refs, targets, refs["ref_id"]).collect()}
     # a refers to an empty id, so what refers to a inherits that
     assert got == {("y", "b", "deleted", "direct"), ("z", "c", "late", "direct"), ("a", "", "missing", "direct"), ("u", "y", "missing", "direct"), (None, "gone", "missing", "direct"), ("x", "a", "inherited", "inherited"), ("w", "a", "inherited", "inherited")}
