@@ -206,7 +206,7 @@ def pack(items: DataFrame, sizes: DataFrame, item: str, tokens: str, shard_items
     cut = Cut(items.sparkSession)
     given = [(r[0], r[1]) for r in sizes.select("size_name", "capacity_tokens").collect() if r[0] is not None and (r[1] or 0) > 0]
     rows = items.select(F.col(item).cast("bigint").alias("row"), F.col(tokens).cast("bigint").alias("tokens"))
-    rows = cut.write(rows.where("tokens is not null"))
+    rows = cut.write(rows).where("tokens is not null")  # written first: a filter on it would count the tokens twice
     every = _for_each_size(rows, given)
     full = F.when(F.col("tokens") > F.col("capacity"), F.floor(F.col("tokens") / F.col("capacity"))).otherwise(F.lit(0)).cast("bigint")
     split = every.withColumn("full", full).withColumn("rest", (F.col("tokens") - F.col("full") * F.col("capacity")).cast("int"))
