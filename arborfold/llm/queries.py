@@ -45,8 +45,9 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of documents with different texts of one consistent form."""
     rows = table(spark, folder, "documents").where("text is not null").select("doc_id", "text")
     forms = rows.select("doc_id", F.md5("text").alias("text_key"), textform.consistent(F.col("text")).alias("form"))
-    keyed = forms.where(F.trim(F.regexp_replace("form", r"[\s\p{Z}\p{Cc}]+", "")) != "").select("doc_id", "text_key", F.md5("form").alias("form_key"))
-    return textform.look_alike_pairs(Cut(spark).write(keyed))
+    seen = F.col("form").rlike(r"[^\s\p{Z}\p{Cc}]")
+    keyed = Cut(spark).write(forms.select("doc_id", "text_key", F.md5("form").alias("form_key"), seen.alias("seen")))
+    return textform.look_alike_pairs(keyed.where("seen").drop("seen"))  # a filter before would compute the forms twice
 
 
 QUERIES = {f.__name__: f for f in (p6_containers, p6_fill, p7_found, p7_leaks, p8_found, p8_consistent)}
