@@ -188,8 +188,8 @@ def m11_properties(spark: SparkSession, folder: str) -> DataFrame:
     return fold.merge_properties(e, ["user_id"], ["ts", "event_id"])
 
 
-@_query(f"""with {_SYNCS} select peer_pubkey, count(*) filter (success) as n_success, count(*) filter (not success) as n_failed, coalesce(sum(entries_count) filter (success), 0) as entries_synced,
-    coalesce(sum(bytes_transferred) filter (success), 0) as bytes_synced, round(coalesce(avg(duration_ms) filter (success), 0), 4) as mean_ms,
+@_query(f"""with {_SYNCS} select peer_pubkey, count(*) filter (success) as n_success, count(*) filter (not success) as n_failed, cast(coalesce(sum(entries_count) filter (success), 0) as bigint) as entries_synced,
+    cast(coalesce(sum(bytes_transferred) filter (success), 0) as bigint) as bytes_synced, round(coalesce(avg(duration_ms) filter (success), 0), 4) as mean_ms,
     round(coalesce(count(*) filter (success) / nullif(count(success), 0), 0), 6) as success_rate from s where peer_pubkey is not null group by peer_pubkey""")
 def m12_sync_stats(spark: SparkSession, folder: str) -> DataFrame:
     return sync.statistics(_history(spark, folder))
@@ -274,7 +274,7 @@ def y16_peer_trees(spark: SparkSession, folder: str) -> DataFrame:
 @_query(f"""with {_SYNCS}, c as (select peer_pubkey, tree_id, arg_max(sync_id, (completed_at, sync_id)) as last_sync_id, sum(coalesce(entries_count, 0)) as total_entries from s
         where success and completed_at is not null and peer_pubkey is not null and tree_id is not null group by all),
     want as (select distinct peer_pubkey, tree_id from s where peer_pubkey is not null and tree_id is not null)
-    select peer_pubkey, tree_id, last_sync_id, coalesce(total_entries, 0) as total_entries from want left join c using (peer_pubkey, tree_id)""")
+    select peer_pubkey, tree_id, last_sync_id, cast(coalesce(total_entries, 0) as bigint) as total_entries from want left join c using (peer_pubkey, tree_id)""")
 def y17_cursors(spark: SparkSession, folder: str) -> DataFrame:
     """The cursor of every (peer, tree), a default one where no sync has succeeded."""
     h = _history(spark, folder)
