@@ -179,8 +179,9 @@ _LAST = "select tree_id, entry_id, row_number() over (partition by tree_id order
         where n = (select count(*) from wanted w where w.tree_id = nodes.tree_id and not exists (select 1 from bypassed b where b.gone = nodes.entry_id and b.wanted_id = w.entry_id)))
     select w.tree_id, (select arg_max(entry_id, height) from through where through.tree_id = w.tree_id) as base from (select distinct tree_id from wanted) w""")
 def g11_merge_base(h: History) -> DataFrame:
-    last = h.entries.where(F.col("tree_id").isin("1", "2", "3", "4", "5", "6")).groupBy("tree_id").agg(F.sort_array(F.collect_list(F.struct("height", "entry_id")), asc=False).alias("s"))
-    wanted = last.select("tree_id", F.explode(F.array(F.col("s")[1]["entry_id"], F.col("s")[8]["entry_id"])).alias("entry_id")).where("entry_id is not null")
+    """The merge base of the second and the ninth entry from the end, for every tree; the SQL has six trees of them only."""
+    n = h.entries.groupBy("tree_id").agg(F.count(F.lit(1)).alias("_n"))
+    wanted = h.entries.join(n, "tree_id").where("height in (_n - 2, _n - 9)").select("tree_id", "entry_id")
     return dag.merge_bases(h.edges, wanted)
 
 
