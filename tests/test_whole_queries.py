@@ -90,3 +90,14 @@ def test_merge_base_of_every_tree(spark, folder):
     rows = ours(spark, folder, "g11_merge_base")
     assert {r["tree_id"]: r["base"] for r in rows} == want and len(rows) == len(want) == 7
     holds(rows, by_sql(folder, "g11_merge_base"))
+
+
+def test_heights_of_every_entry(spark, folder):
+    order, up = trees()
+    want = {}
+    for ids in order.values():
+        for i in ids:
+            want[i] = max((want[p] + 1 for p in up[i]), default=0)
+    rows = ours(spark, folder, "g23_heights_incremental")
+    assert {r["entry_id"]: r["height"] for r in rows} == {name_of(i): d for i, d in want.items()} and len(rows) == len(EVENTS)
+    holds(rows, by_sql(folder, "g23_heights_incremental"))
