@@ -101,3 +101,13 @@ def test_heights_of_every_entry(spark, folder):
     rows = ours(spark, folder, "g23_heights_incremental")
     assert {r["entry_id"]: r["height"] for r in rows} == {name_of(i): d for i, d in want.items()} and len(rows) == len(EVENTS)
     holds(rows, by_sql(folder, "g23_heights_incremental"))
+
+
+def test_custom_merge_and_ingest_of_every_event(spark, folder):
+    letters = {}
+    for _, u, kind, *_ in sorted(EVENTS):
+        letters[u] = letters.get(u, "") + kind[0]
+    rows = ours(spark, folder, "x00_custom_merge")
+    assert {r["user_id"]: r["state"] for r in rows} == letters and len(rows) == len(letters)
+    rows = ours(spark, folder, "x01_streaming_ingest")
+    assert {r["tree_id"]: r["n"] for r in rows} == {str(u): len(x) for u, x in letters.items()} and len(rows) == len(letters)
