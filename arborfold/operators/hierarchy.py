@@ -109,11 +109,22 @@ def _solve(rows: list[tuple], payload: str | None) -> Iterator[tuple]:
                 more = max((x for v, _, w, extra in ways for x in (extra, None if v[2] is None else v[2] + w) if x is not None), default=None)
             value[c] = (depth, bad, more)
             ready.append(c)
+    above = _cyclic_ancestors(parents, value) if payload == "ancestors" else {}
     for n in parents:
-        depth, bad, more = value.get(n, (None, None, None))
+        depth, bad, more = value.get(n, (None, None, above.get(n)))
         yield n, depth, bad, n not in value, more
 
 
+def _cyclic_ancestors(parents: dict, value: dict) -> dict:
+    """Ancestors of the core's nodes without a value: those on one cycle share them and are among them."""
+    above: dict = {}
+    for part in _parts({c: {p for p, _, _ in ways if p not in value} for c, ways in parents.items() if c not in value}):
+        ways = [w for c in part for w in parents[c]]
+        every = list(dict.fromkeys(a for p, _, extra in ways for a in (*(value[p][2] if p in value else above.get(p, ())), p, *extra)))
+        above.update(dict.fromkeys(part, every))
+    return above
+
+
 def _one_task(df: DataFrame) -> DataFrame:
     return df.repartition(1)
 
@@ -124,7 +135,8 @@ def values(links: DataFrame, roots: DataFrame, payload: str | None = None, core_
     links has (c, p), of any one key type (strings for a payload); repeated links change nothing, rows with a null do
     not count. roots has (n), the keys of root entries. Nodes with links upwards have a value, and so have roots without
     any. bad: some way up ends at a node that is not a root. cyclic: some way up runs into a cycle; depth, bad and payload
-    are then null. payload "path": ids from the root to the node, joined by "/"; "ancestors": an array of all of them;
+    are then null, except for ancestors. payload "path": ids from the root to the node, joined by "/"; "ancestors": an
+    array of all of them, over cycles too, so that a node on a cycle is its own ancestor;
     "floor": the larger of the node's own number (m, a column of links for the child and of roots) and one more than the
     largest floor of its parents, where parents without links or number do not count.
     """
@@ -183,11 +195,27 @@ def _peel(live: DataFrame, start: DataFrame, payload: str | None, cut: Cut) -> D
         parts.append(cut.write(_replay(ready, reduce(DataFrame.unionByName, parts, start), payload)))
         live = cut.write(live.join(waiting, "c", "left_semi"))
     none = [F.lit(None).cast(t).alias(x) for x, t in (("depth", "bigint"), ("bad", "boolean"))]
-    more = [F.lit(None).cast(_TYPE[payload]).alias(payload)] if payload else []
-    stuck = live.select(F.col("c").alias("n")).distinct().select("n", *none, F.lit(True).alias("cyclic"), *more)
+    more = ["ancestors"] if payload == "ancestors" else [F.lit(None).cast(_TYPE[payload]).alias(payload)] if payload else []
+    nodes = _closed(live, reduce(DataFrame.unionByName, parts, start), cut) if payload == "ancestors" else live.select(F.col("c").alias("n")).distinct()
+    stuck = nodes.select("n", *none, F.lit(True).alias("cyclic"), *more)
     return reduce(DataFrame.unionByName, parts, cut.write(stuck))
 
 
+def _closed(live: DataFrame, known: DataFrame, cut: Cut) -> DataFrame:
+    """n, ancestors of the nodes of a core in which every node has a cycle above: the ways between them, doubled in each round."""
+    own = cut.write(_replay(live, known, "ancestors").select("n", "ancestors"))
+    reach = cut.write(live.join(own.select(F.col("n").alias("p")), "p", "left_semi").select("c", "p").distinct())
+    before, count = -1, reach.count()
+    while before < count:
+        on = reach.select(F.col("c").alias("p"), F.col("p").alias("q"))
+        longer = cut.write(reach.unionAll(reach.join(on, "p").select("c", F.col("q").alias("p"))).distinct())
+        cut.drop(reach)
+        reach, before, count = longer, count, longer.count()
+    over = reach.join(own.withColumnRenamed("n", "p"), "p").select(F.col("c").alias("n"), "ancestors")
+    pairs = own.unionAll(over).select("n", F.explode("ancestors").alias("a")).distinct()
+    return pairs.groupBy("n").agg(F.collect_list("a").alias("ancestors"))
+
+
 def _replay(record: DataFrame, known: DataFrame, payload: str | None) -> DataFrame:
     """Values of the nodes that left in one round, from those of the nodes that stayed; an unknown parent is no root."""
     up = known.select(F.col("n").alias("p"), F.col("depth").alias("p_depth"), F.col("bad").alias("p_bad"), "cyclic", *([F.col(payload).alias("p_more")] if payload else []))
@@ -205,7 +233,8 @@ def _replay(record: DataFrame, known: DataFrame, payload: str | None) -> DataFra
         out.append(F.max(F.greatest("m", F.col("p_more") + F.col("w"))).alias("more"))
     values_ = joined.groupBy(F.col("c").alias("n")).agg(*out)
     clean = [F.when(~F.col("cyclic"), F.col(c)).alias(c) for c in ("depth", "bad")]
-    more = [F.when(~F.col("cyclic"), F.col("more.path" if payload == "path" else "more")).alias(payload)] if payload else []
+    known_more = F.col("more.path" if payload == "path" else "more")
+    more = [(known_more if payload == "ancestors" else F.when(~F.col("cyclic"), known_more)).alias(payload)] if payload else []
     return values_.select("n", *clean, "cyclic", *more)
 
 
@@ -264,7 +293,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _strong(up: dict) -> list:
-    """Nodes on cycles. Nodes that nothing below a cycle needs are trimmed first; then one walk numbers the parts."""
+    """Nodes on cycles. Nodes that nothing below a cycle needs are trimmed first."""
     kids: dict = {}
     for c, ps in up.items():
         for p in ps:
@@ -275,11 +304,15 @@ def _strong(up: dict) -> list:
             kids[p] -= 1
             if not kids[p] and p in up:
                 idle.append(p)
+    return [n for part in _parts(up) if len(part) > 1 or part[0] in up[part[0]] for n in part]
+
+
+def _parts(up: dict) -> Iterator[list]:
+    """The strongly connected parts of nodes with their parents, each after those above it: one walk numbers them."""
     number: dict = {}
     low: dict = {}
     stack: list = []
     inside: set = set()
-    out = []
     for first in up:
         if first in number:
             continue
@@ -309,9 +342,7 @@ def _strong(up: dict) -> list:
                     while not part or part[-1] != n:
                         part.append(stack.pop())
                         inside.discard(part[-1])
-                    if len(part) > 1 or n in up[n]:
-                        out += part
-    return out
+                    yield part
 
 
 def keyed(ids: Column) -> Column:

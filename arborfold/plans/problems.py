@@ -48,7 +48,7 @@ def p1_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_descendants(spark: SparkSession, folder: str) -> DataFrame:
-    """Every (ancestor, descendant) pair of entries that no cycle is above."""
+    """Every (ancestor, descendant) pair of entries; one on a cycle is its own ancestor. The SQL has those that no cycle is above."""
     links, roots = _forest(spark, folder, hashed=False)
     found = hierarchy.values(links, roots, "ancestors")
     return found.select(F.explode("ancestors").alias("entry_id"), F.col("n").alias("descendant_id"))

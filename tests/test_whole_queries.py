@@ -8,6 +8,8 @@ import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
+from arborfold.operators import hierarchy
+from tests.test_hierarchy import random_links
 from tools import compare
 
 
@@ -111,3 +113,39 @@ def test_custom_merge_and_ingest_of_every_event(spark, folder):
     assert {r["user_id"]: r["state"] for r in rows} == letters and len(rows) == len(letters)
     rows = ours(spark, folder, "x01_streaming_ingest")
     assert {r["tree_id"]: r["n"] for r in rows} == {str(u): len(x) for u, x in letters.items()} and len(rows) == len(letters)
+
+
+def closure(links):
+    """(ancestor, descendant) pairs by a walk up from every node."""
+    up = {}
+    for c, p in links:
+        if c is not None and p is not None:
+            up.setdefault(c, set()).add(p)
+    pairs = set()
+    for n in up:
+        seen, todo = set(), [*up[n]]
+        while todo:
+            a = todo.pop()
+            if a not in seen:
+                seen.add(a)
+                todo += up.get(a, ())
+        pairs |= {(a, n) for a in seen}
+    return pairs
+
+
+@pytest.mark.parametrize("core", [0, 8, hierarchy.CORE_LINKS])
+@pytest.mark.parametrize("seed", [1, 3])
+def test_ancestors_over_cycles(spark, seed, core):
+    links, roots = random_links(seed)
+    found = hierarchy.values(spark.createDataFrame(links, "c string, p string"), spark.createDataFrame([(r,) for r in roots], "n string"), "ancestors", core_links=core).collect()
+    got = [(a, r["n"]) for r in found for a in r["ancestors"]]
+    assert any(r["cyclic"] for r in found) and len(got) == len(set(got)) and set(got) == closure(links)
+
+
+def test_descendants_below_a_cycle(spark, tmp_path):
+    """b and c form a cycle near the top; d hangs below it and on a, e and f below d."""
+    links = [("b", "a"), ("b", "c"), ("c", "b"), ("d", "c"), ("d", "x"), ("x", "a"), ("e", "d"), ("f", "e"), ("g", "a"), ("f", "e")]
+    pq.write_table(pa.table({"child_id": [c for c, _ in links], "parent_id": [p for _, p in links]}), tmp_path / "tree_parents.parquet")
+    pq.write_table(pa.table({"id": ["a"], "is_root": [True]}), tmp_path / "entries.parquet")
+    got = [tuple(r) for r in ours(spark, str(tmp_path), "p1_descendants")]
+    assert len(got) == len(set(got)) and set(got) == closure(links) and {("b", "b"), ("a", "f"), ("c", "e")} <= set(got)
