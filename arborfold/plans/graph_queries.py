@@ -158,11 +158,11 @@ def g09_path_from_to(h: History) -> DataFrame:
         union all select tree_id, chain.entry_id, parent_id, steps + 1 from chain join first on child_id = top)
     select entry_id, max(steps) as steps, arg_max(top, steps) as root_id from chain group by entry_id""")
 def g10_first_parent_chain(h: History) -> DataFrame:
+    """The root of every entry over smallest parents, and the steps to it; the SQL has one of 25 entries."""
     first = dag.first_parents(h.edges).select(F.col("child_id").alias("c"), F.col("parent_id").alias("p"))
     roots = h.entries.where("height = 0").select(F.col("entry_id").alias("n"))
     found = hierarchy.values(first, roots, "path")
-    wanted = h.entries.where("event_id % 25 = 0").select(F.col("entry_id").alias("n"))
-    return found.join(wanted, "n", "left_semi").select(F.col("n").alias("entry_id"), F.col("depth").alias("steps"), F.substring_index("path", hierarchy.SEP, 1).alias("root_id"))
+    return found.select(F.col("n").alias("entry_id"), F.col("depth").alias("steps"), F.substring_index("path", hierarchy.SEP, 1).alias("root_id"))
 
 
 _LAST = "select tree_id, entry_id, row_number() over (partition by tree_id order by height desc) as r, height from entries_"

@@ -149,3 +149,15 @@ def test_descendants_below_a_cycle(spark, tmp_path):
     pq.write_table(pa.table({"id": ["a"], "is_root": [True]}), tmp_path / "entries.parquet")
     got = [tuple(r) for r in ours(spark, str(tmp_path), "p1_descendants")]
     assert len(got) == len(set(got)) and set(got) == closure(links) and {("b", "b"), ("a", "f"), ("c", "e")} <= set(got)
+
+
+def test_first_parent_chain_of_every_entry(spark, folder):
+    order, up = trees()
+    want = {}
+    for ids in order.values():
+        for i in ids:
+            root, steps = want[min(up[i])] if up[i] else (name_of(i), -1)
+            want[i] = root, steps + 1
+    rows = ours(spark, folder, "g10_first_parent_chain")
+    assert {r["entry_id"]: (r["root_id"], r["steps"]) for r in rows} == {name_of(i): w for i, w in want.items()} and len(rows) == len(EVENTS)
+    holds(rows, by_sql(folder, "g10_first_parent_chain"))
