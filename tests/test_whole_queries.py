@@ -161,3 +161,19 @@ def test_first_parent_chain_of_every_entry(spark, folder):
     rows = ours(spark, folder, "g10_first_parent_chain")
     assert {r["entry_id"]: (r["root_id"], r["steps"]) for r in rows} == {name_of(i): w for i, w in want.items()} and len(rows) == len(EVENTS)
     holds(rows, by_sql(folder, "g10_first_parent_chain"))
+
+
+def test_pinned_state_of_every_entry(spark, folder):
+    order, up = trees()
+    above = {}
+    for ids in order.values():
+        for i in ids:
+            above[i] = {i}.union(*(above[p] for p in up[i]))
+    place = {i: k for ids in order.values() for k, i in enumerate(ids)}
+    want = {}
+    for i, seen in above.items():
+        for kind in {EVENTS[a][2] for a in seen}:
+            want[name_of(i), kind] = EVENTS[max((a for a in seen if EVENTS[a][2] == kind), key=place.get)][4]
+    rows = ours(spark, folder, "v02_pinned_states")
+    assert {(r["at_entry"], r["store"]): r["value"] for r in rows} == want and len(rows) == len(want)
+    holds(rows, by_sql(folder, "v02_pinned_states"))
