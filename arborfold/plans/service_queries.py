@@ -198,13 +198,13 @@ def m12_sync_stats(spark: SparkSession, folder: str) -> DataFrame:
 @_query(f"""with {_SYNCS}, {_SETTINGS}, tp as (select distinct tree_id, peer_pubkey as peer from s where peer_pubkey is not null)
     select peer, e.tree_id, id as entry_id from (select distinct tree_id, id from entries where height % 50 = 3) e join tp using (tree_id) join settings using (tree_id) where sync_enabled and sync_on_commit""")
 def y03_fanout(spark: SparkSession, folder: str) -> DataFrame:
-    """New entries (here: those of every fiftieth height) for each peer that syncs their tree."""
+    """Every entry, as for peers that have nothing yet, for each peer that syncs its tree; the SQL has one height of fifty."""
     h = _history(spark, folder)
     return sync.fan_out(_new(spark, folder), _tree_peers(h), _settings(h))
 
 
 def _new(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "entries").where("height % 50 = 3").select("tree_id", F.col("id").alias("entry_id")).distinct()
+    return table(spark, folder, "entries").select("tree_id", F.col("id").alias("entry_id")).distinct()
 
 
 def _tree_peers(h: DataFrame) -> DataFrame:
@@ -215,7 +215,7 @@ def _tree_peers(h: DataFrame) -> DataFrame:
     select peer, count(*) as n_entries, min(id) as first_entry, max(id) as last_entry from (select distinct tree_id, id from entries where height % 50 = 3) join tp using (tree_id) join settings using (tree_id) where sync_enabled and sync_on_commit group by peer""")
 def y04_queue_drain(spark: SparkSession, folder: str) -> DataFrame:
     h = _history(spark, folder)
-    return sync.queue_sizes(sync.fan_out(_new(spark, folder), _tree_peers(h), _settings(h)))
+    return sync.queue_sizes(_new(spark, folder), _tree_peers(h), _settings(h))
 
 
 @_query("select event_id, cast(pow(2, least(event_id % 13, 6)) * 1000 as bigint) as backoff_ms, case when event_id % 13 >= 10 then 'given_up' when user_id * 500 >= pow(2, least(event_id % 13, 6)) * 1000 then 'due' else 'waiting' end as state from events")

@@ -177,3 +177,18 @@ def test_pinned_state_of_every_entry(spark, folder):
     rows = ours(spark, folder, "v02_pinned_states")
     assert {(r["at_entry"], r["store"]): r["value"] for r in rows} == want and len(rows) == len(want)
     holds(rows, by_sql(folder, "v02_pinned_states"))
+
+
+def test_fanout_and_queues_of_every_entry(spark, tmp_path):
+    """Tree t is synced by p and q, u by p only and not on commit, v by nobody; heights are of any kind, or null."""
+    trees_of = [("t", f"e{i}", i if i % 3 else None) for i in range(12)] + [("u", "e90", 3), ("v", "e91", 53), (None, "e92", 3)]
+    rows = trees_of + trees_of[:2]
+    pq.write_table(pa.table({"tree_id": pa.array([r[0] for r in rows], pa.string()), "id": [r[1] for r in rows], "height": pa.array([r[2] for r in rows], pa.int64())}), tmp_path / "entries.parquet")
+    syncs = [("s1", "t", "p", True, 20), ("s2", "t", "q", True, 1), ("s3", "u", "p", True, 1), ("s4", "v", None, True, 20), ("s1", "t", "p", True, 20)]
+    names = ["sync_id", "tree_id", "peer_pubkey", "success", "entries_count"]
+    pq.write_table(pa.table(dict(zip(names, zip(*syncs))) | {"duration_ms": [1.0] * len(syncs)}), tmp_path / "sync_history.parquet")
+    want = {(p, "t", f"e{i}") for p in "pq" for i in range(12)}
+    got = [(r["peer"], r["tree_id"], r["entry_id"]) for r in ours(spark, str(tmp_path), "y03_fanout")]
+    assert len(got) == len(want) and set(got) == want
+    queues = {r["peer"]: (r["n_entries"], r["first_entry"], r["last_entry"]) for r in ours(spark, str(tmp_path), "y04_queue_drain")}
+    assert queues == {"p": (12, "e0", "e9"), "q": (12, "e0", "e9")}
