@@ -25,7 +25,10 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents with passages of test items, how much of each item they have, and how similar the closest window is."""
+    """Documents with passages of test items, how much of each item they have, and how similar the closest window is.
+
+    Equal windows are all found; of pairs that have only similar ones ("near") most are lost at distance 1.
+    """
     found = leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
     return found.withColumn("part", F.when(F.col("covered_words") >= 0.8 * F.col("item_words"), "whole").when(F.col("covered_words") > 0, "part").otherwise("near"))
 
