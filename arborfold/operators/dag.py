@@ -1,19 +1,23 @@
 """Operators on entry graphs: tips, closures, paths, merge bases, differences and reachability.
 
 entries has (tree_id, entry_id, ...), edges (tree_id, child_id, parent_id); entry ids are unique over all trees. Closures
-run as block-wise cascades (see references.cascade), so neither deep chains nor one large tree end up in one task.
+run in blocks of bounded size (see Blocks), so no large tree ends up in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborfold.operators.hierarchy import values
-from arborfold.operators.references import cascade
+from arborfold.plans.cut import Cut
+
+#: Edges in a block of a closure.
+BLOCK_ROWS = 500_000
 
 
 def tree_tips(entries: DataFrame, edges: DataFrame) -> DataFrame:
@@ -36,25 +40,69 @@ def is_tip(entries: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.withColumn("is_tip", F.col("_p").isNull()).drop("_t", "_p")
 
 
-def _reach(edges: DataFrame, seeds: DataFrame, up: bool) -> DataFrame:
-    a, b = ("parent_id", "child_id") if up else ("child_id", "parent_id")
-    links = edges.select(F.col(a).alias("c"), F.col(b).alias("p"), F.col("tree_id").alias("grp"), F.col("child_id").alias("at"))
-    start = seeds.select(F.col("entry_id").alias("n")).where("n is not null")
-    return cascade(links, start).unionAll(start).distinct().withColumnRenamed("n", "entry_id")
+class Blocks:
+    """Edges laid out in blocks for closures, as written tables that any number of closures over them can share.
+
+    Blocks are range partitions of tree and child. A round of a closure follows each block's own edges from the entries
+    that reach it to their end, and hands what it found on to the blocks that refer to it. Only blocks that new entries
+    reach are read again, but a way through k blocks takes k rounds: trees smaller than a block take one or two.
+    """
+
+    def __init__(self, edges: DataFrame, up: bool = True, block_rows: int = BLOCK_ROWS) -> None:
+        """up: from children to parents."""
+        spark = edges.sparkSession
+        self.cut = Cut(spark)
+        a, b = ("parent_id", "child_id") if up else ("child_id", "parent_id")
+        links = edges.select(F.col(a).alias("c"), F.col(b).alias("p"), "tree_id", F.col("child_id").alias("at")).where("c is not null and p is not null and c <> p")
+        links = self.cut.write(links)
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-links.count() // block_rows))
+        self.placed = self.cut.write(links.repartitionByRange(n, "tree_id", "at").select("c", "p", F.spark_partition_id().alias("blk")))
+        self.cut.drop(links)
+        self.wanted = self.cut.write(self.placed.select("p", "blk").distinct())
+
+    def reach(self, seeds: DataFrame) -> DataFrame:
+        """entry_id of the seeds (entry_id) and of everything that the edges lead to from them, each once."""
+        new = self.cut.write(seeds.select(F.col("entry_id").alias("n")).where("n is not null").distinct())
+        parts = [new]
+        while True:
+            into = self.cut.write(new.join(self.wanted, new["n"] == self.wanted["p"]).select("n", "blk"))
+            if into.isEmpty():
+                break
+            touched = self.placed.join(into.select("blk").distinct(), "blk", "left_semi")
+            reached = touched.groupBy("blk").cogroup(into.groupBy("blk")).applyInArrow(_follow, "n string").distinct()
+            new = self.cut.write(reached.join(reduce(DataFrame.unionAll, parts), "n", "left_anti"))
+            if new.isEmpty():
+                break
+            parts.append(new)
+        return reduce(DataFrame.unionAll, parts).withColumnRenamed("n", "entry_id")
+
+
+def _follow(edges: pa.Table, start: pa.Table) -> pa.Table:
+    """Everything that the edges (c after p) lead to from the start entries."""
+    after: dict = {}
+    for x, y in zip(edges["c"].to_pylist(), edges["p"].to_pylist()):
+        after.setdefault(y, []).append(x)
+    todo, seen = start["n"].to_pylist(), set()
+    while todo:
+        for x in after.get(todo.pop(), ()):
+            if x not in seen:
+                seen.add(x)
+                todo.append(x)
+    return pa.table({"n": pa.array(list(seen), pa.string())})
 
 
 def ancestors(edges: DataFrame, tips: DataFrame, stop: DataFrame | None = None) -> DataFrame:
     """entry_id of the tips and everything above them; stop entries are left out and not passed."""
     if stop is None:
-        return _reach(edges, tips, True)
+        return Blocks(edges).reach(tips)
     ends = stop.select(F.col("entry_id").alias("_e")).where("_e is not null").distinct()
     inner = edges.join(ends, F.col("child_id") == F.col("_e"), "left_anti").join(ends, F.col("parent_id") == F.col("_e"), "left_anti")
-    return _reach(inner, tips.join(ends, F.col("entry_id") == F.col("_e"), "left_anti"), True)
+    return Blocks(inner).reach(tips.join(ends, F.col("entry_id") == F.col("_e"), "left_anti"))
 
 
 def descendants(edges: DataFrame, start: DataFrame) -> DataFrame:
     """entry_id of the start entries and everything below them."""
-    return _reach(edges, start, False)
+    return Blocks(edges, up=False).reach(start)
 
 
 def tree_at(entries: DataFrame, edges: DataFrame, tips: DataFrame) -> DataFrame:
@@ -124,7 +172,8 @@ def ids_added(edges: DataFrame, before: DataFrame, after: DataFrame, strict: boo
     """entry_id of what `after` has above it and `before` has not; strict only stops at the entries of `before`."""
     if strict:
         return ancestors(edges, after, before)
-    return ancestors(edges, after).join(ancestors(edges, before), "entry_id", "left_anti")
+    blocks = Blocks(edges)
+    return blocks.reach(after).join(blocks.reach(before), "entry_id", "left_anti")
 
 
 def merge_bases(edges: DataFrame, requests: DataFrame) -> DataFrame:

@@ -4,10 +4,14 @@ A round of the contraction looks at every node's number of parents and children
 - rakes leaves: a node without children leaves, its links are recorded;
 - compresses unary chains: a node with one parent (and any children) leaves, its children are linked to its parent with
   the sum of the lengths. A coin per node and round picks which nodes leave, so that none leaves together with its parent.
-Every recorded link points to a node that stays, links never become more, and about two thirds of them leave in a round.
-When they fit into one task, what is left is solved there; nodes of this core that no order reaches run into a cycle.
-If rounds remove nothing any more before that, every node left has a cycle below it, and the core is peeled from above.
-The records are then replayed backwards, last round first: a node's value is the best of its recorded parents' values.
+Every recorded link points to a node that stays, links never become more, and about half of them leave in a round. A
+cycle shrinks like a chain, to a node that is its own parent.
+
+Rounds end when few links are left or when they do not help any more: every node left then has a cycle at or below it.
+Such a core is solved in one task while its links and what its paths or ancestors will hold are few (fixed bounds), and
+level by level from above otherwise; nodes that no order reaches run into a cycle. The records are then replayed
+backwards, last round first: a node's value is the best of its recorded parents' values, and a node that left between
+two nodes of one cycle is on it.
 
 Nodes may have several parents (merges): depth is the number of links on the longest way up, the path is that way (of
 several longest ones the smallest in the order of ids), and ancestors are those over any way.
@@ -25,9 +29,11 @@ from pyspark.sql import functions as F
 
 from arborfold.plans.cut import Cut
 
-#: Links that are solved in one task. Rounds also end when some in a row remove nothing: only cycles are left then.
-CORE_LINKS = 150_000
-IDLE_ROUNDS = 4
+#: Rounds end at this many links.
+CORE_LINKS = 2_000
+#: Rounds also end when two in a row leave more than this share of the links; up to so many links are then solved in one
+#: task, if all paths or ancestors in it have at most so many elements (eight characters of a path count as one).
+SLOW, STUCK_LINKS, CORE_ELEMENTS = 0.9, 20_000, 20_000_000
 SEP = "/"
 
 
@@ -129,7 +135,100 @@ def _one_task(df: DataFrame) -> DataFrame:
     return df.repartition(1)
 
 
-def values(links: DataFrame, roots: DataFrame, payload: str | None = None, core_links: int = CORE_LINKS) -> DataFrame:
+def _size(live: DataFrame, payload: str | None) -> tuple[int, int]:
+    """Links, and at most how many elements all paths or ancestors of their nodes have."""
+    held = {"path": F.ceil((F.length("seg") + F.length("c") + 1) / 8), "ancestors": F.size("between") + 1}.get(payload, F.lit(0))
+    n, all_ = live.agg(F.count(F.lit(1)), F.sum(held)).first()
+    return n, n * (all_ or 0)
+
+
+class _Contracted:
+    """Links after all rounds (live), and for each round what it recorded and the links before it."""
+
+    def __init__(self, live: DataFrame, payload: str | None, cut: Cut, core_links: int, stuck_links: int) -> None:
+        self.records: list[DataFrame] = []
+        self.before: list[DataFrame] = []
+        slow = 0
+        count, held = _size(live, payload)
+        while (count > core_links or held > CORE_ELEMENTS) and slow < 2:
+            done = cut.write(_round(live, len(self.records), payload), partition_by="_gone")
+            self.records.append(done.where("_gone").drop("_gone"))
+            self.before.append(live)
+            live, was = done.where("not _gone").drop("_gone"), count
+            count, held = _size(live, payload)
+            slow = slow + 1 if count > SLOW * was else 0
+        self.live, self.small = live, count <= max(core_links, stuck_links) and held <= CORE_ELEMENTS
+
+
+class Hierarchy:
+    """The contraction of links, the values of all nodes, and the nodes on cycles; see values()."""
+
+    def __init__(self, links: DataFrame, roots: DataFrame, payload: str | None = None, core_links: int = CORE_LINKS, stuck_links: int = STUCK_LINKS) -> None:
+        spark = links.sparkSession
+        self._cut = cut = Cut(spark)
+        self._stuck_links = stuck_links
+        key = links.schema["c"].dataType
+        live = links.where(F.col("c").isNotNull() & F.col("p").isNotNull()).select("c", "p", F.lit(1).cast("bigint").alias("w"), *(["m"] if payload == "floor" else []))
+        if payload == "path":
+            live = live.withColumn("seg", F.lit(""))
+        if payload == "ancestors":
+            live = live.withColumn("between", F.array().cast("array<string>"))
+        live = cut.write(live)
+        top = roots.groupBy("n").agg((F.max("m") if payload == "floor" else F.lit(None)).cast("bigint").alias("m")).where("n is not null").join(live.select(F.col("c").alias("n")), "n", "left_anti")
+        top = cut.write(top)
+        self._done = done = _Contracted(live, payload, cut, core_links, stuck_links)
+        live = done.live
+        own = {"path": F.col("n"), "ancestors": F.array().cast("array<string>"), "floor": F.col("m")}.get(payload)
+        start = top.select("n", F.lit(0).cast("bigint").alias("depth"), F.lit(False).alias("bad"), F.lit(False).alias("cyclic"), *([own.alias(payload)] if payload else []))
+        if done.small:
+            schema = f"n {key.simpleString()}, depth bigint, bad boolean, cyclic boolean" + (f", {payload} {_TYPE[payload]}" if payload else "")
+            flagged = live.join(top.select(F.col("n").alias("p"), F.col("m").alias("root_m"), F.lit(True).alias("ok")), "p", "left")
+            extra = F.col(_EXTRA[payload][0]) if payload else F.lit(None).cast("string")
+            rows = flagged.select("c", "p", "w", F.coalesce("ok", F.lit(False)).alias("ok"), "root_m", extra.alias("extra"))
+            core = cut.write(_one_task(rows).mapInArrow(_solver(payload, key.simpleString()), schema))
+            self._cyclic = live
+        else:
+            core, self._cyclic = _descend(live, start, payload, cut)
+        self._core = core
+        parts = [start, core]
+        for record in reversed(done.records):
+            parts.append(cut.write(_replay(record, reduce(DataFrame.unionByName, parts), payload)))
+        self.values = reduce(DataFrame.unionByName, parts)
+
+    def on_cycles(self) -> DataFrame:
+        """n of every node that is its own ancestor."""
+        cut, stuck = self._cut, self._core.where("cyclic").select("n")
+        links = self._cyclic.select("c", "p").distinct()
+        links = links.join(stuck.withColumnRenamed("n", "c"), "c", "left_semi").join(stuck.withColumnRenamed("n", "p"), "p", "left_semi")
+        labels = _strong_parts(cut.write(links), cut, self._stuck_links)
+        if labels is None:
+            return stuck.where("false")
+        parts = [labels]
+        for record, before in zip(reversed(self._done.records), reversed(self._done.before)):
+            known = reduce(DataFrame.unionAll, parts)
+            over = record.select("c", "p").distinct().join(known.select(F.col("n").alias("p"), "part"), "p")
+            kids = before.select(F.col("c").alias("kid"), F.col("p").alias("c")).join(known.select(F.col("n").alias("kid"), F.col("part").alias("kid_part")), "kid")
+            parts.append(cut.write(over.join(kids, "c").where("part = kid_part").select(F.col("c").alias("n"), "part").distinct()))
+        return reduce(DataFrame.unionAll, parts).select("n")
+
+
+def _solver(payload: str | None, key: str):  # noqa: ANN202
+    arrow = pa.string() if key == "string" else pa.int64()
+    more_type = {"path": pa.string(), "ancestors": pa.list_(pa.string()), "floor": pa.int64()}.get(payload)
+    types, names = [arrow, pa.int64(), pa.bool_(), pa.bool_(), more_type], ["n", "depth", "bad", "cyclic", payload]
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+        out = list(_solve(rows, payload))
+        size = 20_000
+        for i in range(0, len(out), size):
+            part = list(zip(*out[i : i + size]))[: 5 if payload else 4]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(part, types)], names[: len(part)])
+
+    return solve
+
+
+def values(links: DataFrame, roots: DataFrame, payload: str | None = None, core_links: int = CORE_LINKS, stuck_links: int = STUCK_LINKS) -> DataFrame:
     """The value of every node: n, depth, bad, cyclic[, path | ancestors | floor]; a union of written tables.
 
     links has (c, p), of any one key type (strings for a payload); repeated links change nothing, rows with a null do
@@ -140,71 +239,47 @@ def values(links: DataFrame, roots: DataFrame, payload: str | None = None, core_
     "floor": the larger of the node's own number (m, a column of links for the child and of roots) and one more than the
     largest floor of its parents, where parents without links or number do not count.
     """
-    spark = links.sparkSession
-    cut = Cut(spark)
-    key = links.schema["c"].dataType
-    live = links.where(F.col("c").isNotNull() & F.col("p").isNotNull()).select("c", "p", F.lit(1).cast("bigint").alias("w"), *(["m"] if payload == "floor" else []))
-    if payload == "path":
-        live = live.withColumn("seg", F.lit(""))
-    if payload == "ancestors":
-        live = live.withColumn("between", F.array().cast("array<string>"))
-    live = cut.write(live)
-    top = roots.groupBy("n").agg((F.max("m") if payload == "floor" else F.lit(None)).cast("bigint").alias("m")).where("n is not null").join(live.select(F.col("c").alias("n")), "n", "left_anti")
-    top = cut.write(top)
-
-    count, turn, idle, records = live.count(), 0, 0, []
-    while count > core_links and idle < IDLE_ROUNDS:
-        done = cut.write(_round(live, turn, payload), partition_by="_gone")
-        records.append(done.where("_gone").drop("_gone"))
-        live, turn = done.where("not _gone").drop("_gone"), turn + 1
-        left = live.count()
-        idle, count = idle + 1 if left == count else 0, left
-    schema = f"n {key.simpleString()}, depth bigint, bad boolean, cyclic boolean" + (f", {payload} {_TYPE[payload]}" if payload else "")
-    more_type = {"path": pa.string(), "ancestors": pa.list_(pa.string()), "floor": pa.int64()}.get(payload)
+    return Hierarchy(links, roots, payload, core_links, stuck_links).values
 
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
-        out = list(_solve(rows, payload))
-        size = 20_000
-        for i in range(0, len(out), size):
-            part = list(zip(*out[i : i + size]))[: 5 if payload else 4]
-            types = [pa.string() if key.simpleString() == "string" else pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), more_type]
-            names = ["n", "depth", "bad", "cyclic", payload]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(part, types)], names[: len(part)])
-
-    flagged = live.join(top.select(F.col("n").alias("p"), F.col("m").alias("root_m"), F.lit(True).alias("ok")), "p", "left")
-    extra = F.col(_EXTRA[payload][0]) if payload else F.lit(None).cast("string")
-    core = _one_task(flagged.select("c", "p", "w", F.coalesce("ok", F.lit(False)).alias("ok"), "root_m", extra.alias("extra"))).mapInArrow(solve, schema)
-    own = {"path": F.col("n"), "ancestors": F.array().cast("array<string>"), "floor": F.col("m")}.get(payload)
-    start = top.select("n", F.lit(0).cast("bigint").alias("depth"), F.lit(False).alias("bad"), F.lit(False).alias("cyclic"), *([own.alias(payload)] if payload else []))
-    parts = [start, cut.write(core) if count <= core_links else _peel(live, start, payload, cut)]
-    for record in reversed(records):
-        parts.append(cut.write(_replay(record, reduce(DataFrame.unionByName, parts), payload)))
-    return reduce(DataFrame.unionByName, parts)
 
+def _descend(live: DataFrame, start: DataFrame, payload: str | None, cut: Cut) -> tuple[DataFrame, DataFrame]:
+    """Values of a core that is too large for one task, and the links between its cyclic nodes.
 
-def _peel(live: DataFrame, start: DataFrame, payload: str | None, cut: Cut) -> DataFrame:
-    """Values of a core that is too large for one task: level by level from above; what is never reached is cyclic."""
+    Level by level from above: a link to a node with a value takes that value with it (ground) and is not read again as a
+    link; a node of which all links have done so has a value. What is left in the end has a cycle above it.
+    """
+    extra = _EXTRA[payload]
     parts: list[DataFrame] = []
+    new, first = start, True
+    ground = None
     while True:
-        open_ = live.select(F.col("c").alias("k")).distinct()
-        waiting = cut.write(live.join(open_, F.col("p") == F.col("k"), "left_semi").select("c").distinct())
-        ready = cut.write(live.join(waiting, "c", "left_anti"))
-        if ready.isEmpty():
+        known = new.select(F.col("n").alias("p"), F.col("depth").alias("p_depth"), F.col("bad").alias("p_bad"), F.col("cyclic").alias("p_cyclic"), *([F.col(payload).alias("p_more")] if payload else []))
+        if first:  # parents without links upwards, whether they are roots or not
+            tops = live.select("p").join(live.select(F.col("c").alias("p")), "p", "left_anti").distinct()
+            known = tops.join(known, "p", "left")
+        passed = live.join(known, "p").select("c", "p", "w", *extra, "p_depth", "p_bad", F.col("p_cyclic").alias("cyclic"), *(["p_more"] if payload else []))
+        ground = cut.write(passed if ground is None else ground.unionByName(passed))
+        live = cut.write(live.join(known.select("p"), "p", "left_anti"))
+        ready = ground.join(live.select("c").distinct(), "c", "left_anti")
+        new, first = cut.write(_best(ready, payload)), False
+        if new.isEmpty():
             break
-        parts.append(cut.write(_replay(ready, reduce(DataFrame.unionByName, parts, start), payload)))
-        live = cut.write(live.join(waiting, "c", "left_semi"))
+        parts.append(new)
+        ground = cut.write(ground.join(live.select("c").distinct(), "c", "left_semi"))
     none = [F.lit(None).cast(t).alias(x) for x, t in (("depth", "bigint"), ("bad", "boolean"))]
-    more = ["ancestors"] if payload == "ancestors" else [F.lit(None).cast(_TYPE[payload]).alias(payload)] if payload else []
-    nodes = _closed(live, reduce(DataFrame.unionByName, parts, start), cut) if payload == "ancestors" else live.select(F.col("c").alias("n")).distinct()
-    stuck = nodes.select("n", *none, F.lit(True).alias("cyclic"), *more)
-    return reduce(DataFrame.unionByName, parts, cut.write(stuck))
+    if payload == "ancestors":
+        stuck = _closed(live, ground, cut).select("n", *none, F.lit(True).alias("cyclic"), "ancestors")
+    else:
+        stuck = live.select(F.col("c").alias("n")).distinct().select("n", *none, F.lit(True).alias("cyclic"), *([F.lit(None).cast(_TYPE[payload]).alias(payload)] if payload else []))
+    return reduce(DataFrame.unionByName, parts, cut.write(stuck)), live
 
 
-def _closed(live: DataFrame, known: DataFrame, cut: Cut) -> DataFrame:
+def _closed(live: DataFrame, ground: DataFrame, cut: Cut) -> DataFrame:
     """n, ancestors of the nodes of a core in which every node has a cycle above: the ways between them, doubled in each round."""
-    own = cut.write(_replay(live, known, "ancestors").select("n", "ancestors"))
-    reach = cut.write(live.join(own.select(F.col("n").alias("p")), "p", "left_semi").select("c", "p").distinct())
+    inner = live.select("c", F.concat(F.array("p"), "between").alias("a"))
+    outer = ground.select("c", F.concat(F.coalesce("p_more", F.array().cast("array<string>")), F.array("p"), "between").alias("a"))
+    own = cut.write(inner.unionAll(outer).groupBy(F.col("c").alias("n")).agg(F.array_distinct(F.flatten(F.collect_list("a"))).alias("ancestors")))
+    reach = cut.write(live.select("c", "p").distinct())
     before, count = -1, reach.count()
     while before < count:
         on = reach.select(F.col("c").alias("p"), F.col("p").alias("q"))
@@ -219,7 +294,11 @@ def _closed(live: DataFrame, known: DataFrame, cut: Cut) -> DataFrame:
 def _replay(record: DataFrame, known: DataFrame, payload: str | None) -> DataFrame:
     """Values of the nodes that left in one round, from those of the nodes that stayed; an unknown parent is no root."""
     up = known.select(F.col("n").alias("p"), F.col("depth").alias("p_depth"), F.col("bad").alias("p_bad"), "cyclic", *([F.col(payload).alias("p_more")] if payload else []))
-    joined = record.join(up, "p", "left")
+    return _best(record.join(up, "p", "left"), payload)
+
+
+def _best(joined: DataFrame, payload: str | None) -> DataFrame:
+    """Values of nodes from all their links, which carry the values of the parents (null: no root)."""
     no = F.lit(False)
     depth = F.when(~F.coalesce("cyclic", no), F.coalesce("p_depth", F.lit(0)) + F.col("w"))
     out = [F.max(depth).alias("depth"), F.max(F.coalesce("p_bad", F.col("cyclic").isNull())).alias("bad"), F.max(F.coalesce("cyclic", no)).alias("cyclic")]
@@ -238,73 +317,109 @@ def _replay(record: DataFrame, known: DataFrame, payload: str | None) -> DataFra
     return values_.select("n", *clean, "cyclic", *more)
 
 
-def on_cycles(links: DataFrame, found: DataFrame, core_links: int = CORE_LINKS) -> DataFrame:
-    """n of every node that is its own ancestor: the strongly connected parts among the links between cyclic nodes.
+def below(links: DataFrame, seeds: DataFrame, core_links: int = CORE_LINKS, stuck_links: int = STUCK_LINKS) -> DataFrame:
+    """n of every node with a seed above it, over one or more links; without the seeds themselves. A union of written tables.
 
-    If these links are too many for one task, nodes that no cycle is below are taken out by a contraction in the other
-    direction, and what is left is divided into its connected components, each of which is solved on its own.
+    links has (c, p), seeds (n). The links of a seed do not matter, so they are left out; the rest is contracted, and
+    the rounds are followed downwards by semi-joins: a recorded node is below a seed if one of its recorded parents is a
+    seed or below one. Cycles and repeated links do no harm; rows with a null do not count.
     """
     cut = Cut(links.sparkSession)
+    key = links.schema["c"].dataType.simpleString()
+    seeds = cut.write(seeds.where("n is not null").select("n").distinct())
+    live = links.where("c is not null and p is not null and c <> p").join(seeds.withColumnRenamed("n", "c"), "c", "left_anti")
+    done = _Contracted(cut.write(live.select("c", "p", F.lit(1).cast("bigint").alias("w"))), None, cut, core_links, stuck_links)
+    core = done.live.select("c", "p")
+    if done.small:
+        rows = core.unionAll(seeds.join(core, seeds["n"] == core["p"], "left_semi").select(F.lit(None).cast(key).alias("c"), F.col("n").alias("p")))
+        parts = [seeds, cut.write(_one_task(rows).mapInArrow(_follower(key), f"n {key}"))]
+    else:
+        parts = [seeds]
+        new = seeds
+        while not new.isEmpty():
+            reached = core.join(new.withColumnRenamed("n", "p"), "p", "left_semi").select(F.col("c").alias("n")).distinct()
+            new = cut.write(reached.join(reduce(DataFrame.unionAll, parts), "n", "left_anti"))
+            parts.append(new)
+    for record in reversed(done.records):
+        known = reduce(DataFrame.unionAll, parts).withColumnRenamed("n", "p")
+        parts.append(cut.write(record.join(known, "p", "left_semi").select(F.col("c").alias("n")).distinct()))
+    return reduce(DataFrame.unionAll, parts[1:])
+
+
+def _follower(key: str):  # noqa: ANN202
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        under: dict = {}
+        todo, seen = [], set()
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if x is None:
+                    todo.append(y)
+                else:
+                    under.setdefault(y, []).append(x)
+        while todo:
+            for x in under.get(todo.pop(), ()):
+                if x not in seen:
+                    seen.add(x)
+                    todo.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string() if key == "string" else pa.int64())], ["n"])
+
+    return follow
+
+
+def _strong_parts(links: DataFrame, cut: Cut, stuck_links: int) -> DataFrame | None:
+    """n, part of the nodes on cycles of the links (c, p), equal for nodes of one strongly connected part; None if there are no links.
+
+    Few links are solved in one task. Otherwise: every node takes the largest node at or above it as its colour, round by
+    round; what is reached downwards from a node of its own colour inside the colour has that node above it, and what
+    reaches it upwards inside the colour is its part. Parts are taken out, and the rest goes on.
+    """
     kind = links.schema["c"].dataType.simpleString()
+    if links.isEmpty():
+        return None
+    parts: list[DataFrame] = []
+    while (count := links.count()) > stuck_links:
+        nodes = links.select(F.col("c").alias("n")).unionAll(links.select("p")).distinct()
+        last = colour = cut.write(nodes.select("n", F.col("n").alias("col")))
+        while True:
+            up = links.join(colour.select(F.col("n").alias("p"), F.col("col").alias("p_col")), "p").groupBy(F.col("c").alias("n")).agg(F.max("p_col").alias("p_col"))
+            held = cut.write(colour.join(up, "n", "left").select("n", F.greatest("col", "p_col").alias("col"), F.col("col").alias("was")))
+            cut.drop(last)
+            last, colour = held, held.drop("was")
+            if held.where("col <> was").isEmpty():
+                break
+        a, b = colour.select(F.col("n").alias("c"), F.col("col").alias("col")), colour.select(F.col("n").alias("p"), F.col("col").alias("p_col"))
+        inside = cut.write(links.join(a, "c").join(b, "p").where("col = p_col").select("c", "p", "col"))
+        # upwards from each colour's own node
+        own = inside.where("c = col")
+        found = cut.write(own.select(F.col("p").alias("n")).distinct())
+        new = found
+        while not new.isEmpty():
+            above = inside.join(new.withColumnRenamed("n", "c"), "c", "left_semi").select(F.col("p").alias("n")).distinct()
+            new = cut.write(above.join(found, "n", "left_anti"))
+            found = cut.write(found.unionAll(new))
+        # all that the colour's node reaches upwards has that node above it too, as its colour says: one part
+        part = cut.write(colour.join(found, "n", "left_semi").select("n", F.col("col").alias("part")))
+        parts.append(part)
+        gone = colour.where("n = col").select("n").unionAll(part.select("n")).distinct()
+        left = links.join(gone.withColumnRenamed("n", "c"), "c", "left_anti").join(gone.withColumnRenamed("n", "p"), "p", "left_anti")
+        links = cut.write(left)
+    if count:
+        parts.append(cut.write(_one_task(links).mapInArrow(_part_finder(kind), f"n {kind}, part {kind}")))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _part_finder(kind: str):  # noqa: ANN202
     arrow = pa.string() if kind == "string" else pa.int64()
 
-    def within(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-        some = nodes.select("n")
-        return rows.join(some.withColumnRenamed("n", "c"), "c", "left_semi").join(some.withColumnRenamed("n", "p"), "p", "left_semi").select("c", "p")
-
-    among = cut.write(within(links.select("c", "p"), found.where("cyclic")))
-
-    def solve(c: list, p: list) -> pa.Array:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         up: dict = {}
-        for x, y in zip(c, p):
-            up.setdefault(x, set()).add(y)
-        return pa.array(_strong(up), arrow)
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(b.column(0).to_pylist(), b.column(1).to_pylist()) for b in batches]
-        yield pa.RecordBatch.from_arrays([solve([x for c, _ in rows for x in c], [y for _, p in rows for y in p])], ["n"])
-
-    if among.count() <= core_links:
-        return _one_task(among).mapInArrow(task, f"n {kind}")
-    down = values(among.select(F.col("p").alias("c"), F.col("c").alias("p")), among.select(F.col("c").alias("n")).where("false"), core_links=core_links)
-    core = cut.write(within(among, down.where("cyclic")))
-    part = components(core).withColumnRenamed("n", "c")
-    return core.join(part, "c").groupBy("part").applyInArrow(lambda t: pa.table({"n": solve(t["c"].to_pylist(), t["p"].to_pylist())}), f"n {kind}")
-
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                up.setdefault(x, set()).add(y)
+        rows = [(n, part[0]) for part in _parts(up) if len(part) > 1 or part[0] in up[part[0]] for n in part]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], arrow), pa.array([r[1] for r in rows], arrow)], ["n", "part"])
 
-def components(links: DataFrame) -> DataFrame:
-    """n and part, the smallest node of its connected component; links (c, p) count in both directions.
-
-    Each round takes the smallest label of the neighbours and then the label of the label, until nothing changes.
-    """
-    cut = Cut(links.sparkSession)
-    both = cut.write(links.select(F.col("c").alias("a"), F.col("p").alias("b")).unionAll(links.select("p", "c")).distinct())
-    labels = cut.write(both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.first("a")).alias("part")))
-    while True:
-        near = both.join(labels, F.col("b") == F.col("n")).groupBy("a").agg(F.min("part").alias("near"))
-        lower = cut.write(labels.join(near, F.col("n") == F.col("a")).select("n", F.least("part", "near").alias("part"), F.col("part").alias("was")))
-        over = lower.select(F.col("n").alias("o"), F.col("part").alias("over"))
-        jumped = cut.write(lower.join(over, F.col("part") == F.col("o")).select("n", F.col("over").alias("part"), "was"))
-        changed = not jumped.where("part <> was").isEmpty()
-        cut.drop(labels, lower)
-        labels = jumped.drop("was")
-        if not changed:
-            return labels
-
-
-def _strong(up: dict) -> list:
-    """Nodes on cycles. Nodes that nothing below a cycle needs are trimmed first."""
-    kids: dict = {}
-    for c, ps in up.items():
-        for p in ps:
-            kids[p] = kids.get(p, 0) + 1
-    idle = [n for n in up if not kids.get(n)]
-    while idle:
-        for p in up.pop(idle.pop()):
-            kids[p] -= 1
-            if not kids[p] and p in up:
-                idle.append(p)
-    return [n for part in _parts(up) if len(part) > 1 or part[0] in up[part[0]] for n in part]
+    return find
 
 
 def _parts(up: dict) -> Iterator[list]:

@@ -2,130 +2,114 @@
 
 A reference is direct if its target is missing, deleted, or arrived only after the reference was made. Missing and
 deleted targets leave the referring record orphaned, and every record that refers to an orphaned one inherits that.
-The cascade runs to a fixpoint of semi-joins down the references. To take few rounds on deep hierarchies the references
-lie in range partitions (blocks) of their group and time, and each round follows a block's own references to their end
-before newly orphaned records are handed to the blocks that refer to them.
+The cascade runs to a fixpoint of semi-joins down the references. References that form deep hierarchies are contracted
+first, so that the semi-joins follow some dozen rounds instead of every level (see hierarchy.below); references of many
+records to few targets, such as that of every entry to its tree, are followed one step at a time in between.
+
+A few targets can have most of the references. They are told apart by their counts, of which there are at most a
+thousand; only those few are sent to every task, and their references stay spread over all tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborfold.operators.hierarchy import CORE_LINKS, keyed, keys_collide
+from arborfold.operators.hierarchy import CORE_LINKS, below, keyed, keys_collide
 from arborfold.plans.cut import Cut
 
-BLOCK_ROWS = 500_000
+#: A target is hot if it has more references than this and than a thousandth of all.
+HOT_ROWS, HOT_SHARE = 50_000, 1_000
+
+
+class Targets:
+    """The distinct targets of references, as a written table, and which of them are hot."""
+
+    def __init__(self, refs: DataFrame, target: str, cut: Cut, facts: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> None:
+        """facts has (id, ...), unique; its columns come along, null for a target without any."""
+        counted = refs.groupBy(F.col(target).alias("_id")).agg(F.count(F.lit(1)).alias("_n")).where("_id is not null")
+        if facts is not None:
+            counted = counted.join(facts.withColumnRenamed("id", "_id").withColumn("_known", F.lit(True)), "_id", "left")
+        self.table = cut.write(counted)
+        total = self.table.agg(F.sum("_n")).first()[0] or 0
+        self.limit = max(hot_rows, total // HOT_SHARE)
+        self.target = target
 
+    def join(self, refs: DataFrame, facts: DataFrame, spread: str) -> DataFrame:
+        """refs with the columns of facts (_id, _n, ...: targets of this table), null for other targets.
 
-def direct(refs: DataFrame, targets: DataFrame) -> DataFrame:
-    """refs with reason: missing, deleted, late or null for a reference that holds.
+        Facts of hot targets (at most a thousand) are broadcast; their references are placed by the column `spread`.
+        """
+        names = [c for c in facts.columns if c not in ("_id", "_n")]
+        hot = facts.where(F.col("_n") > self.limit).select(F.col("_id").alias("_hot"), *[F.col(c).alias(f"_hot{c}") for c in names])
+        cold = facts.where(F.col("_n") <= self.limit).select(F.col("_id").alias("_cold"), *names)
+        first = refs.join(F.broadcast(hot), F.col(self.target) == F.col("_hot"), "left")
+        place = F.when(F.col("_hot").isNull(), F.col(self.target)).otherwise(F.col(spread))
+        both = first.join(cold, place == F.col("_cold"), "left")
+        return both.select(*refs.columns, *[F.when(F.col("_hot").isNotNull(), F.col(f"_hot{c}")).otherwise(F.col(c)).alias(c) for c in names])
 
-    refs has target_id and at; targets has id (unique), first_at and deleted. A null target is no reference. A reference
-    without a time is never late, nor is one to a target without an arrival.
+
+def direct(refs: DataFrame, targets: DataFrame, cut: Cut, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, Targets]:
+    """refs with reason: missing, deleted, late or null for a reference that holds; and the targets.
+
+    refs has ref_id, target_id and at; targets has id (unique), first_at and deleted. A null target is no reference. A
+    reference without a time is never late, nor is one to a target without an arrival.
     """
-    known = targets.select(F.col("id").alias("_id"), F.col("first_at").alias("_first"), F.col("deleted").alias("_gone"))
-    reason = F.when(F.col("_id").isNull(), "missing").when(F.col("_gone"), "deleted").when(F.col("_first") > F.col("at"), "late")
-    return refs.where("target_id is not null").join(known, F.col("target_id") == F.col("_id"), "left").withColumn("reason", reason).drop("_id", "_first", "_gone")
+    facts = targets.select("id", F.col("first_at").alias("_first"), F.col("deleted").alias("_gone"))
+    held = Targets(refs, "target_id", cut, facts, hot_rows)
+    reason = F.when(F.col("_known").isNull(), "missing").when(F.col("_gone"), "deleted").when(F.col("_first") > F.col("at"), "late")
+    judged = held.join(refs.where("target_id is not null"), held.table, "ref_id")
+    return judged.withColumn("reason", reason).drop("_first", "_gone", "_known"), held
 
 
-def cascade(links: DataFrame, seeds: DataFrame, block_rows: int = BLOCK_ROWS, written: bool = False, core_links: int = CORE_LINKS) -> DataFrame:
-    """n of every record that refers, over one or more links, to a seed; a written table.
+def cascade(deep: DataFrame, wide: DataFrame, seeds: DataFrame, core_links: int = CORE_LINKS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """n of every seed and of every record that refers, over one or more links, to a seed; each once, written tables.
 
-    links has (c, p, grp, at): record c refers to p; grp and at only decide which links share a block. seeds has (n).
-    Seeds that refer to no other seed are not in the result. Cycles and repeated links do no harm. written: the links are
-    read from a table, so that reading them twice costs less than another copy. Up to core_links links and seeds are
-    followed in one task.
+    deep and wide have (c, p): record c refers to p. Deep links may form hierarchies of any depth and are followed by
+    contraction; wide ones are followed by one semi-join for each time that a way changes from deep to wide links.
+    seeds has (n). Cycles and repeated links do no harm, rows with a null do not count.
     """
-    spark = links.sparkSession
-    cut = Cut(spark)
-    rows = links.where("c is not null and p is not null and c <> p")
-    key = links.schema["c"].dataType.simpleString()
-    start = rows.select("c", "p", "grp", "at")
-    start = start if written else cut.write(start)
-    seeds = cut.write(seeds.select("n").distinct())
-    count = start.count()
-    if max(count, seeds.count()) <= core_links:
-        return _cascade_in_one_task(start, seeds, key)
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // block_rows))
-    placed = cut.write(start.repartitionByRange(blocks, "grp", "at").select("c", "p", F.spark_partition_id().alias("blk")))
-    if not written:
-        cut.drop(start)
-    wanted = cut.write(placed.select("p", "blk").distinct())
-    arrow = pa.string() if key == "string" else pa.int64()
-
-    def follow(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = _below(left.column("c").to_pylist(), left.column("p").to_pylist(), right.column("n").to_pylist())
-        return pa.table({"n": pa.array(found, arrow)})
-
-    new, parts = seeds, []
+    cut = Cut(deep.sparkSession)
+    targets = Targets(wide, "p", cut, hot_rows=hot_rows)
+    new = cut.write(seeds.where("n is not null").select("n").distinct())
+    parts = [new, below(deep, new, core_links)]
+    fresh = reduce(DataFrame.unionAll, parts)
     while True:
-        into = cut.write(new.join(wanted, new["n"] == wanted["p"]).select("n", "blk"))
-        if into.isEmpty():
+        hit = cut.write(targets.table.join(fresh.withColumnRenamed("n", "_id"), "_id", "left_semi").withColumn("_hit", F.lit(True)))
+        if hit.isEmpty():
             break
-        touched = placed.join(into.select("blk").distinct(), "blk", "left_semi")
-        reached = touched.groupBy("blk").cogroup(into.groupBy("blk")).applyInArrow(follow, f"n {key}").distinct()
-        for p in parts:
-            reached = reached.join(p, "n", "left_anti")
-        new = cut.write(reached)
+        known = reduce(DataFrame.unionAll, parts)
+        referring = targets.join(wide.where("c is not null and p is not null"), hit, "c").where("_hit").select(F.col("c").alias("n")).distinct()
+        new = cut.write(referring.join(known, "n", "left_anti"))
         if new.isEmpty():
             break
-        parts.append(new)
-    return reduce(DataFrame.unionAll, parts) if parts else seeds.select("n").where("false")
-
-
-def _below(c: list, p: list, seeds: list) -> list:
-    """Everything that refers to a seed over one or more of the links (c, p)."""
-    below: dict = {}
-    for x, y in zip(c, p):
-        below.setdefault(y, []).append(x)
-    todo, seen = list(seeds), set()
-    while todo:
-        for x in below.get(todo.pop(), ()):
-            if x not in seen:
-                seen.add(x)
-                todo.append(x)
-    return list(seen)
-
-
-def _cascade_in_one_task(links: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
-    arrow = pa.string() if key == "string" else pa.int64()
-    rows = links.select("c", "p").unionAll(seeds.select(F.lit(None).cast(key).alias("c"), F.col("n").alias("p")))
-
-    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, p, start = [], [], []
-        for b in batches:
-            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if x is None:
-                    start.append(y)
-                else:
-                    c.append(x)
-                    p.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(_below(c, p, start), arrow)], ["n"])
-
-    return Cut(links.sparkSession).write(rows.repartition(1).mapInArrow(follow, f"n {key}"))
-
-
-def orphans(refs: DataFrame, targets: DataFrame, group: Column, block_rows: int = BLOCK_ROWS) -> DataFrame:
+        rest = deep.join(known.withColumnRenamed("n", "c"), "c", "left_anti")
+        fresh = new.unionAll(below(rest, new, core_links))
+        parts.append(fresh)
+    return reduce(DataFrame.unionAll, parts)
+
+
+def orphans(refs: DataFrame, targets: DataFrame, deep: Column, core_links: int = CORE_LINKS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every orphan reference: the columns of refs, reason and kind.
 
     refs has ref_table, ref_id, target_id, at; targets as in direct(). kind is direct (reason missing, deleted, late) or
     inherited (reason inherited): a reference to a record that is orphaned itself, over missing or deleted targets; a
-    late target is there by now and passes nothing on. group keeps references that hang together in the same blocks.
+    late target is there by now and passes nothing on. deep says which references may form deep hierarchies; the others
+    should have few targets. Empty tables give no rows; repeated references give a row each.
     """
     cut = Cut(refs.sparkSession)
-    judged = cut.write(direct(refs.withColumn("_grp", keyed(group)), targets))
-    hashed = not keys_collide(judged.select("ref_id"), judged.select("target_id"))
+    judged, held = direct(refs.withColumn("_deep", deep), targets, cut, hot_rows)
+    judged = cut.write(judged)
+    hashed = not keys_collide(judged.select("ref_id"), held.table.select("_id"))
     key = keyed if hashed else (lambda c: c)
     seeds = judged.where("reason in ('missing', 'deleted') and ref_id is not null").select(key(F.col("ref_id")).alias("n"))
-    links = judged.select(key(F.col("ref_id")).alias("c"), key(F.col("target_id")).alias("p"), F.col("_grp").alias("grp"), "at")
-    below = cascade(links, seeds, block_rows, written=True)
-    tainted = below.unionAll(seeds).distinct().select(F.col("n").alias("_n"), F.lit(True).alias("_tainted"))
-    holds = judged.where("reason is null").withColumn("_k", key(F.col("target_id")))
-    inherited = holds.join(tainted.drop("_tainted"), F.col("_k") == F.col("_n"), "left_semi").drop("_k").withColumn("reason", F.lit("inherited"))
-    every = judged.where("reason is not null").withColumn("kind", F.lit("direct")).unionByName(inherited.withColumn("kind", F.lit("inherited")))
-    return every.drop("_grp")
+    links = judged.select(key(F.col("ref_id")).alias("c"), key(F.col("target_id")).alias("p"), "_deep")
+    orphaned = cascade(links.where("_deep").drop("_deep"), links.where("not _deep").drop("_deep"), seeds, core_links, hot_rows)
+    below_it = held.table.select("_id", "_n", key(F.col("_id")).alias("n")).join(orphaned, "n", "left_semi").select("_id", "_n", F.lit(True).alias("_orphaned"))
+    every = held.join(judged, below_it, "ref_id")
+    own = F.col("reason").isNotNull()
+    kind = F.when(own, "direct").when(F.col("_orphaned"), "inherited")
+    out = every.withColumn("kind", kind).withColumn("reason", F.coalesce("reason", F.when(F.col("_orphaned"), "inherited")))
+    return out.where("kind is not null").drop("_deep", "_orphaned")

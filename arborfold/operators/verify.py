@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborfold.operators.dag import descendants, missing_parents, tree_tips
+from arborfold.operators.dag import Blocks, descendants, missing_parents, tree_tips
 
 VERIFIED, FAILED, UNVERIFIED = 0, 1, 2
 
@@ -37,12 +37,13 @@ def verify(entries: DataFrame, edges: DataFrame) -> DataFrame:
     below_failed = parents.where(F.col("p_status") == FAILED).select(F.col("child_id").alias("entry_id"))
     lost = parents.where(F.col("p_status").isNull()).select(F.col("child_id").alias("entry_id"))
     not_passing = open_.where("valid is null or not valid").select("entry_id")
-    held = descendants(inner, not_passing.unionAll(below_failed).unionAll(lost)).withColumn("_held", F.lit(True))
+    downwards = Blocks(inner, up=False)  # one layout for both closures
+    held = downwards.reach(not_passing.unionAll(below_failed).unionAll(lost)).withColumn("_held", F.lit(True))
     passes = open_.join(held, "entry_id", "left_anti").select("entry_id")
     settled = entries.where(F.col("status") == VERIFIED).select("entry_id").unionAll(passes).select(F.col("entry_id").alias("parent_id"))
     has_open_parent = inner.join(settled, "parent_id", "left_anti").select(F.col("child_id").alias("entry_id"))
     invalid = open_.where("valid = false").select("entry_id").join(has_open_parent, "entry_id", "left_anti")
-    failed = descendants(inner, invalid.unionAll(below_failed)).withColumn("_failed", F.lit(True))
+    failed = downwards.reach(invalid.unionAll(below_failed)).withColumn("_failed", F.lit(True))
     joined = entries.join(held, "entry_id", "left").join(failed, "entry_id", "left")
     new = F.when(F.col("status") != UNVERIFIED, F.col("status")).when(F.col("_failed"), FAILED).when(F.col("_held"), UNVERIFIED).otherwise(VERIFIED)
     return joined.withColumn("new_status", new).drop("_held", "_failed")

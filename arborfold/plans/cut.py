@@ -34,7 +34,7 @@ class Cut:
         self.base = f"{shared_dir(spark)}/arborfold-{uuid.uuid4().hex}"
         self._n = 0
         _written.append(self.base)
-        self._paths: dict[int, str] = {}
+        self._paths: dict[int, tuple[DataFrame, str]] = {}  # holds the tables, so that no other one gets the id of one
 
     def write(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         """df as a written table; it survives the loss of any executor."""
@@ -42,14 +42,13 @@ class Cut:
         path = f"{self.base}/{self._n}"
         df.write.option("compression", "zstd").parquet(path, partitionBy=partition_by)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
+        self._paths[id(out)] = out, path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            path = self._paths.pop(id(t), None)
-            if path:
-                _delete(self.spark, path)
+            if id(t) in self._paths:
+                _delete(self.spark, self._paths.pop(id(t))[1])
 
 
 def _delete(spark: SparkSession, path: str) -> None:

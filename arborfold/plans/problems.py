@@ -31,10 +31,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     hashed = not hierarchy.keys_collide(links_raw.select("child_id"), links_raw.select("parent_id"), entries_raw.select("id"))
     key = hierarchy.keyed if hashed else (lambda c: c)
     links, roots = _forest(spark, folder, hashed)
-    found = hierarchy.values(links, roots)
+    forest = hierarchy.Hierarchy(links, roots)
+    found = forest.values
     entries = entries_raw.where("height is not null").groupBy(key(F.col("id")).alias("n")).agg(F.max("id").alias("entry_id"), F.max("height").alias("height"))
     heights = entries.join(found.where("not bad and not cyclic"), "n").where("depth <> height").select("entry_id", F.lit("height").alias("problem"))
-    looped = hierarchy.on_cycles(links, found)
+    looped = forest.on_cycles()
     names = links_raw.select(key(F.col("child_id")).alias("n"), F.col("child_id").alias("entry_id"))
     cycles = names.join(looped, "n").select("entry_id", F.lit("cycle").alias("problem")).distinct()
     return heights.unionByName(cycles)
@@ -77,17 +78,18 @@ def p2_daily_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 def _orphans(spark: SparkSession, folder: str) -> DataFrame:
     links = table(spark, folder, "tree_parents").where("parent_id is not null")
-    by_link = links.groupBy("child_id", "parent_id").agg(F.min("recorded_at").alias("at"), F.max(hierarchy.keyed(F.col("tree_id"))).alias("grp"))
-    from_links = by_link.select(F.lit("tree_parents").alias("ref_table"), F.col("child_id").alias("ref_id"), F.col("parent_id").alias("target_id"), "at", "grp")
+    by_link = links.groupBy("child_id", "parent_id").agg(F.min("recorded_at").alias("at"))
+    from_links = by_link.select(F.lit("tree_parents").alias("ref_table"), F.col("child_id").alias("ref_id"), F.col("parent_id").alias("target_id"), "at")
     rows = table(spark, folder, "entries")
     targets = rows.groupBy("id").agg(F.min("received_at").alias("first_at"), F.max(F.col("deleted_at").isNotNull()).alias("deleted"), F.max("tree_id").alias("tree_id"))
-    from_entries = targets.where("tree_id is not null").select(F.lit("entries").alias("ref_table"), F.col("id").alias("ref_id"), F.col("tree_id").alias("target_id"), F.col("first_at").alias("at"), hierarchy.keyed(F.col("tree_id")).alias("grp"))
+    from_entries = targets.where("tree_id is not null").select(F.lit("entries").alias("ref_table"), F.col("id").alias("ref_id"), F.col("tree_id").alias("target_id"), F.col("first_at").alias("at"))
     refs = from_links.unionByName(from_entries)
-    return references.orphans(refs, targets.drop("tree_id"), F.col("grp")).drop("grp").withColumn("period", utc_month(F.col("at")))
+    found = references.orphans(refs, targets.drop("tree_id"), F.col("ref_table") == "tree_parents")
+    return found.withColumn("period", utc_month(F.col("at")))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Direct orphan references: missing, deleted or late targets."""
+    """Direct orphan references (missing, deleted or late targets), from the result of the cascade that also has the inherited ones."""
     found = _orphans(spark, folder).where("kind = 'direct'")
     return found.select("ref_table", "ref_id", F.col("target_id").alias("missing_id"), "reason", "period")
 

@@ -63,12 +63,13 @@ def random_links(seed):
 
 @pytest.mark.parametrize("seed", range(2))
 @pytest.mark.parametrize("payload", [None, "path", "ancestors"])
-@pytest.mark.parametrize("core", [0, 8])
-def test_values_equal_plain_walks(spark, seed, payload, core):
+@pytest.mark.parametrize(("core", "stuck"), [(0, 0), (8, 1000)])
+def test_values_equal_plain_walks(spark, seed, payload, core, stuck):
     links, roots = random_links(seed)
     df = spark.createDataFrame([(*x, 1, "clash") for x in links], "c string, p string, w long, mark_n string")
     top = spark.createDataFrame([(r, 0) for r in roots] + [(next(iter(roots)), 0)], "n string, depth long")
-    found = hierarchy.values(df, top, payload, core_links=core)
+    forest = hierarchy.Hierarchy(df, top, payload, core, stuck)
+    found = forest.values
     got = {r["n"]: r for r in found.collect()}
     want, looped = brute(links, roots)
     assert found.count() == len(got) and got.keys() == want.keys()
@@ -79,9 +80,8 @@ def test_values_equal_plain_walks(spark, seed, payload, core):
         if payload == "ancestors" and not cyclic:
             assert len(got[n]["ancestors"]) == len(above) and set(got[n]["ancestors"]) == above
     if payload is None:
-        for bound in (1000, 2):
-            rows = [r["n"] for r in hierarchy.on_cycles(df, found, bound).collect()]
-            assert len(rows) == len(set(rows)) and set(rows) == looped
+        rows = [r["n"] for r in forest.on_cycles().collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == looped
 
 
 def test_empty_links(spark):
@@ -89,13 +89,14 @@ def test_empty_links(spark):
     top = spark.createDataFrame([("r",)], "n string")
     assert [tuple(r) for r in hierarchy.values(empty, top).collect()] == [("r", 0, False, False)]
     assert hierarchy.values(empty, top.where("false")).count() == 0
-    assert hierarchy.on_cycles(empty, hierarchy.values(empty, top)).count() == 0
+    assert hierarchy.Hierarchy(empty, top).on_cycles().count() == 0
 
 
 def test_long_chain_and_star(spark):
     chain = [(f"c{i:05d}", f"c{i - 1:05d}") for i in range(1, 3000)] + [(f"s{i:05d}", "c00000") for i in range(2000)]
-    found = hierarchy.values(spark.createDataFrame(chain, "c string, p string"), spark.createDataFrame([("c00000",)], "n string"), core_links=500)
-    got = {r["n"]: r["depth"] for r in found.collect()}
+    forest = hierarchy.Hierarchy(spark.createDataFrame(chain, "c string, p string"), spark.createDataFrame([("c00000",)], "n string"), core_links=500)
+    assert len(forest._done.records) > 3
+    got = {r["n"]: r["depth"] for r in forest.values.collect()}
     assert got["c02999"] == 2999 and got["s01999"] == 1 and got["c00000"] == 0 and len(got) == 5000
 
 
@@ -116,3 +117,31 @@ def test_floors_by_contraction(spark):
     roots = spark.createDataFrame(list(zip(ids, own)), "n string, m long")
     got = {r["n"]: r["floor"] for r in hierarchy.values(df, roots, "floor", core_links=5).collect()}
     assert got == {**{ids[i]: want[i] for i in range(n)}, "late": 7}
+
+
+def test_one_large_cycle(spark):
+    """A cycle of 1,500 links with a tail above and one below shrinks to a node that is its own parent."""
+    n = 1_500
+    rows = spark.range(n).selectExpr("id as c", f"(id + 1) % {n} as p").unionAll(spark.sql("values (0L, 900000L), (900001L, 5L), (900002L, 900001L)"))
+    forest = hierarchy.Hierarchy(rows, spark.sql("select 900000L as n"), core_links=100, stuck_links=0)
+    assert forest._done.live.count() <= 100
+    assert sorted(r["n"] for r in forest.on_cycles().collect()) == list(range(n))
+    assert forest.values.where("cyclic").count() == n + 2
+
+
+def test_below_seeds(spark):
+    for seed in (1, 2):
+        links, _ = random_links(seed)
+        seeds = {"n010", "n020", "absent"}
+        up = {}
+        for c, p in links:
+            if c and p:
+                up.setdefault(c, set()).add(p)
+        want, grown = set(), True
+        while grown:
+            new = {c for c, ps in up.items() if c not in seeds and ps & (seeds | want)}
+            grown, want = new != want, new
+        df = spark.createDataFrame(links, "c string, p string")
+        for core, stuck in ((5, 0),):
+            got = [r["n"] for r in hierarchy.below(df, spark.createDataFrame([(s,) for s in [*seeds, "n010"]], "n string"), core, stuck).collect()]
+            assert len(got) == len(set(got)) and set(got) == want

@@ -9,7 +9,7 @@ from arborfold.plans import graph_queries, problems, service_queries, snapshot_q
 from tools import compare
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = [n for m in (problems, graph_queries, state_queries, service_queries) for n in m.QUERIES]
+NAMES = [n for m in (problems, graph_queries, state_queries, service_queries, snapshot_queries) for n in m.QUERIES]
 
 
 @pytest.fixture(scope="module")
