@@ -25,12 +25,16 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents with passages of test items, how much of each item they have, and how similar the closest window is.
-
-    Equal windows are all found; of pairs that have only similar ones ("near") most are lost at distance 1.
-    """
+    """Documents with passages of test items: how many of the item's words they have in equal parts, and how similar the
+    closest window of the item's size is. part: whole (0.8 of the words), near (as similar as that, but changed) or part."""
     found = leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
-    return found.withColumn("part", F.when(F.col("covered_words") >= 0.8 * F.col("item_words"), "whole").when(F.col("covered_words") > 0, "part").otherwise("near"))
+    part = F.when(F.col("covered_words") >= 0.8 * F.col("item_words"), "whole").when(F.col("similarity") >= 0.8, "near").otherwise("part")
+    return found.withColumn("part", part)
+
+
+def p7_covered(spark: SparkSession, folder: str) -> DataFrame:
+    """The exact side of p7_leaks: for pairs with an equal part, the item's words in equal parts and all its words."""
+    return p7_leaks(spark, folder).where("covered_words > 0").select("doc_id", "item_id", "covered_words", "item_words")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,7 +57,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return textform.look_alike_pairs(keyed.where("seen").drop("seen"))  # a filter before would compute the forms twice
 
 
-QUERIES = {f.__name__: f for f in (p6_containers, p6_fill, p7_found, p7_leaks, p8_found, p8_consistent)}
+QUERIES = {f.__name__: f for f in (p6_containers, p6_fill, p7_found, p7_leaks, p7_covered, p8_found, p8_consistent)}
 
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
@@ -68,7 +72,14 @@ _FORM = rf"""nfc_normalize(translate(translate(replace(replace(replace(replace(r
 #: Every run of twelve words, for documents and items.
 _RUNS = "select {id}, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) as run from (select {id}, regexp_extract_all(lower(form), '[\\p{{L}}\\p{{N}}]+') as w from (select {id}, {form} as form from {table} where text is not null))"
 
+#: The same with the place of each run in the item, and the item's number of words.
+_PLACED = "select {id}, n, pos, array_to_string(w[pos:pos + 11], ' ') as run from (select *, len(w) as n, unnest(range(1, len(w) - 10)) as pos from (select {id}, regexp_extract_all(lower(form), '[\\p{{L}}\\p{{N}}]+') as w from (select {id}, {form} as form from {table} where text is not null)))"
+
 SQL = {
+    "p7_covered": f"""
+        with d as materialized (select distinct * from ({_RUNS.format(id="doc_id", form=_FORM, table="documents")})), i as materialized ({_PLACED.format(id="item_id", form=_FORM, table="eval_items")}),
+        hits as (select distinct doc_id, item_id, n, unnest(range(pos, pos + 12)) as word from d join i using (run))
+        select doc_id, item_id, count(*) as covered_words, any_value(n) as item_words from hits group by doc_id, item_id""",
     "p7_found": f"""
         with d as materialized (select distinct * from ({_RUNS.format(id="doc_id", form=_FORM, table="documents")})), i as materialized (select distinct * from ({_RUNS.format(id="item_id", form=_FORM, table="eval_items")}))
         select distinct doc_id, item_id from d join i using (run)""",
