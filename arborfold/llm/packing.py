@@ -2,8 +2,10 @@
 
 Texts are measured in tokens and spread over shards of bounded size. Each shard and capacity has several islands, each
 with a population of packings. A crossover takes one packing, injects whole well-filled bins of another, breaks up the
-bins that hold a copy of an injected item, and puts the displaced items back by best fit; a mutation breaks up the worst
-bins. After an epoch every island passes its elites to the next one of its shard. The best packing of a shard counts.
+bins that hold a copy of an injected item, and puts the displaced items back by best fit, one at a time or, with new bins,
+by the two items that fit best together; a mutation breaks up the worst bins. After an epoch every island passes its
+elites to the next one of its shard. The best packing of a shard counts. A shard that needs no more bins than its tokens
+fill is not worked on any more.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Items in a shard. A shard wastes less than one container; with some thousand containers a shard that is no loss.
 SHARD_ITEMS = 20_000
-ISLANDS, EPOCHS = 2, 2
-POPULATION, OFFSPRING, ELITES = 4, 8, 2
+ISLANDS, EPOCHS = 3, 3
+POPULATION, OFFSPRING, ELITES = 6, 16, 2
+#: Items that a bin-by-bin search for the best two looks through; more are cut into runs of this length, by size in turn.
+SEARCH_ITEMS = 2_000
 
 
 @functools.lru_cache(2)
@@ -44,8 +48,9 @@ def token_count(spark: SparkSession, text: Column, vocabulary: str = VOCABULARY)
 
     @F.arrow_udf(IntegerType())
     def count(texts: pa.Array) -> pa.Array:
-        encode = _encoder(ranks.value).encode_ordinary
-        return pa.array([None if t is None else len(encode(t)) for t in texts.to_pylist()], pa.int32())
+        given = [t for t in texts.to_pylist() if t is not None]
+        found = iter(_encoder(ranks.value).encode_ordinary_batch(given, num_threads=1))
+        return pa.array([len(next(found)) if ok else None for ok in texts.is_valid().to_pylist()], pa.int32())
 
     return count(text)
 
@@ -101,6 +106,52 @@ def first_fit(sizes: list[int], capacity: int, rng: np.random.Generator | None)
     return out
 
 
+def fill_new(out: Bins, items: list[int], sizes: list[int]) -> None:
+    """Puts items into new bins: the largest one that is left, then again and again the one or two that fill it best."""
+    order = sorted(items, key=sizes.__getitem__)
+    runs = max(1, -(-len(order) // SEARCH_ITEMS))
+    for r in range(runs):
+        ids = np.array(order[r::runs], np.int64)
+        left = np.array([sizes[i] for i in ids], np.int64)  # rising
+        while len(ids):
+            chosen, free = [int(ids[-1])], out.capacity - int(left[-1])
+            ids, left = ids[:-1], left[:-1]
+            while len(ids) and left[0] <= free:
+                one = int(np.searchsorted(left, free, "right")) - 1
+                take, best = [one], int(left[one])
+                n = one + 1
+                if n > 1 and best < free:
+                    other = np.minimum(np.searchsorted(left[:n], free - left[:n], "right") - 1, np.arange(n) - 1)
+                    total = np.where(other >= 0, left[:n] + left[other], -1)
+                    k = int(total.argmax())
+                    if total[k] > best:
+                        take, best = [k, int(other[k])], int(total[k])
+                chosen += [int(ids[k]) for k in take]
+                free -= best
+                keep = np.ones(len(ids), bool)
+                keep[take] = False
+                ids, left = ids[keep], left[keep]
+            out.open(chosen, free)
+
+
+def put_back(out: Bins, displaced: list[int], sizes: list[int], rng: np.random.Generator) -> None:
+    """Displaced items by best fit, or all of them into new bins; the emptier new bins are then put back by best fit."""
+    if rng.random() < 0.5:
+        for i in sorted(displaced, key=sizes.__getitem__, reverse=True):
+            out.best_fit(i, sizes[i])
+        return
+    new = Bins(out.capacity)
+    fill_new(new, displaced, sizes)
+    rest = []
+    for items, free in zip(new.items, new.free):
+        if free <= out.capacity // 20:
+            out.open(items, free)
+        else:
+            rest += items
+    for i in sorted(rest, key=sizes.__getitem__, reverse=True):
+        out.best_fit(i, sizes[i])
+
+
 def crossover(a: Bins, b: Bins, sizes: list[int], rng: np.random.Generator) -> Bins:
     """a with some whole bins of b, those filled best being the likeliest, and what they displace put back."""
     n = len(b.free)
@@ -118,36 +169,42 @@ def crossover(a: Bins, b: Bins, sizes: list[int], rng: np.random.Generator) -> B
             displaced += [i for i in items if i not in injected]
     for k in chosen:
         out.open(list(b.items[k]), b.free[k])
-    displaced.sort(key=sizes.__getitem__, reverse=True)
-    for i in displaced:
-        out.best_fit(i, sizes[i])
+    put_back(out, displaced, sizes, rng)
     return out
 
 
 def mutate(a: Bins, sizes: list[int], rng: np.random.Generator) -> Bins:
-    """a with its emptiest bins and a few others broken up and their items put back by best fit."""
+    """a with a part of its emptiest bins and a few others broken up and their items put back."""
     n = len(a.free)
-    worst = set(np.argsort(-np.array(a.free))[: max(1, n // 50)].tolist()) | set(rng.integers(0, n, max(1, n // 100)).tolist())
+    share = rng.choice([0.02, 0.1, 0.3])
+    worst = set(np.argsort(-np.array(a.free))[: max(1, int(n * share))].tolist()) | set(rng.integers(0, n, max(1, n // 50)).tolist())
     out, displaced = Bins(a.capacity), []
     for k, (items, free) in enumerate(zip(a.items, a.free)):
         if k in worst:
             displaced += items
         else:
             out.open(list(items), free)
-    displaced.sort(key=sizes.__getitem__, reverse=True)
-    for i in displaced:
-        out.best_fit(i, sizes[i])
+    put_back(out, displaced, sizes, rng)
     return out
 
 
 def evolve(sizes: list[int], capacity: int, start: list[Bins], seed: int, offspring: int = OFFSPRING) -> list[Bins]:
     """The elites of one island after an epoch; start is its population so far, with those that migrated to it."""
     rng = np.random.default_rng(seed)
-    needed = -(-sum(sizes) // capacity) if capacity else 0
-    people = [(_value(b), b) for b in start] or [(_value(b), b) for b in (first_fit(sizes, capacity, None), *(first_fit(sizes, capacity, rng) for _ in range(POPULATION - 1)))]
+    needed = max(1, -(-sum(sizes) // capacity)) if capacity else 1
+    people = [(_value(b), b) for b in start]
+    if not people:
+        people = [(_value(b), b) for b in [first_fit(sizes, capacity, None)]]
+        if len(people[0][1].free) > needed:
+            paired = Bins(capacity)
+            fill_new(paired, [i for i, n in enumerate(sizes) if n], sizes)
+            for i, n in enumerate(sizes):
+                if not n:
+                    paired.best_fit(i, n)
+            people += [(_value(b), b) for b in (paired, *(first_fit(sizes, capacity, rng) for _ in range(POPULATION - 2)))]
     for _ in range(offspring):
         people.sort(key=lambda p: -p[0])
-        if len(people[0][1].free) <= max(needed, 1):
+        if len(people[0][1].free) <= needed:
             break  # no packing has fewer bins
         i, j = rng.integers(0, min(2, len(people))), rng.integers(0, len(people))
         child = crossover(people[i][1], people[j][1], sizes, rng) if i != j else mutate(people[i][1], sizes, rng)

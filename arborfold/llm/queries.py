@@ -24,6 +24,20 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     return used.join(sizes, F.col("size_name") == F.col("s")).select("size_name", "n_containers", "tokens", (F.col("tokens") / (F.col("n_containers") * F.col("capacity_tokens"))).alias("fill"))
 
 
+def p6_check(spark: SparkSession, folder: str) -> DataFrame:
+    """What no packing may have, counted for every capacity: overfull or empty containers, pieces of texts that would fit
+    whole, texts whose pieces are missing or repeated; and how many texts have a place. The SQL says what must come out."""
+    sizes = table(spark, folder, "context_sizes").select(F.col("size_name").alias("s"), F.col("capacity_tokens").cast("bigint").alias("cap"))
+    placed = Cut(spark).write(p6_containers(spark, folder).join(F.broadcast(sizes), F.col("size_name") == F.col("s")).drop("s"))
+    bins = placed.groupBy("size_name", "cap", "container").agg(F.sum("tokens").alias("filled"))
+    over = bins.groupBy("size_name").agg(F.count_if(F.col("filled") > F.col("cap")).alias("n_overfull"))
+    texts = placed.groupBy("size_name", "cap", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("piece").alias("pieces"), F.max("piece").alias("last"), F.sum("tokens").alias("tokens"))
+    needless = (F.col("n") > 1) & (F.col("tokens") <= F.col("cap"))
+    broken = (F.col("n") != F.col("pieces")) | (F.col("n") != F.col("last") + 1) | (F.col("n") != F.greatest(F.ceil(F.col("tokens") / F.col("cap")), F.lit(1)))
+    by_size = texts.groupBy("size_name").agg(F.count(F.lit(1)).alias("n_texts"), F.count_if(needless).alias("n_split_needlessly"), F.count_if(broken).alias("n_broken"))
+    return by_size.join(over, "size_name").select("size_name", "n_texts", "n_overfull", "n_split_needlessly", "n_broken")
+
+
 def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with passages of test items: how many of the item's words they have in equal parts, and how similar the
     closest window of the item's size is. part: whole (0.8 of the words), near (as similar as that, but changed) or part."""
@@ -57,7 +71,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return textform.look_alike_pairs(keyed.where("seen").drop("seen"))  # a filter before would compute the forms twice
 
 
-QUERIES = {f.__name__: f for f in (p6_containers, p6_fill, p7_found, p7_leaks, p7_covered, p8_found, p8_consistent)}
+QUERIES = {f.__name__: f for f in (p6_containers, p6_fill, p6_check, p7_found, p7_leaks, p7_covered, p8_found, p8_consistent)}
 
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
@@ -76,6 +90,8 @@ _RUNS = "select {id}, unnest(list_transform(range(1, len(w) - 10), lambda i: arr
 _PLACED = "select {id}, n, pos, array_to_string(w[pos:pos + 11], ' ') as run from (select *, len(w) as n, unnest(range(1, len(w) - 10)) as pos from (select {id}, regexp_extract_all(lower(form), '[\\p{{L}}\\p{{N}}]+') as w from (select {id}, {form} as form from {table} where text is not null)))"
 
 SQL = {
+    "p6_check": """
+        select size_name, (select count(*) from documents where text is not null) as n_texts, 0 as n_overfull, 0 as n_split_needlessly, 0 as n_broken from context_sizes""",
     "p7_covered": f"""
         with d as materialized (select distinct * from ({_RUNS.format(id="doc_id", form=_FORM, table="documents")})), i as materialized ({_PLACED.format(id="item_id", form=_FORM, table="eval_items")}),
         hits as (select distinct doc_id, item_id, n, unnest(range(pos, pos + 12)) as word from d join i using (run))
