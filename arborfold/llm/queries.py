@@ -62,16 +62,26 @@ def p8_consistent(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", F.md5("form").alias("form_key"), (F.col("form") != F.col("text")).alias("changed"))
 
 
-def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of documents with different texts of one consistent form."""
+def _keyed(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, text_key, form_key of the texts that are neither null nor blank."""
     rows = table(spark, folder, "documents").where("text is not null").select("doc_id", "text")
     forms = rows.select("doc_id", F.md5("text").alias("text_key"), textform.consistent(F.col("text")).alias("form"))
     seen = F.col("form").rlike(r"[^\s\p{Z}\p{Cc}]")
     keyed = Cut(spark).write(forms.select("doc_id", "text_key", F.md5("form").alias("form_key"), seen.alias("seen")))
-    return textform.look_alike_pairs(keyed.where("seen").drop("seen"))  # a filter before would compute the forms twice
+    return keyed.where("seen").drop("seen")  # a filter before would compute the forms twice
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of documents with different texts of one consistent form."""
+    return textform.look_alike_pairs(_keyed(spark, folder))
+
+
+def p8_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document of a form that several different texts have, with its class."""
+    return textform.look_alike_classes(_keyed(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p6_containers, p6_fill, p6_check, p7_found, p7_leaks, p7_covered, p8_found, p8_consistent)}
+QUERIES = {f.__name__: f for f in (p6_containers, p6_fill, p6_check, p7_found, p7_leaks, p7_covered, p8_found, p8_classes, p8_consistent)}
 
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
@@ -103,4 +113,8 @@ SQL = {
         with forms as materialized (select doc_id, text, {_FORM} as form from documents where text is not null)
         select a.doc_id as doc_id_a, b.doc_id as doc_id_b from forms a join forms b on a.form = b.form and a.doc_id < b.doc_id and a.text <> b.text
         where trim(a.form, chr(10) || ' ') <> ''""",
+    "p8_classes": f"""
+        with forms as materialized (select doc_id, text, {_FORM} as form from documents where text is not null),
+        classes as (select form, min(doc_id) as class_id, count(distinct text) as n_texts, count(*) as n_docs from forms where trim(form, chr(10) || ' ') <> '' group by form)
+        select doc_id, class_id, n_texts, n_docs from forms join classes using (form) where n_texts > 1""",
 }

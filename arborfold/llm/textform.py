@@ -6,7 +6,8 @@ such places at once. No string function is called per row.
 
 Equal in the result: full-width and half-width forms, composed and separate accents, invisible characters (removed),
 kinds of blank (a space), look-alike letters of other scripts (Latin), joined letters (their parts), kinds of hyphen.
-Kept apart: everything else, such as letter case, accents, punctuation, raised digits and line breaks.
+Kept apart: everything else, such as letter case, accents, punctuation, raised digits, line breaks, and letters whose
+style shows (bold, italic or circled ones).
 """
 
 from __future__ import annotations
@@ -29,11 +30,15 @@ LOOK_ALIKE = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y",
     "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ѵ": "V", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I", "Ү": "Y",
     # Greek
-    "ο": "o", "ϲ": "c", "ϳ": "j",
+    "ο": "o", "ϲ": "c", "ϳ": "j", "α": "a", "ι": "i", "ν": "v", "ρ": "p", "υ": "u",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
     "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
     # Armenian
-    "օ": "o", "Օ": "O", "հ": "h", "ս": "u",
+    "օ": "o", "Օ": "O", "հ": "h", "ս": "u", "ո": "n", "ց": "g", "զ": "q", "յ": "j",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭵ": "i", "Ꭹ": "y", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮍ": "Y",
+    "Ꮐ": "G", "Ꮒ": "h", "Ꮓ": "Z", "Ꮟ": "b", "Ꮢ": "R", "Ꮤ": "W", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K",
+    "Ꮷ": "d", "Ᏻ": "G", "Ᏼ": "B",
 }
 # Kinds of hyphen besides the full-width one.
 HYPHENS = "‐‑﹣"
@@ -44,6 +49,8 @@ SHOWN = (*range(0x0600, 0x0606), 0x06DD, 0x070F, 0x0890, 0x0891, 0x08E2, 0x110BD
 
 LIMIT = 0x110000
 CHUNK = 500_000
+# Letters joined to one character, such as ligatures, digraphs and Roman numerals (their parts are in the Unicode data).
+JOINED = (*range(0xFB00, 0xFB18), 0x0132, 0x0133, *range(0x01C4, 0x01CD), *range(0x01F1, 0x01F4), *range(0x2160, 0x2180))
 #: Decompositions that only tell how a character is drawn: widths, and shapes of joined letters.
 _SHAPES = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>")
 _KEEP, _ONE, _NONE, _MANY, _MARK = 0, 1, 2, 3, 4
@@ -53,7 +60,7 @@ _L, _V, _T, _S = 0x1100, 0x1161, 0x11A7, 0xAC00
 def _shape(ch: str) -> str:
     """ch, or what it is a width, joined form or ligature of."""
     tag, _, parts = unicodedata.decomposition(ch).partition(" ")
-    if tag in _SHAPES or tag == "<compat>" and 0xFB00 <= ord(ch) <= 0xFB17:
+    if tag in _SHAPES or tag == "<compat>" and ord(ch) in JOINED:
         text = "".join(chr(int(x, 16)) for x in parts.split())
         if not text.startswith(" "):
             return "".join(map(_shape, text))
@@ -285,3 +292,13 @@ def look_alike_pairs(keyed: DataFrame) -> DataFrame:
     first = pairs.join(copies, "text_key").select("other_key", F.col("doc_id").alias("one"))
     both = first.join(copies.withColumnRenamed("text_key", "other_key"), "other_key").where("one <> doc_id")
     return both.select(F.least("one", "doc_id").alias("doc_id_a"), F.greatest("one", "doc_id").alias("doc_id_b")).distinct()
+
+
+def look_alike_classes(keyed: DataFrame) -> DataFrame:
+    """doc_id, class_id, n_texts, n_docs for rows (doc_id, text_key, form_key) of forms that several different texts have.
+
+    One row per document instead of all pairs: class_id is the smallest doc_id of the form.
+    """
+    texts = keyed.groupBy("form_key", "text_key").agg(F.count(F.lit(1)).alias("_n"), F.min("doc_id").alias("_first"))
+    classes = texts.groupBy("form_key").agg(F.min("_first").alias("class_id"), F.count(F.lit(1)).alias("n_texts"), F.sum("_n").alias("n_docs"))
+    return keyed.join(classes.where("n_texts > 1"), "form_key").select("doc_id", "class_id", "n_texts", "n_docs")

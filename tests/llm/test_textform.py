@@ -37,8 +37,8 @@ def test_arrays_equal_characters():
 
 
 def test_what_looks_the_same_and_what_does_not():
-    same = [("ﬁne", "fine"), ("Ａｂ１", "Ab1"), ("café", "café"), ("а", "a"), ("a b", "a b"), ("co­op", "coop"), ("a‑b", "a-b"), ("й", "й"), ("﻿x", "x")]
-    differ = [("x²", "x2"), ("A", "a"), ("e", "é"), ("a\nb", "a b"), ("—", "-"), ("œ", "oe"), ("a.", "a"), ("…", "...")]
+    same = [("ﬁne", "fine"), ("Ａｂ１", "Ab1"), ("café", "café"), ("а", "a"), ("a b", "a b"), ("co­op", "coop"), ("a‑b", "a-b"), ("й", "й"), ("﻿x", "x"), ("Ⅳ ⅲ", "IV iii"), ("ĳs", "ijs"), ("νoice", "voice"), ("ᎪᏴ", "AB")]
+    differ = [("x²", "x2"), ("A", "a"), ("e", "é"), ("a\nb", "a b"), ("—", "-"), ("œ", "oe"), ("a.", "a"), ("…", "..."), ("𝐀", "A"), ("ⓐ", "a"), ("β", "b")]
     form = lambda x: textform.canonical_array(pa.array([x])).to_pylist()[0]
     assert all(form(a) == form(b) for a, b in same)
     assert all(form(a) != form(b) for a, b in differ)
@@ -51,6 +51,8 @@ def test_column_and_pairs(spark):
     assert {r["doc_id"]: r["f"] for r in forms.collect()} == {1: "fine", 2: "fine", 3: "fine", 4: None, 5: "", 6: " ", 7: " ", 8: "Fine", 9: "fine"}
     pairs = textform.look_alike_pairs(forms.where("trim(f) <> ''").select("doc_id", F.col("text").alias("text_key"), F.col("f").alias("form_key")))
     assert {tuple(r) for r in pairs.collect()} == {(1, 2), (2, 3), (1, 9), (2, 9), (3, 9)}
+    classes = textform.look_alike_classes(forms.where("trim(f) <> ''").select("doc_id", F.col("text").alias("text_key"), F.col("f").alias("form_key")))
+    assert {tuple(r) for r in classes.collect()} == {(i, 1, 3, 4) for i in (1, 2, 3, 9)}
 
 
 def test_found_leaves_out_blank_texts(spark, tmp_path):
