@@ -25,45 +25,54 @@ def from_rows(entity: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[n
 
 
 def coalesce(entity: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Joins overlapping and touching neighbours of rows sorted by (entity, start)."""
+    """Joins overlapping and touching neighbours of rows sorted by (entity, start), in one pass."""
     if not len(entity):
         return entity, start, end
-    new_entity = np.r_[True, entity[1:] != entity[:-1]]
-    first = np.flatnonzero(new_entity)
-    reach = np.empty_like(end)
-    if len(first) == 1:
-        np.maximum.accumulate(end, out=reach)
-    else:  # a running maximum per entity: ranks of (entity, end) rise from one entity to the next
-        rank = np.empty(len(end), np.int64)
-        rank[np.lexsort((end, entity))] = np.arange(len(end))
-        by_rank = np.empty_like(end)
-        by_rank[rank] = end
-        reach = by_rank[np.maximum.accumulate(rank)]
-    opens = new_entity.copy()
-    opens[1:] |= start[1:] > reach[:-1]
-    at = np.flatnonzero(opens)
-    last = np.r_[at[1:] - 1, len(end) - 1]
-    return entity[at], start[at], reach[last]
+    out = []
+    for a, b, key in _keyed(entity, start, end):
+        e, s, t = entity[a:b], start[a:b], end[a:b]
+        reach = np.maximum.accumulate(key + (t - s))  # keys rise from one entity to the next, so no end reaches over
+        opens = np.r_[True, (e[1:] != e[:-1]) | (key[1:] > reach[:-1])]
+        at = np.flatnonzero(opens)
+        last = np.r_[at[1:] - 1, b - a - 1]
+        out.append((e[at], s[at], s[at] + (reach[last] - key[at])))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _keyed(entity: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Ranges of rows (sorted by entity), and for their rows one number in the order of (entity, start) with room for the ends.
+
+    A range holds as many entities as numbers of 64 bits have room for; usually that is all of them.
+    """
+    low = int(start.min())
+    span = int(end.max()) - low + 1
+    held = max(1, (1 << 62) // span)
+    a = 0
+    while a < len(entity):
+        b = int(np.searchsorted(entity, entity[a] + held, "left"))
+        base = entity[a:b] - entity[a]
+        yield a, b, base * span + (start[a:b] - low) if b - a > 1 and base[-1] else start[a:b] - int(start[a])
+        a = b
 
 
 def merge(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two aggregates as one: each interval of b finds its place among a's by bisection, then both are copied once."""
-    if len(a[0]) < len(b[0]):
-        a, b = b, a
-    low, high = np.searchsorted(a[0], b[0], "left"), np.searchsorted(a[0], b[0], "right")
-    while (open_ := low < high).any():
-        middle = np.where(open_, (low + high) // 2, 0)
-        after = open_ & (a[1][middle] < b[1])
-        low, high = np.where(after, middle + 1, low), np.where(open_ & ~after, middle, high)
-    at = low + np.arange(len(low))
-    from_a = np.ones(len(a[0]) + len(b[0]), bool)
-    from_a[at] = False
-    out = []
-    for x, y in zip(a, b):
-        both = np.empty(len(from_a), np.int64)
-        both[from_a], both[at] = x, y
-        out.append(both)
-    return coalesce(*out)
+    """Two aggregates as one by a linear merge: a stable sort of two sorted runs does nothing but merge them."""
+    if not len(a[0]) or not len(b[0]):
+        return b if not len(a[0]) else a
+    low = min(int(a[1].min()), int(b[1].min()))
+    span = max(int(a[1].max()), int(b[1].max())) - low + 1
+    held = max(1, (1 << 62) // span)
+    out, first = [], min(int(a[0][0]), int(b[0][0]))
+    stop = max(int(a[0][-1]), int(b[0][-1]))
+    while first <= stop:
+        parts = [tuple(x[np.searchsorted(s[0], first) : np.searchsorted(s[0], first + held)] for x in s) for s in (a, b)]
+        entity, start, end = (np.concatenate(x) for x in zip(*parts))
+        if len(entity):
+            key = start - low if held == 1 else (entity - first) * span + (start - low)
+            order = np.argsort(key, kind="stable")
+            out.append((entity[order], start[order], end[order]))
+        first += held
+    return coalesce(*(np.concatenate(x) for x in zip(*out)))
 
 
 class Reduction:
@@ -124,7 +133,7 @@ def _lists(batches: Iterator[pa.RecordBatch], keep_at_most: int) -> Iterator[pa.
 def disjoint(df: DataFrame, entity: str, start: Column, end: Column, cut: Cut | None = None, keep_at_most: int = 2_000_000) -> DataFrame:
     """Pieces of the entities' lists: (_entity, _part, _start, _end) of rows with end > start; a written table.
 
-    start and end are whole numbers (microseconds, say). Intervals of one partition are disjoint; those of an earlier
+    start and end are whole numbers (microseconds, say) between -2**61 and 2**61. Intervals of one partition are disjoint; those of an earlier
     partition may still reach into a later one.
     """
     cut = cut or Cut(df.sparkSession)

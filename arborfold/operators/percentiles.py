@@ -7,6 +7,7 @@ the partitions before it, so no group has to fit into one task.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 from functools import reduce
 
@@ -17,23 +18,28 @@ from arborfold.plans.cut import Cut
 
 
 def bucket(value: Column, bits: int | None) -> Column:
-    """The value itself (bits None), or the middle of its bucket: whole numbers keep their `bits` leading binary digits.
+    """The value itself (bits None), or the nearest one with `bits` leading binary digits, off by at most value / 2**bits.
 
-    Values are first rounded to whole units. Those below 2**bits then stay as they are; others are off by at most
-    value / 2**bits. Signs are kept.
+    That holds for every magnitude, fractions and the smallest numbers included; whole numbers below 2**bits stay as they
+    are, and so do NaN (which counts as larger than all others) and the infinities. Signs are kept, zeros are one.
     """
+    x = value.cast("double")
     if bits is None:
-        return value.cast("double")
-    whole = F.round(value.cast("double")).cast("bigint")
-    size = F.abs(whole)
-    drop = F.greatest(F.length(F.bin(size)) - F.lit(bits), F.lit(0))
-    step = F.call_function("shiftleft", F.lit(1).cast("bigint"), drop)
-    middle = F.call_function("shiftright", size, drop) * step + F.call_function("shiftright", step, F.lit(1))
-    return (middle * F.when(whole < 0, -1).otherwise(1)).cast("double")
+        return F.when(x == 0, F.lit(0.0)).otherwise(x)
+    size, two = F.abs(x), F.lit(2.0)
+    guess = F.floor(F.log2(size)).cast("double")
+    # the logarithm may be off by its last digit next to a power of two
+    power = guess + F.when(size >= F.pow(two, guess + 1), 1.0).when(size < F.pow(two, guess), -1.0).otherwise(0.0)
+    steps = F.lit(2.0 ** (bits - 1))
+    near = F.floor(size / F.pow(two, power) * steps + 0.5).cast("double") / steps * F.pow(two, power)
+    rounded = F.least(near, F.lit(sys.float_info.max)) * F.signum(x)
+    plain = F.isnan(x) | (size == float("inf"))
+    return F.when(x == 0, F.lit(0.0)).when(plain, x).otherwise(rounded)
 
 
 def value_counts(df: DataFrame, groups: Sequence[str], values: dict[str, Column], bits: int | None = None) -> DataFrame:
-    """A summary: groups..., measure, value, n. Null values are left out; null groups form a group of their own."""
+    """A summary: groups..., measure, value, n. Null values are left out, NaN and infinities count as values; null groups
+    form a group of their own."""
     pairs = F.array(*[F.struct(F.lit(m).alias("measure"), bucket(c, bits).alias("value")) for m, c in values.items()])
     return (
         df.select(*groups, F.explode(pairs).alias("_p"))

@@ -7,7 +7,7 @@ sees; the states of one key in neighbouring partitions are then stitched in part
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,16 +16,24 @@ from pyspark.sql import functions as F
 from arborfold.plans.cut import Cut
 
 
-def per_key_states(df: DataFrame, key: str, secondary: str, measures: dict[str, Column]) -> DataFrame:
+#: An aggregate of rows and the one that merges its partial results. Any such pair will do, sketches too.
+Aggregate = tuple[Callable[[Column], Column], Callable[[Column], Column]]
+MAX: Aggregate = (F.max, F.max)
+MIN: Aggregate = (F.min, F.min)
+SUM: Aggregate = (F.sum, F.sum)
+COUNT: Aggregate = (F.count, F.sum)
+
+
+def per_key_states(df: DataFrame, key: str, secondary: str, measures: dict[str, tuple[Column, Aggregate]]) -> DataFrame:
     """Partial states (_key, _part, n_rows, n_distinct, first_2nd, last_2nd and one column per measure).
 
-    A measure is a column whose maximum is wanted. Equal (key, secondary) rows always share a range partition, so
+    A measure is a column and an aggregate in two steps. Equal (key, secondary) rows always share a range partition, so
     distinct counts of different partitions add up.
     """
-    keyed = df.select(F.col(key).alias("_key"), F.col(secondary).alias("_2nd"), *[c.alias(m) for m, c in measures.items()])
+    keyed = df.select(F.col(key).alias("_key"), F.col(secondary).alias("_2nd"), *[c.alias(m) for m, (c, _) in measures.items()])
     ranged = keyed.repartitionByRange("_key", "_2nd")
     # The range partitioning already clusters (_key, _2nd): this aggregate needs no exchange.
-    runs = ranged.groupBy("_key", "_2nd").agg(F.count(F.lit(1)).alias("_n"), *[F.max(m).alias(m) for m in measures])
+    runs = ranged.groupBy("_key", "_2nd").agg(F.count(F.lit(1)).alias("_n"), *[partial(F.col(m)).alias(m) for m, (_, (partial, _)) in measures.items()])
     return (
         runs.withColumn("_part", F.spark_partition_id())
         .groupBy("_key", "_part")
@@ -34,13 +42,13 @@ def per_key_states(df: DataFrame, key: str, secondary: str, measures: dict[str,
             F.count("_2nd").alias("n_distinct"),
             F.min("_2nd").alias("first_2nd"),
             F.max("_2nd").alias("last_2nd"),
-            *[F.max(m).alias(m) for m in measures],
+            *[merge(F.col(m)).alias(m) for m, (_, (_, merge)) in measures.items()],
         )
     )
 
 
-def per_key(df: DataFrame, key: str, secondary: str, measures: dict[str, Column] | None = None) -> DataFrame:
-    """One row per key: key, n_rows, n_distinct (of secondary), first_2nd, last_2nd, n_parts and the measures' maxima.
+def per_key(df: DataFrame, key: str, secondary: str, measures: dict[str, tuple[Column, Aggregate]] | None = None) -> DataFrame:
+    """One row per key: key, n_rows, n_distinct (of secondary), first_2nd, last_2nd and the measures.
 
     Null keys form one group of their own; null secondaries count as rows but not as distinct values; null measures
     are ignored (null if there is no other); repeated rows count in n_rows only; an empty table gives no rows; other
@@ -53,7 +61,7 @@ def per_key(df: DataFrame, key: str, secondary: str, measures: dict[str, Column]
         F.sum("n_distinct").alias("n_distinct"),
         F.min("first_2nd").alias("first_2nd"),
         F.max("last_2nd").alias("last_2nd"),
-        *[F.max(m).alias(m) for m in measures],
+        *[merge(F.col(m)).alias(m) for m, (_, (_, merge)) in measures.items()],
     )
 
 

@@ -10,7 +10,7 @@ from arborfold.operators import hierarchy, intervals, percentiles, references, s
 from arborfold.sources.tables import table
 
 PROBABILITIES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
-#: Leading binary digits kept by daily summaries: percentiles are off by at most value / 2**9, 0.2 %.
+#: Leading binary digits kept by daily summaries: percentiles are off by at most value / 2**9, 0.2 %, at any magnitude.
 BITS = 9
 MEASURES = ("duration_ms", "bytes_transferred")
 
@@ -105,9 +105,10 @@ def p3_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_per_tree(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows, distinct entries, greatest height and last arrival of every tree."""
-    rows = table(spark, folder, "entries")
-    return skew.per_key(rows, "tree_id", "id", {"max_height": F.col("height"), "last_received_us": F.unix_micros("received_at")})
+    """Rows, distinct entries, heights, arrivals and deleted rows of every tree."""
+    rows, height, at = table(spark, folder, "entries"), F.col("height"), F.unix_micros("received_at")
+    measures = {"max_height": (height, skew.MAX), "min_height": (height, skew.MIN), "sum_height": (height, skew.SUM), "n_heights": (height, skew.COUNT), "n_deleted": (F.col("deleted_at"), skew.COUNT), "last_received_us": (at, skew.MAX)}
+    return skew.per_key(rows, "tree_id", "id", measures).withColumn("mean_height", F.round(F.col("sum_height") / F.col("n_heights"), 6)).drop("sum_height")
 
 
 def p4_per_store(spark: SparkSession, folder: str) -> DataFrame:
@@ -138,13 +139,11 @@ _UNPIVOTED = """
     union all
     select peer_pubkey, cast(started_at as date), 'bytes_transferred', cast(bytes_transferred as double) from sync_history"""
 _ROUNDED = f"""
-    select peer_pubkey, day, measure, cast(round(v) as bigint) as whole, abs(cast(round(v) as bigint)) as size,
-           greatest(length(bin(abs(cast(round(v) as bigint)))) - {BITS}, 0) as drop_bits
-    from ({_UNPIVOTED}) where v is not null"""
+    select peer_pubkey, day, measure, v, g + case when abs(v) >= pow(2.0, g + 1) then 1 when abs(v) < pow(2.0, g) then -1 else 0 end as e
+    from (select *, case when v <> 0 and not isnan(v) and not isinf(v) then floor(log2(abs(v))) end as g from ({_UNPIVOTED}) where v is not null)"""
 _BUCKETED = f"""
-    select peer_pubkey, day, measure,
-           cast(((size >> drop_bits) * (cast(1 as bigint) << drop_bits) + ((cast(1 as bigint) << drop_bits) >> 1))
-                * case when whole < 0 then -1 else 1 end as double) as value
+    select peer_pubkey, day, measure, case when v = 0 then 0.0::double when e is null then v
+        else least(floor(abs(v) / pow(2.0, e) * {2 ** (BITS - 1)} + 0.5) / {2 ** (BITS - 1)} * pow(2.0, e), 1.7976931348623157e308) * sign(v) end as value
     from ({_ROUNDED})"""
 _RANKED = """
     select peer_pubkey, measure, count(*) as n_values, {columns}
@@ -212,7 +211,8 @@ SQL = {
     "p3_report": f"{_ORPHANS} select ref_table, period, kind, reason, count(*) as n_refs, count(distinct target_id) as n_targets from every group by all",
     "p4_per_tree": """
         select tree_id, count(*) as n_rows, count(distinct id) as n_distinct, min(id) as first_2nd, max(id) as last_2nd,
-               max(height) as max_height, max(epoch_us(received_at)) as last_received_us
+               max(height) as max_height, min(height) as min_height, count(height) as n_heights, count(deleted_at) as n_deleted,
+               max(epoch_us(received_at)) as last_received_us, round(cast(sum(height) as double) / nullif(count(height), 0), 6) as mean_height
         from entries group by tree_id""",
     "p4_per_store": """
         select store_name, count(*) as n_rows, count(distinct entry_id) as n_distinct, min(entry_id) as first_2nd, max(entry_id) as last_2nd

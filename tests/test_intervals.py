@@ -42,6 +42,19 @@ def test_merging_chunks_in_a_tree():
         assert got == plain(list(zip(e.tolist(), s.tolist(), t.tolist())))
 
 
+def test_merging_with_little_room_for_keys():
+    """Values so far apart that only a few entities share one number range, or one alone."""
+    rng = np.random.default_rng(3)
+    for scale in (1 << 40, 1 << 54, 1 << 58):
+        n = 200
+        e, s = rng.integers(0, 40, n), rng.integers(-7, 7, n) * scale
+        t = s + rng.integers(1, 3, n) * (scale // 2 + 1)
+        tree = intervals.Reduction()
+        for i in range(0, n, 11):
+            tree.add(intervals.from_rows(e[i : i + 11], s[i : i + 11], t[i : i + 11]))
+        assert set(zip(*(x.tolist() for x in tree.result()))) == plain(list(zip(e.tolist(), s.tolist(), t.tolist())))
+
+
 def test_periods_and_gaps(spark):
     rng = random.Random(4)
     rows = [("hot" if rng.random() < 0.4 else f"e{rng.randrange(6)}", (s := rng.randrange(4000)), s + rng.choice([-3, 0, 1, 2, 5, 40])) for _ in range(1500)]

@@ -1,3 +1,4 @@
+import functools
 import random
 from collections import Counter
 
@@ -18,11 +19,14 @@ def rows_with_a_hot_key(n=3000):
 def test_per_key_equals_counting(spark):
     rows = rows_with_a_hot_key()
     df = spark.createDataFrame([(*r, "x", 0) for r in rows], "k string, s string, v int, i int, _part string, n_rows int")
-    got = {r["k"]: (r["n_rows"], r["n_distinct"], r["top"]) for r in skew.per_key(df, "k", "s", {"top": F.col("v")}).collect()}
+    v = F.col("v")
+    measures = {"top": (v, skew.MAX), "low": (v, skew.MIN), "sum": (v, skew.SUM), "n": (v, skew.COUNT), "bits": (v, (F.bit_or, F.bit_or))}
+    got = {r["k"]: (r["n_rows"], r["n_distinct"], r["top"], r["low"], r["sum"], r["n"], r["bits"]) for r in skew.per_key(df, "k", "s", measures).collect()}
     want = {}
     for k in {r[0] for r in rows}:
         own = [r for r in rows if r[0] == k]
-        want[k] = (len(own), len({r[1] for r in own} - {None}), max((r[2] for r in own if r[2] is not None), default=None))
+        known = [r[2] for r in own if r[2] is not None]
+        want[k] = (len(own), len({r[1] for r in own} - {None}), max(known), min(known), sum(known), len(known), functools.reduce(int.__or__, known))
     assert got == want
 
 
