@@ -154,11 +154,11 @@ def g09_path_from_to(h: History) -> DataFrame:
 
 @_query("""
     , first as (select child_id, min(parent_id) as parent_id from edges group by child_id),
-    chain(tree_id, entry_id, top, steps) as (select tree_id, entry_id, entry_id, 0 from entries_ where event_id % 25 = 0
-        union all select tree_id, chain.entry_id, parent_id, steps + 1 from chain join first on child_id = top)
-    select entry_id, max(steps) as steps, arg_max(top, steps) as root_id from chain group by entry_id""")
+    chain(entry_id, root_id, steps) as (select entry_id, entry_id, 0 from entries_ where height = 0
+        union all select child_id, root_id, steps + 1 from chain join first on parent_id = entry_id)
+    select entry_id, steps, root_id from chain""")
 def g10_first_parent_chain(h: History) -> DataFrame:
-    """The root of every entry over smallest parents, and the steps to it; the SQL has one of 25 entries."""
+    """The root of every entry over smallest parents, and the steps to it."""
     first = dag.first_parents(h.edges).select(F.col("child_id").alias("c"), F.col("parent_id").alias("p"))
     roots = h.entries.where("height = 0").select(F.col("entry_id").alias("n"))
     found = hierarchy.values(first, roots, "path")
@@ -169,7 +169,7 @@ _LAST = "select tree_id, entry_id, row_number() over (partition by tree_id order
 
 
 @_query(f"""
-    , wanted as materialized (select tree_id, entry_id from ({_LAST}) where r in (2, 9) and tree_id in ('1', '2', '3', '4', '5', '6')),
+    , wanted as materialized (select tree_id, entry_id from ({_LAST}) where r in (2, 9)),
     links as materialized (select * from edges where tree_id in (select tree_id from wanted)),
     nodes as materialized (select tree_id, entry_id, height from entries_ where tree_id in (select tree_id from wanted)),
     cut(gone, wanted_id, at_id) as (select nodes.entry_id, wanted.entry_id, wanted.entry_id from nodes join wanted using (tree_id) where nodes.entry_id <> wanted.entry_id
@@ -179,7 +179,7 @@ _LAST = "select tree_id, entry_id, row_number() over (partition by tree_id order
         where n = (select count(*) from wanted w where w.tree_id = nodes.tree_id and not exists (select 1 from bypassed b where b.gone = nodes.entry_id and b.wanted_id = w.entry_id)))
     select w.tree_id, (select arg_max(entry_id, height) from through where through.tree_id = w.tree_id) as base from (select distinct tree_id from wanted) w""")
 def g11_merge_base(h: History) -> DataFrame:
-    """The merge base of the second and the ninth entry from the end, for every tree; the SQL has six trees of them only."""
+    """The merge base of the second and the ninth entry from the end, for every tree."""
     n = h.entries.groupBy("tree_id").agg(F.count(F.lit(1)).alias("_n"))
     wanted = h.entries.join(n, "tree_id").where("height in (_n - 2, _n - 9)").select("tree_id", "entry_id")
     return dag.merge_bases(h.edges, wanted)
@@ -274,10 +274,10 @@ def g23_store_heights(h: History) -> DataFrame:
     return h.entries.join(p, "entry_id").select("tree_id", "entry_id", "height", "store_height", F.coalesce(given, "height").alias("own_height"))
 
 
-@_query(""", ways(entry_id, height) as (select entry_id, 0 from entries_ where height = 0 and tree_id in ('1', '2', '3', '4') union select child_id, ways.height + 1 from ways join edges on parent_id = entry_id)
+@_query(""", ways(entry_id, height) as (select entry_id, 0 from entries_ where height = 0 union select child_id, ways.height + 1 from ways join edges on parent_id = entry_id)
     select entry_id, max(height) as height from ways group by entry_id""")
 def g23_heights_incremental(h: History) -> DataFrame:
-    """The height of every entry; the SQL has those of four trees only."""
+    """The height of every entry."""
     links = h.edges.select(F.col("child_id").alias("c"), F.col("parent_id").alias("p"))
     roots = h.entries.where("height = 0").select(F.col("entry_id").alias("n"))
     return hierarchy.values(links, roots).select(F.col("n").alias("entry_id"), F.col("depth").alias("height"))

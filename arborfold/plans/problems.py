@@ -49,7 +49,7 @@ def p1_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_descendants(spark: SparkSession, folder: str) -> DataFrame:
-    """Every (ancestor, descendant) pair of entries; one on a cycle is its own ancestor. The SQL has those that no cycle is above."""
+    """Every (ancestor, descendant) pair of entries; one on a cycle is its own ancestor."""
     links, roots = _forest(spark, folder, hashed=False)
     found = hierarchy.values(links, roots, "ancestors")
     return found.select(F.explode("ancestors").alias("entry_id"), F.col("n").alias("descendant_id"))
@@ -202,7 +202,7 @@ SQL = {
         union all select n, null, null, null, null, true from cyclic""",
     "p1_descendants": f"""
         with recursive {_CYCLIC}
-        select distinct a as entry_id, n as descendant_id from up where n not in (select n from cyclic)""",
+        select distinct a as entry_id, n as descendant_id from up""",
     "p2_percentiles": _percentile_sql(_BUCKETED),
     "p2_percentiles_exact": _percentile_sql(f"select peer_pubkey, measure, v as value from ({_UNPIVOTED}) where v is not null"),
     "p2_daily_summary": f"select day, peer_pubkey, measure, value, count(*) as n from ({_BUCKETED}) group by all",

@@ -196,9 +196,9 @@ def m12_sync_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @_query(f"""with {_SYNCS}, {_SETTINGS}, tp as (select distinct tree_id, peer_pubkey as peer from s where peer_pubkey is not null)
-    select peer, e.tree_id, id as entry_id from (select distinct tree_id, id from entries where height % 50 = 3) e join tp using (tree_id) join settings using (tree_id) where sync_enabled and sync_on_commit""")
+    select peer, e.tree_id, id as entry_id from (select distinct tree_id, id from entries) e join tp using (tree_id) join settings using (tree_id) where sync_enabled and sync_on_commit""")
 def y03_fanout(spark: SparkSession, folder: str) -> DataFrame:
-    """Every entry, as for peers that have nothing yet, for each peer that syncs its tree; the SQL has one height of fifty."""
+    """Every entry, as for peers that have nothing yet, for each peer that syncs its tree."""
     h = _history(spark, folder)
     return sync.fan_out(_new(spark, folder), _tree_peers(h), _settings(h))
 
@@ -212,7 +212,7 @@ def _tree_peers(h: DataFrame) -> DataFrame:
 
 
 @_query(f"""with {_SYNCS}, {_SETTINGS}, tp as (select distinct tree_id, peer_pubkey as peer from s where peer_pubkey is not null)
-    select peer, count(*) as n_entries, min(id) as first_entry, max(id) as last_entry from (select distinct tree_id, id from entries where height % 50 = 3) join tp using (tree_id) join settings using (tree_id) where sync_enabled and sync_on_commit group by peer""")
+    select peer, count(*) as n_entries, min(id) as first_entry, max(id) as last_entry from (select distinct tree_id, id from entries) join tp using (tree_id) join settings using (tree_id) where sync_enabled and sync_on_commit group by peer""")
 def y04_queue_drain(spark: SparkSession, folder: str) -> DataFrame:
     h = _history(spark, folder)
     return sync.queue_sizes(_new(spark, folder), _tree_peers(h), _settings(h))

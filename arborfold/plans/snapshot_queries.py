@@ -44,10 +44,10 @@ def t21_transaction_context(h: History) -> DataFrame:
 
 
 @_query("""
-    , up(at_entry, entry_id) as (select entry_id, entry_id from entries_ where event_id % 90 = 0 union select at_entry, parent_id from up join edges on child_id = up.entry_id)
+    , up(at_entry, entry_id) as (select entry_id, entry_id from entries_ union select at_entry, parent_id from up join edges on child_id = up.entry_id)
     select at_entry, store, value from up join patches using (entry_id) qualify row_number() over (partition by at_entry, store order by height desc, entry_id desc) = 1""")
 def v02_pinned_states(h: History) -> DataFrame:
-    """The state that each entry was pinned to, all at once; the SQL has one of 90 entries."""
+    """The state that each entry was pinned to, all at once."""
     return commits.states_at(h.patches, h.edges, h.entries, ["store"], ["value"]).select("at_entry", "store", "value")
 
 
