@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ORDER = ("height", "entry_id")
@@ -40,15 +40,16 @@ def live_events(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The events of nested documents that no later event further up the path kills.
 
     events has keys, path (array of segments), cont (for each segment d or l, what holds it: a document or a list), kind
-    (doc, adoc (atomic), list, leaf, deleted), value and the order. An event dies of a later leaf, deleted or adoc above
-    it, of a later list above a segment held by a document, and of a later doc above one held by a list. The result is
+    (doc, adoc (atomic), list, deleted, or a leaf: null, bool, int, text), value and the order. An event dies of a later
+    leaf, deleted or adoc above it, of a later list above a segment held by a document, and of a later doc above one held
+    by a list. The result is
     the mergeable state: with more events, earlier or later ones, it can be given to this function again.
     """
     order = F.struct(*ORDER)
     killers = (
         events.groupBy(*keys, F.col("path").alias("_prefix"))
         .agg(
-            F.max(F.when(F.col("kind").isin("leaf", "deleted", "adoc"), order)).alias("_hard"),
+            F.max(F.when(~F.col("kind").isin("doc", "list"), order)).alias("_hard"),
             F.max(F.when(F.col("kind") == "list", order)).alias("_list"),
             F.max(F.when(F.col("kind") == "doc", order)).alias("_doc"),
         )
@@ -82,13 +83,20 @@ def nested(events: DataFrame, keys: Sequence[str], prefix: Sequence[str] = ()) -
     return decide(live_events(events, keys), keys)
 
 
+def quoted(text: Column) -> Column:
+    """A text as JSON, with quotes and escapes."""
+    whole = F.to_json(F.array(text))
+    return F.substring(whole, 2, F.length(whole) - 2)
+
+
 def to_json(state: DataFrame, keys: Sequence[str], depth: int) -> DataFrame:
-    """keys and json: each document as text with sorted keys, tombstones hidden, lists in the order of their positions.
+    """keys and json: each document as JSON with sorted keys, tombstones hidden, lists in the order of their positions.
 
     depth is the longest path. Nodes are joined level by level from below; a document without visible children is {}.
+    Numbers, booleans and null are written as such, all other leaves as texts; keys and texts are escaped.
     """
     shown = state.where("kind <> 'deleted'")
-    quoted = F.to_json(F.array("value")).substr(F.lit(2), F.length(F.to_json(F.array("value"))) - 2)
+    leaf = F.when(F.col("kind") == "null", "null").when(F.col("kind").isin("int", "bool"), F.col("value")).otherwise(quoted(F.col("value")))
     below = None
     for level in range(depth, 0, -1):
         nodes = shown.where(F.size("path") == level)
@@ -96,13 +104,12 @@ def to_json(state: DataFrame, keys: Sequence[str], depth: int) -> DataFrame:
             nodes = nodes.join(below, [*keys, "path"], "left")
         else:
             nodes = nodes.withColumn("_doc", F.lit(None).cast("string")).withColumn("_list", F.lit(None).cast("string"))
-        text = F.when(F.col("kind") == "leaf", quoted).when(F.col("kind") == "list", F.concat(F.lit("["), F.coalesce("_list", F.lit("")), F.lit("]")))
-        text = text.otherwise(F.concat(F.lit("{"), F.coalesce("_doc", F.lit("")), F.lit("}")))
-        last = F.element_at("path", -1)
-        each = nodes.select(*keys, F.slice("path", F.lit(1), F.size("path") - 1).alias("path"), F.struct(last.alias("k"), text.alias("t")).alias("_e"))
+        text = F.when(F.col("kind") == "list", F.concat(F.lit("["), F.coalesce("_list", F.lit("")), F.lit("]")))
+        text = text.when(F.col("kind") == "doc", F.concat(F.lit("{"), F.coalesce("_doc", F.lit("")), F.lit("}"))).otherwise(leaf)
+        each = nodes.select(*keys, F.slice("path", F.lit(1), F.size("path") - 1).alias("path"), F.struct(F.element_at("path", -1).alias("k"), text.alias("t")).alias("_e"))
         ordered = F.sort_array(F.collect_list("_e"))
         below = each.groupBy(*keys, "path").agg(
-            F.array_join(F.transform(ordered, lambda e: F.concat(F.lit('"'), e["k"], F.lit('":'), e["t"])), ",").alias("_doc"),
+            F.array_join(F.transform(ordered, lambda e: F.concat(quoted(e["k"]), F.lit(":"), e["t"])), ",").alias("_doc"),
             F.array_join(ordered.getField("t"), ",").alias("_list"),
         )
     docs = state.select(*keys).distinct().join(below.drop("path"), list(keys), "left")

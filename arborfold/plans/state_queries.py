@@ -90,27 +90,28 @@ def _path_events(spark: SparkSession, folder: str) -> DataFrame:
     depth = (F.col("event_id") % 3 + 1).cast("int")
     i = F.col("event_id")
     held = (i % 17 == 5) & (depth > 1)
-    final = F.when(i % 13 == 0, "deleted").when(i % 13 == 1, "adoc").when(i % 13 == 2, "doc").when(i % 13 == 3, "list").otherwise("leaf")
+    final = F.when(i % 13 == 0, "deleted").when(i % 13 == 1, "adoc").when(i % 13 == 2, "doc").when(i % 13 == 3, "list").when(i % 13 == 4, "null").when(i % 13 == 5, "bool").when(i % 13 == 6, "int").otherwise("text")
     segments = F.array(F.col("event_type"), F.concat(F.lit("f"), i % 4), F.concat(F.lit("g"), i % 2))
     rows = e.select("user_id", "event_id", segments.alias("s"), depth.alias("depth"), held.alias("held"), final.alias("final"), F.explode(F.sequence(F.lit(1), depth)).alias("n"))
     tags = F.transform(F.sequence(F.lit(1), F.col("n")), lambda j: F.when((j == F.col("depth")) & F.col("held"), "l").otherwise("d"))
     kind = F.when(F.col("n") == F.col("depth"), F.col("final")).when((F.col("n") == F.col("depth") - 1) & F.col("held"), "list").otherwise("doc")
+    value = F.when(kind == "bool", F.when(F.col("event_id") % 2 == 0, "true").otherwise("false")).when(kind == "int", F.col("event_id").cast("string")).when(kind == "text", F.concat(F.lit('v"'), F.col("event_id")))
     return rows.select(
-        "user_id", F.slice("s", F.lit(1), F.col("n")).alias("path"), tags.alias("cont"), kind.alias("kind"),
-        F.when(kind == "leaf", F.col("event_id").cast("string")).alias("value"), F.col("event_id").alias("height"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("entry_id"),
+        "user_id", F.slice("s", F.lit(1), F.col("n")).alias("path"), tags.alias("cont"), kind.alias("kind"), value.alias("value"),
+        F.col("event_id").alias("height"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("entry_id"),
     )
 
 
 _PATHS = """pe as materialized (
-    select user_id, s[1:n] as path, [case when j = depth and held then 'l' else 'd' end for j in range(1, n + 1)] as cont, kind, case when kind = 'leaf' then cast(event_id as varchar) end as value,
+    select user_id, s[1:n] as path, [case when j = depth and held then 'l' else 'd' end for j in range(1, n + 1)] as cont, kind, case kind when 'bool' then case when event_id % 2 = 0 then 'true' else 'false' end when 'int' then cast(event_id as varchar) when 'text' then 'v"' || event_id end as value,
            event_id as height, lpad(cast(event_id as varchar), 12, '0') as entry_id
     from (select *, case when n = depth then final when n = depth - 1 and held then 'list' else 'doc' end as kind
           from (select user_id, event_id, [event_type, 'f' || event_id % 4, 'g' || event_id % 2] as s, event_id % 3 + 1 as depth, event_id % 17 = 5 and event_id % 3 + 1 > 1 as held,
-                       case event_id % 13 when 0 then 'deleted' when 1 then 'adoc' when 2 then 'doc' when 3 then 'list' else 'leaf' end as final, unnest(range(1, event_id % 3 + 2)) as n from events)))"""
+                       case event_id % 13 when 0 then 'deleted' when 1 then 'adoc' when 2 then 'doc' when 3 then 'list' when 4 then 'null' when 5 then 'bool' when 6 then 'int' else 'text' end as final, unnest(range(1, event_id % 3 + 2)) as n from events)))"""
 _ALIVE = f"""{_PATHS},
     alive as materialized (select * from pe e where not exists (
         select 1 from pe k where k.user_id = e.user_id and len(k.path) < len(e.path) and e.path[1:len(k.path)] = k.path and (k.height > e.height or (k.height = e.height and k.entry_id > e.entry_id))
-          and (k.kind in ('leaf', 'deleted', 'adoc') or (k.kind = 'list' and e.cont[len(k.path) + 1] = 'd') or (k.kind = 'doc' and e.cont[len(k.path) + 1] = 'l')))),
+          and (k.kind not in ('doc', 'list') or (k.kind = 'list' and e.cont[len(k.path) + 1] = 'd') or (k.kind = 'doc' and e.cont[len(k.path) + 1] = 'l')))),
     decided as materialized (select user_id, path, arg_max(kind, height) as last_kind, arg_max(coalesce(value, ''), height) as v, max(case when kind = 'adoc' then height end) as a, max(case when kind not in ('doc', 'adoc') then height end) as b from alive group by user_id, path),
     state as materialized (select user_id, path, case when last_kind = 'adoc' then 'doc' else last_kind end as kind, nullif(v, '') as value, last_kind in ('doc', 'adoc') and a is not null and (b is null or a > b) as atomic from decided)"""
 _SHOW = "select user_id, array_to_string(path, '.') as path, kind, value, atomic from state"
@@ -162,26 +163,39 @@ def t13_contains(spark: SparkSession, folder: str) -> DataFrame:
     return tables.Documents(_path_events(spark, folder), _KEYS).contains("click.f2")
 
 
-@_query(f"with {_ALIVE} select user_id, case when kind = 'leaf' then value end as value, kind <> 'leaf' as mismatch from state where kind <> 'deleted' and path = ['click', 'f2']")
+_AT = "from state where kind <> 'deleted' and path = ['click', 'f2']"
+
+
+@_query(f"with {_ALIVE} select user_id, kind, case when kind = 'int' then cast(value as bigint) end as as_int, case when kind = 'bool' then value = 'true' end as as_bool, case when kind = 'text' then value end as as_text, kind <> 'int' as not_int {_AT}")
 def t07_typed_getter(spark: SparkSession, folder: str) -> DataFrame:
-    return tables.Documents(_path_events(spark, folder), _KEYS).get_as("click.f2", "leaf")
+    """One path of every document, asked for as each type."""
+    docs = tables.Documents(_path_events(spark, folder), _KEYS)
+    got = docs.lookup("click.f2").select("user_id", "kind")
+    for kind in ("int", "bool", "text"):
+        got = got.join(docs.get_as("click.f2", kind).select("user_id", F.col("value").alias(f"as_{kind}"), F.col("mismatch").alias(f"not_{kind}")), "user_id")
+    return got.select("user_id", "kind", "as_int", "as_bool", "as_text", "not_int")
+
+
+@_query(f"with {_ALIVE}, i as (select *, row_number() over (partition by user_id, path[1:2] order by path[3]) as r from state s where kind <> 'deleted' and len(path) = 3 and path[1:2] = ['view', 'f1'] and exists (select 1 from state l where l.user_id = s.user_id and l.path = s.path[1:2] and l.kind = 'list')) select user_id, kind, value from i where r = 1")
+def f05_list_index_in_path(spark: SparkSession, folder: str) -> DataFrame:
+    """A number in a path below a list is the index of a live item."""
+    return tables.Documents(_path_events(spark, folder), _KEYS).lookup("view.f1.0")
 
 
 @_query(f"with {_ALIVE} select user_id, path[1] as name, count(*) as n_nodes, count(*) filter (kind = 'deleted') as n_deleted from state group by all")
-def t16_registry_list(spark: SparkSession, folder: str) -> DataFrame:
+def f08_counts_by_name(spark: SparkSession, folder: str) -> DataFrame:
     """What is stored under each top-level name, tombstones counted apart."""
-    state = fold.nested(_path_events(spark, folder), _KEYS)
-    return state.groupBy("user_id", F.element_at("path", 1).alias("name")).agg(F.count(F.lit(1)).alias("n_nodes"), F.count_if(F.col("kind") == "deleted").alias("n_deleted"))
+    return tables.Documents(_path_events(spark, folder), _KEYS).counts()
 
 
 @_query(f"""with {_ALIVE},
     shown as (select * from state where kind <> 'deleted'),
     l3 as (select user_id, path[1:2] as path, string_agg('"' || path[3] || '":' || j, ',' order by path[3]) as d, string_agg(j, ',' order by path[3]) as l
-           from (select *, case kind when 'leaf' then '"' || value || '"' when 'list' then '[]' else '{{}}' end as j from shown where len(path) = 3) group by all),
+           from (select *, case kind when 'text' then '"' || replace(value, '"', '\\"') || '"' when 'null' then 'null' when 'bool' then value when 'int' then value when 'list' then '[]' else '{{}}' end as j from shown where len(path) = 3) group by all),
     l2 as (select user_id, path[1:1] as path, string_agg('"' || path[2] || '":' || j, ',' order by path[2]) as d, string_agg(j, ',' order by path[2]) as l
-           from (select s.*, case kind when 'leaf' then '"' || value || '"' when 'list' then '[' || coalesce(l, '') || ']' else '{{' || coalesce(d, '') || '}}' end as j from shown s left join l3 using (user_id, path) where len(path) = 2) group by all),
+           from (select s.*, case kind when 'text' then '"' || replace(value, '"', '\\"') || '"' when 'null' then 'null' when 'bool' then value when 'int' then value when 'list' then '[' || coalesce(l, '') || ']' else '{{' || coalesce(d, '') || '}}' end as j from shown s left join l3 using (user_id, path) where len(path) = 2) group by all),
     l1 as (select user_id, string_agg('"' || path[1] || '":' || j, ',' order by path[1]) as d
-           from (select s.*, case kind when 'leaf' then '"' || value || '"' when 'list' then '[' || coalesce(l, '') || ']' else '{{' || coalesce(d, '') || '}}' end as j from shown s left join l2 using (user_id, path) where len(path) = 1) group by all)
+           from (select s.*, case kind when 'text' then '"' || replace(value, '"', '\\"') || '"' when 'null' then 'null' when 'bool' then value when 'int' then value when 'list' then '[' || coalesce(l, '') || ']' else '{{' || coalesce(d, '') || '}}' end as j from shown s left join l2 using (user_id, path) where len(path) = 1) group by all)
     select user_id, '{{' || coalesce(d, '') || '}}' as json from (select distinct user_id from state) left join l1 using (user_id)""")
 def f10_to_json(spark: SparkSession, folder: str) -> DataFrame:
     return tables.Documents(_path_events(spark, folder), _KEYS).json(3)
@@ -328,6 +342,19 @@ def f15_list_index(spark: SparkSession, folder: str) -> DataFrame:
     return tables.list_items(_positions(spark, folder), ["user_id"])
 
 
+@_query(f"""with l as (select user_id, row_number() over (partition by user_id order by uid::bigint) - 1 as i, value from ({_LISTS}) where not deleted),
+    a as (select user_id, case when i = 1 then 'set' else value end as value, i from l where i <> 0 union all select user_id, 'between', 2.5 from l where i = 2
+          union all select user_id, 'last', 1000000 from l where i = 0)
+    select user_id, row_number() over (partition by user_id order by i) - 1 as index, value from a where user_id in (select user_id from l where i = 3)""")
+def f15_list_edits(spark: SparkSession, folder: str) -> DataFrame:
+    """Lists of four items and more, with one item set, one inserted, one pushed, and the first removed."""
+    items = given = _positions(spark, folder).withColumns({"num": F.col("uid").cast("bigint"), "den": F.lit(3)})
+    for what, index, value in (("set", 1, "set"), ("insert", 3, "between"), ("push", 0, "last"), ("remove", 0, None)):
+        items = tables.list_edit(items, ["user_id"], what, index, value, f"new-{value}")
+    long = tables.list_items(given, ["user_id"]).where("index = 3").select("user_id")
+    return tables.list_items(items, ["user_id"]).join(long, "user_id", "left_semi")
+
+
 @_query(f"select uid, cast(sign(num * 3 - 2 * den) as int) as against_2_3 from ({_LISTS})")
 def f16_position_order(spark: SparkSession, folder: str) -> DataFrame:
     return _positions(spark, folder).select("uid", values.position_order(F.col("num"), F.col("den"), F.lit(2), F.lit(3)).alias("against_2_3"))

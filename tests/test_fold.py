@@ -145,5 +145,57 @@ def test_documents_with_staged_changes(spark):
             raise AssertionError(path)
         except error:
             pass
-    assert d.modify((2,), "n", lambda v: v + "1", "0") == "01" and d.get((2,), "n") == "01"
+    assert d.modify_or_insert((2,), "n", "0", lambda v: v + "1") == "01" and d.get((2,), "n") == "01"
     assert {r["id"]: r["json"] for r in d.json(3).collect()} == {1: '{"c":{"deep":"z"}}', 2: '{"a":"y","n":"01"}'}
+
+
+def test_typed_values_lists_and_editors(spark):
+    none = spark.createDataFrame([], "id int, path array<string>, cont array<string>, kind string, value string, height int, entry_id string")
+    d, k = tables.Documents(none, ["id"]), (1,)
+    assert d.set(k, "n", 5) is None and d.insert(k, "n", 6) == 5 and d.get(k, "n") == 6 and d.get(k, "n", "int") == 6
+    for path, value in (("b", True), ("none", None), ("t", 'say "hi"\n'), ('odd"key', "x")):
+        d.set(k, path, value)
+        assert d.get(k, path) == value
+    for path, kind, error in (("n", "text", tables.TypeMismatch), ("absent", None, tables.KeyNotFound), ("n.deep", None, tables.KeyNotFound)):
+        try:
+            d.get(k, path, kind)
+            raise AssertionError(path)
+        except error:
+            pass
+    assert d.get_option(k, "n", "text") is None and d.get_option(k, "n", "int") == 6 and d.get_option(k, "absent") is None
+    d.set(k, "doc", {"a": 1, "deep": {"x": False}, "l": [1, "two", None]})
+    assert d.get_node(k, "doc") == {"a": 1, "deep": {"x": False}, "l": [1, "two", None]} and d.names(k, "doc") == ["a", "deep", "l"]
+    assert d.get(k, "doc.l.1") == "two" and d.get_option(k, "doc.l.3") is None
+    d.set(k, "doc", {"only": 1})  # replaces the document
+    assert d.get_node(k, "doc") == {"only": 1}
+    assert d.get_or_insert(k, "n", 9) == 6 and d.get_or_insert(k, "new", 9) == 9 and d.get(k, "new") == 9
+    assert d.modify(k, "n", lambda v: v + 1) == 7 and d.modify_or_insert(k, "count", 0, lambda v: v + 1) == 1
+    d.set_json(k, "j", {"b": [1, 2]})
+    assert d.get_json(k, "j") == {"b": [1, 2]}
+    e = d.editor(k, "doc")
+    e.child("more.inner").set("v")
+    assert e.get() == {"only": 1, "more": {"inner": "v"}} and e.delete_child("only") and e.get() == {"more": {"inner": "v"}}
+    assert d.is_tombstone(k, "doc.only") and not d.is_tombstone(k, "doc.more") and e.child("more").delete_self() and e.get() == {}
+    d.set(k, "list", [10, 20, 30])
+    assert {(r["kind"], r["value"]) for r in d.lookup("list.2").collect()} == {("int", "30")} and d.lookup("list.7").count() == 0
+    text = d.json(4).first()["json"]
+    assert json.loads(text)["t"] == 'say "hi"\n' and json.loads(text)["n"] == 7 and json.loads(text)["none"] is None and json.loads(text)['odd"key'] == "x" and json.loads(text)["list"] == [10, 20, 30]
+
+
+def test_list_edits(spark):
+    rows = [("a", 1, 1, "u1", "x", False), ("a", 2, 1, "u2", "y", False), ("a", 3, 1, "u3", "gone", True), ("a", 5, 2, "u4", "z", False), ("b", 1, 1, "u5", "gone", True)]
+    df = spark.createDataFrame(rows, "k string, num int, den int, uid string, value string, deleted boolean")
+
+    def after(*edits):
+        items = df
+        for i, (what, index, value) in enumerate(edits):
+            items = tables.list_edit(items, ["k"], what, index, value, f"n{i}")
+        out = {}
+        for r in sorted(tables.list_items(items, ["k"]).collect(), key=lambda r: r["index"]):
+            out.setdefault(r["k"], []).append(r["value"])
+        return out
+
+    assert after() == {"a": ["x", "y", "z"]}
+    assert after(("push", 0, "p")) == {"a": ["x", "y", "z", "p"], "b": ["p"]}
+    assert after(("insert", 0, "p"), ("insert", 2, "q"), ("insert", 99, "r")) == {"a": ["p", "x", "q", "y", "z", "r"], "b": ["p", "q", "r"]}
+    assert after(("set", 1, "s"), ("remove", 0, None), ("remove", 9, None)) == {"a": ["s", "z"]}
