@@ -92,8 +92,8 @@ class Database:
         return Documents(self.store_entries(store), ["tree_id", "store"])
 
     def added_since(self, tips: Sequence[str]) -> DataFrame:
-        """entry_id of what this database has and the older snapshot had not."""
-        return dag.ids_added(self._edges, self._ids(tips), self._ids(self.snapshot()))
+        """tree_id, entry_id, height and position of what this database has and the older snapshot had not."""
+        return dag.ids_added(self._entries, self._edges, self._ids(tips), self._ids(self.snapshot()))
 
     def missing_for(self, their_tips: Sequence[str]) -> DataFrame:
         """entry_id of what a peer with these tips needs; with none, everything."""

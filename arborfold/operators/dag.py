@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborfold.operators.hierarchy import values
+from arborfold.operators.skew import positions
 from arborfold.plans.cut import Cut
 
 #: Edges in a block of a closure.
@@ -91,6 +92,13 @@ def _follow(edges: pa.Table, start: pa.Table) -> pa.Table:
     return pa.table({"n": pa.array(list(seen), pa.string())})
 
 
+def subtree_tips(patches: DataFrame, store_edges: DataFrame) -> DataFrame:
+    """patches with is_tip: whether the entry is a tip of its store."""
+    parents = store_edges.select(F.col("tree_id").alias("_t"), F.col("store").alias("_s"), F.col("parent_id").alias("_p")).distinct()
+    same = (F.col("tree_id") == F.col("_t")) & (F.col("store") == F.col("_s")) & (F.col("entry_id") == F.col("_p"))
+    return patches.join(parents, same, "left").withColumn("is_tip", F.col("_p").isNull()).drop("_t", "_s", "_p")
+
+
 def ancestors(edges: DataFrame, tips: DataFrame, stop: DataFrame | None = None) -> DataFrame:
     """entry_id of the tips and everything above them; stop entries are left out and not passed."""
     if stop is None:
@@ -156,24 +164,61 @@ def missing_ancestors(entries: DataFrame, edges: DataFrame, wanted: DataFrame) -
 
 
 def reachability(entries: DataFrame, edges: DataFrame, start: DataFrame, targets: DataFrame) -> DataFrame:
-    """targets with state: reachable, indeterminate (some way up leaves what is here) or unreachable.
+    """targets (tree_id, entry_id) with state: reachable, unreachable, indeterminate or not_in_tree.
 
-    Entries lower than every target cannot lead to one and are not visited. No start entries: unreachable.
+    A target is indeterminate if some way up from the start entries of its tree leaves what is here (see lost_ids());
+    other trees' gaps do not count. Entries lower than every target of their tree cannot lead to one and are not
+    visited. No start entries: unreachable. A target that is an entry of another tree is not_in_tree.
     """
-    floor = targets.join(entries.select("entry_id", "height"), "entry_id").agg(F.min("height")).first()[0]
-    high = (entries if floor is None else entries.where(F.col("height") >= floor)).select(F.col("entry_id").alias("child_id"))
-    seen = ancestors(edges.join(high, "child_id", "left_semi"), start)
-    lost = not seen.join(entries.select("entry_id"), "entry_id", "left_anti").isEmpty()
-    state = F.when(F.col("_hit"), "reachable").otherwise("indeterminate" if lost else "unreachable")
-    return targets.join(seen.withColumn("_hit", F.lit(True)), "entry_id", "left").withColumn("state", state).drop("_hit")
+    seen, lost = _sighted(entries, edges, start, targets)
+    trees = lost.select(F.col("tree_id").alias("_lost")).distinct()
+    known = entries.select(F.col("entry_id").alias("_e"), F.col("tree_id").alias("_of"))
+    joined = targets.join(seen.select(F.col("entry_id").alias("_hit")), F.col("entry_id") == F.col("_hit"), "left").join(trees, F.col("tree_id") == F.col("_lost"), "left").join(known, F.col("entry_id") == F.col("_e"), "left")
+    state = F.when(F.col("_of") != F.col("tree_id"), "not_in_tree").when(F.col("_hit").isNotNull(), "reachable").when(F.col("_lost").isNotNull(), "indeterminate").otherwise("unreachable")
+    return joined.select(*targets.columns, state.alias("state"))
+
+
+def lost_ids(entries: DataFrame, edges: DataFrame, start: DataFrame, targets: DataFrame) -> DataFrame:
+    """tree_id, entry_id of what a reachability() from start would have to look at and is not here."""
+    return _sighted(entries, edges, start, targets)[1]
 
 
-def ids_added(edges: DataFrame, before: DataFrame, after: DataFrame, strict: bool = False) -> DataFrame:
-    """entry_id of what `after` has above it and `before` has not; strict only stops at the entries of `before`."""
+def _sighted(entries: DataFrame, edges: DataFrame, start: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    heights = entries.select(F.col("entry_id").alias("_e"), F.col("height").alias("_h"))
+    floors = targets.join(heights, F.col("entry_id") == F.col("_e"), "left").groupBy(F.col("tree_id").alias("_t")).agg(F.min("_h").alias("_floor"))
+    high = entries.join(floors, F.col("tree_id") == F.col("_t")).where("_floor is null or height >= _floor").select(F.col("entry_id").alias("child_id"))
+    passing = edges.join(high, "child_id", "left_semi")
+    seen = Blocks(passing).reach(start)
+    over = passing.select("tree_id", F.col("parent_id").alias("entry_id"), F.col("child_id").alias("_c")).join(seen.withColumnRenamed("entry_id", "_c"), "_c", "left_semi")
+    lost = over.select("tree_id", "entry_id").unionByName(start.select("tree_id", "entry_id")).join(heights, F.col("entry_id") == F.col("_e"), "left_anti").distinct()
+    return seen, lost
+
+
+def ids_added(entries: DataFrame, edges: DataFrame, before: DataFrame, after: DataFrame, strict: bool = False) -> DataFrame:
+    """tree_id, entry_id, height, position (by height, then id, in each tree) of what `after` has above it and `before` has not.
+
+    strict only stops at the entries of `before` and does not leave out what else lies above them. Trees in which every
+    entry of `before` is higher than all of `after` have nothing added (the difference runs backwards), and neither have
+    those with the same snapshots.
+    """
+    heights = entries.select(F.col("entry_id").alias("_e"), F.col("tree_id").alias("_t"), F.col("height").alias("_h"))
+    low = before.join(heights, F.col("entry_id") == F.col("_e")).groupBy("_t").agg(F.min("_h").alias("_low"))
+    high = after.join(heights, F.col("entry_id") == F.col("_e")).groupBy(F.col("_t").alias("_t2")).agg(F.max("_h").alias("_high"))
+    backwards = low.join(high, (F.col("_t") == F.col("_t2")) & (F.col("_low") > F.col("_high"))).select(F.col("_t").alias("tree_id"))
     if strict:
-        return ancestors(edges, after, before)
-    blocks = Blocks(edges)
-    return blocks.reach(after).join(blocks.reach(before), "entry_id", "left_anti")
+        found = ancestors(edges, after, before)
+    else:
+        blocks = Blocks(edges)
+        found = blocks.reach(after).join(blocks.reach(before), "entry_id", "left_anti")
+    rows = entries.select("tree_id", "entry_id", "height").join(found, "entry_id", "left_semi").join(backwards, "tree_id", "left_anti")
+    return positions(rows, ["tree_id"], ["height", "entry_id"])
+
+
+def merge_errors(entries: DataFrame, requests: DataFrame, trees: DataFrame) -> DataFrame:
+    """tree_id, error of trees for which no merge base can be asked: empty_list (no entries are requested) or not_found."""
+    known = entries.select(F.col("entry_id").alias("_e"), F.col("tree_id").alias("_t"))
+    lost = requests.join(known, (F.col("entry_id") == F.col("_e")) & (F.col("tree_id") == F.col("_t")), "left_anti").select("tree_id", F.lit("not_found").alias("error")).distinct()
+    return trees.select("tree_id").join(requests, "tree_id", "left_anti").select("tree_id", F.lit("empty_list").alias("error")).unionByName(lost)
 
 
 def merge_bases(edges: DataFrame, requests: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arborfold.operators.auth import validate_pinned
+from arborfold.operators.commits import states_at
 from arborfold.operators.dag import Blocks, descendants, missing_parents, tree_tips
 
 VERIFIED, FAILED, UNVERIFIED = 0, 1, 2
@@ -49,6 +51,33 @@ def verify(entries: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.withColumn("new_status", new).drop("_held", "_failed")
 
 
+def verify_pinned(entries: DataFrame, edges: DataFrame, settings: DataFrame, settings_edges: DataFrame) -> DataFrame:
+    """verify() in which an entry's own check is made against the keys it is pinned to.
+
+    entries has (tree_id, entry_id, status) and what auth.validate_pinned() asks for; settings has the patches of the
+    settings stores (entry_id, pubkey, name, type, priority, status, height), settings_edges their (child_id, parent_id).
+    The keys at each pin are those folded from the patches at or above it; a pin of which a patch is missing here is
+    incomplete, and entries with such a pin stay unverified.
+    """
+    pins = entries.where("pin is not null").select(F.col("entry_id").alias("_e"), F.col("pin").alias("entry_id")).select("entry_id").distinct()
+    states = states_at(settings, settings_edges, pins, ["pubkey"], ["name", "type", "priority", "status"]).withColumnRenamed("at_entry", "pin")
+    here = settings.select("entry_id")
+    known = settings_edges.select(F.col("child_id").alias("entry_id"), F.col("parent_id").alias("_p"))
+    lost = known.join(here.withColumnRenamed("entry_id", "_p"), "_p", "left_anti").select("entry_id").unionAll(pins.join(here, "entry_id", "left_anti"))
+    incomplete = descendants(settings_edges, lost).select(F.col("entry_id").alias("pin"))
+    own = validate_pinned(entries, states, incomplete).withColumnRenamed("entry_id", "_e")
+    judged = entries.drop("valid").join(own, F.col("entry_id") == F.col("_e"), "left").drop("_e")
+    return verify(judged, edges)
+
+
+def put_remote(stored: DataFrame, edges: DataFrame, arriving: DataFrame, arriving_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries and edges with what arrives (tree_id, entry_id, valid), stored unverified and verified once; status is the new one."""
+    new = arriving.dropDuplicates(["entry_id"]).join(stored.select("entry_id"), "entry_id", "left_anti").select("tree_id", "entry_id", F.lit(UNVERIFIED).alias("status"), "valid")
+    every = stored.select("tree_id", "entry_id", "status", "valid").unionByName(new)
+    links = edges.select("tree_id", "child_id", "parent_id").unionByName(arriving_edges.select("tree_id", "child_id", "parent_id")).distinct()
+    return verify(every, links).drop("status").withColumnRenamed("new_status", "status"), links
+
+
 def report(verified: DataFrame) -> DataFrame:
     """How many unverified entries became what."""
     was = F.col("status") == UNVERIFIED

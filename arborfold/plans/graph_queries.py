@@ -82,9 +82,9 @@ def s05_get_store(h: History) -> DataFrame:
 
 
 @_query("""select w.entry_id, case when e.entry_id is null then 'not_found' when e.tree_id <> '7' then 'not_in_tree' else 'ok' end as state
-    from (select distinct entry_id from entries_ where event_id % 50 = 0 union all select 'absent') w left join entries_ e using (entry_id)""")
+    from (select distinct entry_id from entries_ union all select 'absent') w left join entries_ e using (entry_id)""")
 def s06_get_entries_checked(h: History) -> DataFrame:
-    wanted = h.entries.where("event_id % 50 = 0").select("entry_id").unionAll(h.spark.sql("select 'absent' as entry_id"))
+    wanted = h.entries.select("entry_id").unionAll(h.spark.sql("select 'absent' as entry_id"))
     return store.membership(h.entries, wanted, "7")
 
 
@@ -128,10 +128,10 @@ def g06_tree_from_tips(h: History) -> DataFrame:
 
 
 @_query("""select t.tree_id, t.entry_id, case when e.entry_id is null then 'not_found' else 'not_in_tree' end as error
-    from (select '1' as tree_id, entry_id from entries_ where event_id % 40 = 0 union all select '1', 'absent') t left join entries_ e using (entry_id)
+    from (select '1' as tree_id, entry_id from entries_ union all select '1', 'absent') t left join entries_ e using (entry_id)
     where e.entry_id is null or e.tree_id <> t.tree_id""")
 def g06_bad_tips(h: History) -> DataFrame:
-    tips = h.entries.where("event_id % 40 = 0").select(F.lit("1").alias("tree_id"), "entry_id").unionAll(h.spark.sql("select '1' as tree_id, 'absent' as entry_id"))
+    tips = h.entries.select(F.lit("1").alias("tree_id"), "entry_id").unionAll(h.spark.sql("select '1' as tree_id, 'absent' as entry_id"))
     return dag.bad_tips(h.entries, tips)
 
 
@@ -189,23 +189,48 @@ _PART = "select * from entries_ where event_id % 89 <> 3"
 
 
 @_query(f"""
-    , here as materialized ({_PART}), wanted as (select entry_id from here where event_id % 30 = 0), low as (select min(height) as low from here where entry_id in (from wanted)),
-    passing as (select * from edges where child_id in (select entry_id from here where height >= (select low from low)))
-    {_up("seen", "select entry_id from here where event_id % 45 = 7", "passing")}
-    select entry_id, case when entry_id in (from seen) then 'reachable' when exists (select 1 from seen where entry_id not in (select entry_id from here)) then 'indeterminate' else 'unreachable' end as state from wanted""")
+    , here as materialized ({_PART}), wanted as (select tree_id, entry_id, height from here where store = 'purchase'), low as (select tree_id, min(height) as low from wanted group by tree_id),
+    passing as materialized (select edges.* from edges join here on entry_id = child_id join low on low.tree_id = edges.tree_id where height >= low)
+    {_up("seen", _cut_sql(2), "passing")},
+    lost as (select tree_id from passing where child_id in (from seen) and parent_id not in (select entry_id from here) union select tree_id from entries_ where entry_id in ({_cut_sql(2)}) and entry_id not in (select entry_id from here))
+    select tree_id, entry_id, case when entry_id in (from seen) then 'reachable' when tree_id in (from lost) then 'indeterminate' else 'unreachable' end as state from wanted""")
 def g14_reachability(h: History) -> DataFrame:
+    """Which purchases each tree's older snapshot has above it, where some entries are not here."""
     here = h.entries.where("event_id % 89 <> 3")
-    return dag.reachability(here, h.edges, here.where("event_id % 45 = 7").select("entry_id"), here.where("event_id % 30 = 0").select("entry_id"))
+    return dag.reachability(here, h.edges, _cut(h, 2), here.where("store = 'purchase'").select("tree_id", "entry_id"))
 
 
-@_query(f"""{_up("old", _cut_sql(3))}{_up("new", _cut_sql(2))} select entry_id from new where entry_id not in (from old)""")
+_PLACED = "tree_id, entry_id, height, row_number() over (partition by tree_id order by height, entry_id) as position from entries_"
+
+
+@_query(f"""{_up("old", _cut_sql(3))}{_up("new", _cut_sql(2))} select {_PLACED} where entry_id in (from new) and entry_id not in (from old)""")
 def g15_ids_added(h: History) -> DataFrame:
-    return dag.ids_added(h.edges, _cut(h, 3), _cut(h, 2))
+    return dag.ids_added(h.entries, h.edges, _cut(h, 3), _cut(h, 2))
 
 
-@_query(f"""{_up("path", _cut_sql(2) + " and entry_id not in (" + _cut_sql(3) + ")", where="where parent_id not in (" + _cut_sql(3) + ")")} select entry_id from path""")
+@_query(f"""{_up("path", _cut_sql(2) + " and entry_id not in (" + _cut_sql(3) + ")", where="where parent_id not in (" + _cut_sql(3) + ")")} select {_PLACED} where entry_id in (from path)""")
 def g15_ids_added_strict(h: History) -> DataFrame:
-    return dag.ids_added(h.edges, _cut(h, 3), _cut(h, 2), strict=True)
+    return dag.ids_added(h.entries, h.edges, _cut(h, 3), _cut(h, 2), strict=True)
+
+
+@_query("select tree_id, entry_id, height, 0 as position from entries_ where false")
+def g15_ids_added_backwards(h: History) -> DataFrame:
+    """From a later snapshot to an earlier one nothing is added."""
+    return dag.ids_added(h.entries, h.edges, _cut(h, 2), _cut(h, 3), strict=True)
+
+
+@_query("select tree_id, store, entry_id, not exists (select 1 from store_edges s where s.parent_id = p.entry_id and s.store = p.store) as is_tip from patches p")
+def g05_is_store_tip(h: History) -> DataFrame:
+    return dag.subtree_tips(h.patches, h.store_edges).select("tree_id", "store", "entry_id", "is_tip")
+
+
+@_query(f"select tree_id, case when tree_id like '%1' then 'empty_list' else 'not_found' end as error from (select distinct tree_id from entries_) where tree_id like '%1' or tree_id like '%2'")
+def g11_merge_errors(h: History) -> DataFrame:
+    """Trees for which nothing is asked, and those for which an entry of no tree is."""
+    trees = h.entries.select("tree_id").distinct()
+    asked = h.entries.where("height = 0 and tree_id not like '%1'").select("tree_id", "entry_id")
+    absent = trees.where("tree_id like '%2'").select("tree_id", F.lit("absent").alias("entry_id"))
+    return dag.merge_errors(h.entries, asked.unionByName(absent), trees)
 
 
 _KEPT = f"""{_down("bad", "select entry_id from entries_ where status <> 0 and event_id % 89 <> 3 union select child_id from edges where parent_id in (select entry_id from entries_ where event_id % 89 = 3)")},
@@ -225,12 +250,12 @@ def g17_snapshot_allow_unverified(h: History) -> DataFrame:
 
 
 @_query(f""", here as materialized ({_PART}), links as materialized (select * from edges where child_id in (select entry_id from here))
-    {_up("seen", "select entry_id from here where event_id % 20 = 1 union select 'absent'", "links")}
+    {_up("seen", "select entry_id from here where store = 'view' union select 'absent'", "links")}
     select entry_id from seen where entry_id not in (select entry_id from here)""")
 def g18_missing_ancestors(h: History) -> DataFrame:
     here = h.entries.where("event_id % 89 <> 3")
     inner = h.edges.join(here.select(F.col("entry_id").alias("child_id")), "child_id", "left_semi")
-    wanted = here.where("event_id % 20 = 1").select("entry_id").unionAll(h.spark.sql("select 'absent' as entry_id"))
+    wanted = here.where("store = 'view'").select("entry_id").unionAll(h.spark.sql("select 'absent' as entry_id"))
     return dag.missing_ancestors(here, inner, wanted)
 
 

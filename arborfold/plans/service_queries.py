@@ -152,14 +152,6 @@ def v11_delegation(spark: SparkSession, folder: str) -> DataFrame:
     return auth.delegated(steps, start).select("pubkey", "n_steps", "ranked")
 
 
-@_query(f"with {_AUTH_KEYS} select pubkey, greatest(case when status = 'Active' then ranked end, {_M + 1} - 7) as ranked, greatest(case when status = 'Active' then ranked end, {_M + 1} - 7) > {_M + 1} as admin from keys")
-def v13_highest_permission(spark: SparkSession, folder: str) -> DataFrame:
-    """The strongest of a key's own active permission and the global one."""
-    own = F.when(F.col("status") == "Active", auth.rank(F.col("type"), F.col("priority")))
-    best = F.greatest(own, auth.rank(F.lit("Write"), F.lit(7)))
-    return _keys(spark, folder).select("pubkey", best.alias("ranked"), auth.can_admin(best).alias("admin"))
-
-
 # ---- replication: the node's sync history, peers, tips and entries ----
 
 def _history(spark: SparkSession, folder: str) -> DataFrame:
@@ -338,10 +330,3 @@ def y11_settings_of_peers(spark: SparkSession, folder: str) -> DataFrame:
 @_query("select distinct id, trim(display_name) as name from peers where display_name is not null")
 def y13_list_users(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "peers").where("display_name is not null").select("id", F.trim("display_name").alias("name")).distinct()
-
-
-@_query("select user_id from (select user_id, arg_max(event_type, (ts, event_id)) as name from events group by user_id) where name = 'purchase'")
-def t18_find_by_setting(spark: SparkSession, folder: str) -> DataFrame:
-    """Trees whose folded setting has a value."""
-    state = fold.last_writer(table(spark, folder, "events"), ["user_id"], ["event_type"], ["ts", "event_id"])
-    return state.where("event_type = 'purchase'").select("user_id")

@@ -36,13 +36,6 @@ def t20_store_entries(h: History) -> DataFrame:
     return dag.store_at(h.patches, h.store_edges, _cut(h, 3, True)).select("store", "entry_id", "height", "props")
 
 
-@_query(f"select t.tree_id, count(*) as n_tips, max(height) as top, string_agg(t.entry_id || ':' || height, ',' order by t.entry_id) as tips from ({_TIPS}) t join entries_ using (entry_id) group by t.tree_id")
-def t21_transaction_context(h: History) -> DataFrame:
-    tips = dag.tree_tips(h.entries, h.edges).select("tree_id", F.struct("entry_id", F.concat_ws(":", "entry_id", F.col("height").cast("string")).alias("t")).alias("s"), "height")
-    texts = F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["t"]), ",")
-    return tips.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n_tips"), F.max("height").alias("top"), texts.alias("tips"))
-
-
 @_query("""
     , up(at_entry, entry_id) as (select entry_id, entry_id from entries_ union select at_entry, parent_id from up join edges on child_id = up.entry_id)
     select at_entry, store, value from up join patches using (entry_id) qualify row_number() over (partition by at_entry, store order by height desc, entry_id desc) = 1""")
@@ -76,8 +69,8 @@ def y02_exchange(h: History) -> DataFrame:
     select tree_id, count(*) as n_missing, min(entry_id) as first_missing from entries_ where entry_id not in (from old) group by tree_id""")
 def y01_incremental_response(h: History) -> DataFrame:
     """Per tree what a peer that stands at an older snapshot is missing."""
-    added = dag.ids_added(h.edges, _cut(h, 2), dag.tree_tips(h.entries, h.edges))
-    return h.entries.join(added, "entry_id", "left_semi").groupBy("tree_id").agg(F.count(F.lit(1)).alias("n_missing"), F.min("entry_id").alias("first_missing"))
+    added = dag.ids_added(h.entries, h.edges, _cut(h, 2), dag.tree_tips(h.entries, h.edges))
+    return added.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n_missing"), F.min("entry_id").alias("first_missing"))
 
 
 @_query(f"""{_down("below", "select entry_id from entries_ where event_id % 61 = 5")} select tree_id, count(*) as n_below from entries_ where entry_id in (from below) group by tree_id""")
