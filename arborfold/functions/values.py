@@ -98,4 +98,5 @@ def parse_ticket(text: Column) -> Column:
     pairs = F.split(F.substring_index(text, "?", -1), "&")
     one = F.filter(pairs, lambda p: F.startswith(p, F.lit("db=")))
     many = F.filter(pairs, lambda p: F.startswith(p, F.lit("pr=")) & (F.length(p) > 3))
-    return F.struct(F.url_decode(F.substring(F.try_element_at(one, F.lit(1)), 4, 1_000_000)).alias("database"), F.transform(many, lambda p: F.url_decode(F.substring(p, 4, 1_000_000))).alias("peers"))
+    after = lambda p: F.substr(p, F.lit(4))
+    return F.struct(F.url_decode(after(F.try_element_at(one, F.lit(1)))).alias("database"), F.transform(many, lambda p: F.url_decode(after(p))).alias("peers"))

@@ -240,8 +240,30 @@ def merge_bases(edges: DataFrame, requests: DataFrame) -> DataFrame:
     return inner.groupBy("tree_id").cogroup(asked.groupBy("tree_id")).applyInArrow(base, "tree_id string, base string")
 
 
+def dominators(edges: DataFrame, requests: DataFrame) -> DataFrame:
+    """tree_id, entry_id of every entry through which all ways up from all requested (tree_id, entry_id) of its tree pass.
+
+    The lowest of them is the merge base. Tasks and bounds are those of merge_bases().
+    """
+    above = ancestors(edges, requests).select(F.col("entry_id").alias("child_id"))
+    inner = edges.join(above, "child_id", "left_semi").select(F.col("tree_id").alias("tree_id"), "child_id", "parent_id")
+    asked = requests.select(F.col("tree_id").alias("tree_id"), F.col("entry_id").alias("entry_id"))
+
+    def chain(links: pa.Table, wanted: pa.Table) -> pa.Table:
+        found = all_dominators(zip(links["child_id"].to_pylist(), links["parent_id"].to_pylist()), wanted["entry_id"].to_pylist()) if wanted.num_rows else []
+        tree = wanted["tree_id"][0].as_py() if wanted.num_rows else None
+        return pa.table({"tree_id": pa.array([tree] * len(found), pa.string()), "entry_id": pa.array(found, pa.string())})
+
+    return inner.groupBy("tree_id").cogroup(asked.groupBy("tree_id")).applyInArrow(chain, "tree_id string, entry_id string")
+
+
 def lowest_dominator(links: Iterator[tuple[str, str]], wanted: list[str]) -> str | None:
     """The lowest node on all ways up from the wanted nodes; None if ways end at different roots."""
+    return next(iter(all_dominators(links, wanted)), None)
+
+
+def all_dominators(links: Iterator[tuple[str, str]], wanted: list[str]) -> list[str]:
+    """The nodes on all ways up from the wanted nodes, the lowest first."""
     up: dict[str, set] = {}
     kids: dict[str, set] = {}
     for c, p in links:
@@ -274,7 +296,11 @@ def lowest_dominator(links: Iterator[tuple[str, str]], wanted: list[str]) -> str
     best = wanted[0]
     for w in wanted[1:]:
         best = meet(best, w)
-    return best
+    out = []
+    while best is not None:
+        out.append(best)
+        best = over[best]
+    return out
 
 
 def timestamp_heights(entries: DataFrame, edges: DataFrame) -> DataFrame:

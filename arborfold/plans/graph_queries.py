@@ -185,6 +185,22 @@ def g11_merge_base(h: History) -> DataFrame:
     return dag.merge_bases(h.edges, wanted)
 
 
+@_query(f"""
+    , wanted as materialized (select tree_id, entry_id from ({_LAST}) where r = 1),
+    links as materialized (select * from edges where tree_id in (select tree_id from wanted)),
+    nodes as materialized (select tree_id, entry_id, height from entries_ where tree_id in (select tree_id from wanted)),
+    cut(gone, wanted_id, at_id) as (select nodes.entry_id, wanted.entry_id, wanted.entry_id from nodes join wanted using (tree_id) where nodes.entry_id <> wanted.entry_id
+        union select gone, wanted_id, parent_id from cut join links on child_id = at_id where parent_id <> gone),
+    bypassed as (select gone, wanted_id from cut where at_id in (select entry_id from nodes where height = 0)),
+    through as (select tree_id, nodes.entry_id, height from nodes join (select tree_id, count(*) as n from wanted group by 1) using (tree_id)
+        where n = (select count(*) from wanted w where w.tree_id = nodes.tree_id and not exists (select 1 from bypassed b where b.gone = nodes.entry_id and b.wanted_id = w.entry_id)))
+    select tree_id, entry_id from through""")
+def g12_dominators(h: History) -> DataFrame:
+    """The entries of every tree through which every way from its last entry up to the root passes."""
+    last = h.entries.groupBy("tree_id").agg(F.max_by("entry_id", "height").alias("entry_id"))
+    return dag.dominators(h.edges, last)
+
+
 _PART = "select * from entries_ where event_id % 89 <> 3"
 
 

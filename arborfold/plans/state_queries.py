@@ -374,7 +374,7 @@ def f21_duration(spark: SparkSession, folder: str) -> DataFrame:
 @_query("select event_id, event_type || '&' || user_id as database, 'http://h:' || event_id || '/?a=b;iroh:x y' as peers from events")
 def f22_ticket_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events")
-    peers = F.array(F.concat(F.lit("http://h:"), F.col("event_id").cast("string"), F.lit("/?a=b").substr(1, 100)), F.lit("iroh:x y"))
+    peers = F.array(F.concat(F.lit("http://h:"), F.col("event_id").cast("string"), F.lit("/?a=b")), F.lit("iroh:x y"))
     text = F.concat(values.ticket(F.concat("event_type", F.lit("&"), F.col("user_id").cast("string")), peers), F.lit("&unknown=1&pr="))
     return e.select("event_id", values.parse_ticket(text).alias("t")).select("event_id", F.col("t.database").alias("database"), F.array_join("t.peers", ";").alias("peers"))
 
@@ -396,8 +396,11 @@ def x00_custom_merge(spark: SparkSession, folder: str) -> DataFrame:
 # ---- streams over the files of the events table ----
 
 def _stream(spark: SparkSession, folder: str) -> DataFrame:
-    path = f"{folder}/events.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{folder}/events.parque[t]")  # a pattern may name a file or a folder
+    """The events as a stream of four files, one in each batch."""
+    place = f"{Cut(spark).base}/events"
+    events = table(spark, folder, "events")
+    events.repartition(4, "event_id").write.parquet(place)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(place)
 
 
 @_query("select tree_id, entry_id from (select cast(user_id as varchar) as tree_id, event_id as entry_id from events) e where not exists (select 1 from events c where c.user_id = e.tree_id::bigint and (c.event_id - c.event_id % 3 - 3) = e.entry_id and c.event_id % 3 <> 0)")
@@ -408,7 +411,7 @@ def x04_streaming_tips(spark: SparkSession, folder: str) -> DataFrame:
     place = Cut(spark).base
     state = streaming.tips(e.select(F.col("user_id").cast("string").alias("tree_id"), i.cast("string").alias("entry_id"), parents.alias("parents")))
     streaming.write_state(state, f"{place}/state", f"{place}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{place}/state").where("seen and not has_child").select("tree_id", F.col("entry_id").cast("bigint").alias("entry_id"))
+    return streaming.read_state(spark, f"{place}/state", ["tree_id", "entry_id"]).where("seen and not has_child").select("tree_id", F.col("entry_id").cast("bigint").alias("entry_id"))
 
 
 @_query("select user_id, event_type, value from (" + _LAST.format(where="") + ")")
@@ -416,7 +419,23 @@ def x05_streaming_fold(spark: SparkSession, folder: str) -> DataFrame:
     place = Cut(spark).base
     state = streaming.table_state(_stream(spark, folder), ["user_id"], ["event_type", "value"], ["ts", "event_id"])
     streaming.write_state(state, f"{place}/state", f"{place}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{place}/state")
+    return streaming.read_state(spark, f"{place}/state", ["user_id"])
+
+
+@_query("select user_id, event_type, value, true as gap_free from (" + _LAST.format(where="") + ")")
+def x02_subscription(spark: SparkSession, folder: str) -> DataFrame:
+    """A subscriber folds what it is told of in two calls; together they hold every entry once, in several batches."""
+    place = Cut(spark).base
+    rows = _stream(spark, folder).withColumn("entry_id", F.col("event_id").cast("string"))
+    streaming.ingest(rows, f"{place}/entries", f"{place}/checkpoint").awaitTermination()
+    early, cursor = streaming.changes(spark, f"{place}/entries")
+    first = early.where("batch < 2")
+    rest, _ = streaming.changes(spark, f"{place}/entries", 1)
+    told = first.unionByName(rest)
+    whole = told.agg((F.count(F.lit(1)) == F.count_distinct("entry_id")).alias("once"), (F.count_distinct("batch") == cursor + 1).alias("all"))
+    gap_free = whole.select((F.col("once") & F.col("all")).alias("gap_free"))
+    state = fold.last_writer(told, ["user_id"], ["event_type", "value"], ["ts", "event_id"]).select("user_id", "event_type", "value")
+    return state.join(F.broadcast(gap_free))
 
 
 @_query("select tree_id, count(*) as n from (select distinct cast(user_id as varchar) as tree_id, event_id from events) group by 1")

@@ -32,18 +32,42 @@ def table_state(events: DataFrame, keys: list[str], values: list[str], order: li
     return events.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_v")).select(*keys, "_v.*")
 
 
-def write_state(state: DataFrame, folder: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Keeps the folder equal to the streaming state; the query ends when what is there has been read."""
+def write_state(state: DataFrame, folder: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Keeps a streaming state in a folder, which read_state() reads; each batch adds the rows that it changed.
+
+    A batch has a sub-folder of its own, so that readers never see half of one and a batch that is run again replaces its
+    own. The query ends when what is there has been read; with `every` (30 seconds, say) it goes on and looks again.
+    """
+
+    def add(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    writer = state.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", checkpoint)
+    return _start(writer, every)
+
+
+def read_state(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
+    """The state that write_state() has kept: the last row of every key."""
+    rows = spark.read.parquet(folder)
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v")).select(*keys, "_v.*")
 
-    def replace(df: DataFrame, _: int) -> None:
-        df.write.mode("overwrite").parquet(folder)
 
-    return state.writeStream.outputMode(mode).foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def compact_state(spark: SparkSession, folder: str, keys: list[str], to: str) -> None:
+    """Writes the state as a folder with one batch, for when a state has been changed many times."""
+    last = spark.read.parquet(folder).agg(F.max("batch")).first()[0]
+    read_state(spark, folder, keys).write.mode("overwrite").parquet(f"{to}/batch={last}")
 
 
-def ingest(entries: DataFrame, folder: str, checkpoint: str, on_new: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+def _start(writer, every: str | None) -> StreamingQuery:  # noqa: ANN001
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def ingest(entries: DataFrame, folder: str, checkpoint: str, on_new: Callable[[DataFrame, int], None] | None = None, every: str | None = None) -> StreamingQuery:
     """Appends entries whose id is not stored yet, one sub-folder per batch; a batch that is run again replaces its own.
 
+    The query ends when what is there has been read; with `every` (30 seconds, say) it goes on and looks again.
+
     on_new gets what a batch added, which is the change feed: entries of consecutive batches, without gaps or repeats.
     """
 
@@ -57,7 +81,18 @@ def ingest(entries: DataFrame, folder: str, checkpoint: str, on_new: Callable[[D
         if on_new is not None:
             on_new(spark.read.schema(df.schema).parquet(f"{folder}/batch={batch}"), batch)
 
-    return entries.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _start(entries.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint), every)
+
+
+def changes(spark: SparkSession, folder: str, cursor: int = -1) -> tuple[DataFrame, int]:
+    """What ingest() has added to a folder after a cursor, with its batch, and the cursor for the next call.
+
+    A subscriber that keeps its cursor gets every entry once, whenever it asks, without gaps or repeats.
+    """
+    rows = spark.read.parquet(folder)
+    last = rows.agg(F.max("batch")).first()[0]
+    upto = cursor if last is None else max(cursor, last)
+    return rows.where((F.col("batch") > cursor) & (F.col("batch") <= upto)), upto
 
 
 def _stored(spark: SparkSession, folder: str, batch: int) -> DataFrame | None:
