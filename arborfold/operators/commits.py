@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborfold.operators import fold, hierarchy
@@ -41,3 +42,23 @@ def states_at(patches: DataFrame, edges: DataFrame, wanted: DataFrame, keys: Seq
     none = F.array().cast("array<string>")
     above = asked.select(F.col("n").alias("at_entry"), F.explode(F.concat(F.coalesce("ancestors", none), F.array("n"))).alias("entry_id"))
     return fold.last_writer(patches.join(above, "entry_id"), ["at_entry", *keys], values)
+
+
+class StateCache:
+    """Folded states kept as tables by scope and snapshot; a snapshot has the same state for ever, so nothing goes stale."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+
+    def place(self, scope: str, tips: Sequence[str]) -> str:
+        """The folder of a state: the key of merges, for the tips in any order and however often each is given."""
+        text = ":".join(["merge", *sorted(set(tips))])
+        return f"{self.folder}/{hashlib.sha256(scope.encode()).hexdigest()[:16]}/{hashlib.sha256(text.encode()).hexdigest()}"
+
+    def get(self, scope: str, tips: Sequence[str], compute: Callable[[], DataFrame]) -> DataFrame:
+        """The state, read if it is there, else computed and written. A half-written one does not count."""
+        place = self.place(scope, tips)
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{place}/_SUCCESS")
+        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            compute().write.mode("overwrite").parquet(place)
+        return self.spark.read.parquet(place)

@@ -259,7 +259,7 @@ def y15_tree_peers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @_query(f"with {_SYNCS} select peer_pubkey as peer, count(distinct tree_id) as n_trees from s where peer_pubkey is not null and tree_id is not null group by 1")
-def y16_peer_trees(spark: SparkSession, folder: str) -> DataFrame:
+def y15_trees_of_peers(spark: SparkSession, folder: str) -> DataFrame:
     return _tree_peers(_history(spark, folder)).groupBy("peer").agg(F.count(F.lit(1)).alias("n_trees"))
 
 
@@ -282,12 +282,6 @@ def y18_sync_enabled(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select(F.col("root").alias("tree_id"), F.coalesce("sync_enabled", F.lit(False)).alias("enabled"))
 
 
-@_query("select status, count(distinct id) as n, arg_min(id, (first_seen, id)) as oldest from peers where first_seen is not null group by status")
-def y19_oldest_keys(spark: SparkSession, folder: str) -> DataFrame:
-    known = table(spark, folder, "peers").where("first_seen is not null")
-    return known.groupBy("status").agg(F.count_distinct("id").alias("n"), F.min_by("id", F.struct("first_seen", "id")).alias("oldest"))
-
-
 @_query("""select id, n_tips from (select distinct id from entries where is_root and id not in (select coalesce(tree_id, '') from tips where store_name in ('_settings', '_index')))
     left join (select tree_id, count(distinct entry_id) as n_tips from tips where store_name = '' group by 1) on tree_id = id""")
 def y20_db_list(spark: SparkSession, folder: str) -> DataFrame:
@@ -314,19 +308,9 @@ def v12_status_update(spark: SparkSession, folder: str) -> DataFrame:
     return last.select("id", F.when((F.col("s") == 2) & (F.col("height") % 3 == 0), 0).otherwise(F.col("s")).alias("status"))
 
 
-@_query("select distinct id, status from peers where status = 'Blocked'")
-def y10_by_status(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "peers").where("status = 'Blocked'").select("id", "status").distinct()
-
-
 @_query(f"with {_SYNCS}, {_SETTINGS}, tp as (select distinct tree_id, peer_pubkey as peer from s where peer_pubkey is not null) select peer, count(*) as n_trees, bool_or(sync_enabled) as any_enabled, min(interval_seconds) as shortest from tp join settings using (tree_id) group by peer")
 def y11_settings_of_peers(spark: SparkSession, folder: str) -> DataFrame:
     """The combined settings of all trees that a peer syncs."""
     h = _history(spark, folder)
     joined = _tree_peers(h).join(_settings(h), "tree_id")
     return joined.groupBy("peer").agg(F.count(F.lit(1)).alias("n_trees"), F.bool_or("sync_enabled").alias("any_enabled"), F.min("interval_seconds").alias("shortest"))
-
-
-@_query("select distinct id, trim(display_name) as name from peers where display_name is not null")
-def y13_list_users(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "peers").where("display_name is not null").select("id", F.trim("display_name").alias("name")).distinct()

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import sqlite3
+from collections.abc import Iterator
 from urllib.parse import parse_qsl, urlsplit
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,11 +68,25 @@ def get_metadata(spark: SparkSession, folder: str) -> dict[str, str]:
     return spark.read.parquet(f"{folder}/_metadata").first()["metadata"]
 
 
+class UnknownPlace(ValueError):
+    """A URL that names no place for tables."""
+
+
 def reader(spark: SparkSession, url: str):  # noqa: ANN201
-    """A function from table name to DataFrame for parquet:, json:, orc:, jdbc: and memory: (temporary views) places."""
+    """A function from table name to DataFrame for a place.
+
+    parquet:FOLDER, json:FOLDER, orc:FOLDER; sqlite:FILE (read by ranges of rows); postgres://... and jdbc:URL (a driver
+    must be there); memory: (temporary views). Anything else is an error that says what would do.
+    """
     kind, sep, rest = url.partition(":")
     if kind in ("parquet", "json", "orc") and rest:
         return lambda name: spark.read.format(kind).load(f"{rest.removeprefix('//')}/{name}")
+    if kind == "sqlite" and rest:
+        return lambda name: read_sqlite(spark, rest.removeprefix("//"), name)
+    if kind in ("postgres", "postgresql") and rest:
+        parts = urlsplit(url)
+        options = {"url": f"jdbc:postgresql://{parts.hostname}:{parts.port or 5432}{parts.path}", "user": parts.username or "", "password": parts.password or ""}
+        return lambda name: spark.read.format("jdbc").options(dbtable=name, **options).load()
     if kind == "jdbc" and rest:
         parts = urlsplit(rest)
         options = dict(parse_qsl(parts.query))
@@ -76,4 +94,46 @@ def reader(spark: SparkSession, url: str):  # noqa: ANN201
         return lambda name: spark.read.format("jdbc").options(url=plain, dbtable=name, **options).load()
     if kind == "memory" and sep:
         return spark.table
-    raise ValueError(f"{url!r}: expected parquet:FOLDER, json:FOLDER, orc:FOLDER, jdbc:URL or memory:")
+    hint = {"http": "services are no tables", "unix": "a socket is no table; read the database's own place", "": "the place is missing"}.get(kind, f"{kind!r} is not known" if sep else "a kind and a colon come first")
+    raise UnknownPlace(f"{url!r}: {hint}; expected parquet:FOLDER, json:FOLDER, orc:FOLDER, sqlite:FILE, postgres://HOST/NAME, jdbc:URL or memory:")
+
+
+_SQLITE_TYPES = {"INTEGER": "bigint", "INT": "bigint", "BIGINT": "bigint", "REAL": "double", "DOUBLE": "double", "BLOB": "binary", "BOOLEAN": "boolean"}
+
+
+def read_sqlite(spark: SparkSession, file: str, name: str, range_rows: int = 500_000) -> DataFrame:
+    """A table of an SQLite file that all executors can open, read in ranges of row numbers."""
+    quoted = '"' + name.replace('"', '""') + '"'
+    with contextlib.closing(sqlite3.connect(f"file:{file}?mode=ro", uri=True)) as con:
+        columns = [(r[1], _SQLITE_TYPES.get(r[2].upper(), "string")) for r in con.execute(f"pragma table_info({quoted})")]
+        low, high = con.execute(f"select min(rowid), max(rowid) from {quoted}").fetchone()
+    if not columns:
+        raise UnknownPlace(f"{file!r} has no table {name!r}")
+    schema = ", ".join(f"`{c}` {t}" for c, t in columns)
+    if low is None:
+        return spark.createDataFrame([], schema)
+    arrow = {"bigint": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "boolean": pa.bool_(), "string": pa.string()}
+    names = [c for c, _ in columns]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with contextlib.closing(sqlite3.connect(f"file:{file}?mode=ro", uri=True)) as con:
+            for batch in batches:
+                for a in batch.column(0).to_pylist():
+                    rows = con.execute(f"select * from {quoted} where rowid >= ? and rowid < ?", (a, a + range_rows))
+                    while part := rows.fetchmany(20_000):
+                        data = [[(bool(v) if t == "boolean" else str(v) if t == "string" else v) if v is not None else None for v in column] for column, (_, t) in zip(zip(*part), columns)]
+                        yield pa.RecordBatch.from_arrays([pa.array(d, arrow[t]) for d, (_, t) in zip(data, columns)], names)
+
+    n = (high - low) // range_rows + 1
+    return spark.range(low, high + 1, range_rows, min(n, 10_000)).mapInArrow(read, schema)
+
+
+def write_jdbc(df: DataFrame, url: str, name: str, mode: str = "append") -> None:
+    """A table of a database by JDBC, written in parallel."""
+    df.write.format("jdbc").options(url=url, dbtable=name).mode(mode).save()
+
+
+def upsert(stored: DataFrame, arriving: DataFrame, keys: list[str]) -> DataFrame:
+    """stored with arriving rows, which take the place of stored ones with the same keys; several of one key: any of them."""
+    new = arriving.dropDuplicates(keys)
+    return stored.join(new.select(*keys), keys, "left_anti").select(*stored.columns).unionByName(new.select(*stored.columns))

@@ -1,6 +1,8 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from arborfold.operators import dag, verify
 
 
@@ -57,11 +59,26 @@ def test_closures_stops_and_reachability(spark):
     assert ids(dag.ancestors(links, one("e"), one("b"))) == ["a", "c", "d", "e"]
     assert ids(dag.ancestors(links, one())) == []
     assert ids(dag.descendants(links, one("c"))) == ["c", "d", "e"]
-    assert ids(dag.ids_added(links, one("b"), one("d"))) == ["c", "d"]
+    assert ids(dag.ids_added(entries, links, one("b"), one("d"))) == ["c", "d"] and ids(dag.ids_added(entries, links, one("d"), one("b"), strict=True)) == []
     assert ids(dag.missing_ancestors(entries, links, one("z", "absent"))) == ["absent", "gone"]
-    state = {r["entry_id"]: r["state"] for r in dag.reachability(entries, links, one("z"), one("a", "z")).collect()}
+    tree = entries.first()["tree_id"]
+    own = lambda *x: spark.createDataFrame([(tree, i) for i in x], "tree_id string, entry_id string")
+    state = {r["entry_id"]: r["state"] for r in dag.reachability(entries, links, own("z"), own("a", "z")).collect()}
     assert state == {"a": "indeterminate", "z": "reachable"}
-    assert [r["state"] for r in dag.reachability(entries, links, one(), one("a")).collect()] == ["unreachable"]
+    assert ids(dag.lost_ids(entries, links, own("z"), own("a", "z"))) == ["gone"]
+    assert [r["state"] for r in dag.reachability(entries, links, own(), own("a")).collect()] == ["unreachable"]
+    foreign = own("a").withColumn("tree_id", F.lit("another"))
+    assert [r["state"] for r in dag.reachability(entries, links, own("d"), foreign.unionAll(own("b"))).orderBy("entry_id").collect()] == ["not_in_tree", "reachable"]
+
+
+def test_closures_in_blocks_of_any_size(spark):
+    chain = [(f"n{i:03d}", f"n{i - 1:03d}") for i in range(1, 120)] + [("n050", "n020"), ("n003", "n003")]
+    edges = spark.createDataFrame([("t", c, p) for c, p in chain], "tree_id string, child_id string, parent_id string")
+    start = spark.createDataFrame([("n100",), ("absent",), (None,)], "entry_id string")
+    for rows in (20, 1000):
+        up, down = dag.Blocks(edges, True, rows), dag.Blocks(edges, False, rows)
+        assert ids(up.reach(start)) == ["absent", *[f"n{i:03d}" for i in range(101)]]
+        assert ids(down.reach(start)) == ["absent", *[f"n{i:03d}" for i in range(100, 120)]]
 
 
 def plain_verify(status, valid, up, order):

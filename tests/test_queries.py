@@ -5,11 +5,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from arborfold.plans import access_queries, graph_queries, problems, service_queries, snapshot_queries, state_queries
+from arborfold.plans import access_queries, graph_queries, lookup_queries, problems, service_queries, snapshot_queries, state_queries
 from tools import compare
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = [n for m in (problems, graph_queries, state_queries, service_queries, snapshot_queries, access_queries) for n in m.QUERIES]
+NAMES = [n for m in (problems, graph_queries, state_queries, service_queries, snapshot_queries, access_queries, lookup_queries) for n in m.QUERIES]
 
 
 @pytest.fixture(scope="module")

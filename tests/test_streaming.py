@@ -15,7 +15,7 @@ def test_late_parents_and_repeats(spark, tmp_path):
     def run():
         stream = spark.readStream.schema(SCHEMA).parquet(source)
         streaming.write_state(streaming.tips(stream), out, check).awaitTermination()
-        return {r["entry_id"] for r in spark.read.parquet(out).where("seen and not has_child").collect()}
+        return {r["entry_id"] for r in streaming.read_state(spark, out, ["tree_id", "entry_id"]).where("seen and not has_child").collect()}
 
     assert run() == {"c"}
     write(spark, source, [("t", "a", None), ("t", "d", ["a"])])
@@ -36,6 +36,9 @@ def test_ingest_is_idempotent_and_feeds_changes(spark, tmp_path):
     run()
     assert feed == [["a", "b"], ["c"]]
     assert sorted(r["entry_id"] for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+    first, cursor = streaming.changes(spark, out)
+    assert first.count() == 3 and streaming.changes(spark, out, cursor)[0].count() == 0
+    assert sorted(r["entry_id"] for r in streaming.changes(spark, out, 0)[0].collect()) == ["c"]
 
 
 def test_streaming_fold(spark, tmp_path):
@@ -45,7 +48,9 @@ def test_streaming_fold(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         state = streaming.table_state(spark.readStream.schema(schema).parquet(source), ["key"], ["v"], ["at"])
         streaming.write_state(state, out, check).awaitTermination()
-    assert {(r["key"], r["v"]) for r in spark.read.parquet(out).collect()} == {("a", 1), ("b", 2)}
+    assert {(r["key"], r["v"]) for r in streaming.read_state(spark, out, ["key"]).collect()} == {("a", 1), ("b", 2)}
+    streaming.compact_state(spark, out, ["key"], f"{out}-small")
+    assert {(r["key"], r["v"]) for r in streaming.read_state(spark, f"{out}-small", ["key"]).collect()} == {("a", 1), ("b", 2)}
 
 
 def test_promotion(spark):
