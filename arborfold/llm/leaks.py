@@ -12,7 +12,7 @@ slice is sent to all tasks, which read every document once and move none.
 
 The radius of item-sized windows is 7 of 64 bits: with one word replaced, the distance of windows of 54 words was 3.5 in
 the mean and at most 7 for 98 % of 1,500 random ones (two of 81: 94 %, three of 122: 92 %), and each item has two windows.
-Windows that are equal have distance 0 and cannot be missed. Parts have a radius of 1.
+Windows that are equal have distance 0 and cannot be missed; parts count only if they are equal, so their radius is 0.
 """
 
 from __future__ import annotations
@@ -189,7 +189,7 @@ def _parts_of(ends: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 class Index:
     """The windows of a slice of items by length, their words, and the weights of their shingles."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], part: int, distance: int, shingle: int, part_distance: int = 1) -> None:
+    def __init__(self, items: list[tuple[int, np.ndarray]], part: int, distance: int, shingle: int) -> None:
         self.part, self.shingle = part, shingle
         self.ids = np.array([i for i, _ in items], np.int64)
         self.sizes = np.array([len(w) for _, w in items], np.int64)
@@ -205,7 +205,7 @@ class Index:
         self.levels = []
         of = np.repeat(np.arange(len(items)), np.maximum(0, self.sizes - part + 1))
         at = np.arange(len(of)) - np.searchsorted(of, of)
-        for exact, length, item, offset, d, m in [(True, part, of, at, part_distance, part_distance + 1)] + [(False, c, *np.array(w).T, distance, distance // 2 + 1) for c, w in sorted(windows.items())]:
+        for exact, length, item, offset, d, m in [(True, part, of, at, 0, 1)] + [(False, c, *np.array(w).T, distance, distance // 2 + 1) for c, w in sorted(windows.items())]:
             if len(item):
                 self.levels.append((exact, length, item, offset, Blocks(fingerprints(sums, length)[self.first[item] + offset], d, m)))
         # a shingle weighs less the more items have it
@@ -213,32 +213,60 @@ class Index:
         every = np.concatenate(rows) if rows else np.empty(0, np.uint64)
         self.known, n = np.unique(every, return_counts=True)
         self.weight = 1.0 / n
+        self.low = _U((1 << 20) - 1)
+        self.some = np.zeros(1 << 20, bool)
+        self.some[self.known & self.low] = True
         self.total = np.array([self.weight[np.searchsorted(self.known, r)].sum() for r in rows])
         self.pairs = np.sort(_mix(every + np.repeat(np.arange(len(rows)), [len(r) for r in rows]).astype(np.uint64) * _U(_BASE)))
 
-    def similarity(self, hashes: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray) -> np.ndarray:
+    def _known(self, every: np.ndarray) -> np.ndarray:
+        """The place of each shingle among those that items have, -1 for others."""
+        out = np.full(len(every), -1)
+        at = np.flatnonzero(self.some[every & self.low])
+        place = np.minimum(np.searchsorted(self.known, every[at]), max(0, len(self.known) - 1))
+        if len(at):
+            out[at] = np.where(self.known[place] == every[at], place, -1)
+        return out
+
+    def similarity(self, hashes: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray, wanted: np.ndarray | None = None, threshold: float = 0.0) -> np.ndarray:
         """Weighted Jaccard similarity of the shingles of each window [low, high) with those of the whole item.
 
-        A shingle that repeats counts once; one that no item has weighs 1.
+        A shingle that repeats counts once; one that no item has weighs 1. Windows that are not wanted and cannot reach
+        the threshold, as items have too few of their shingles, get 0 without a closer look.
         """
-        every = shingles(hashes, self.shingle)
-        known = np.minimum(np.searchsorted(self.known, every), max(0, len(self.known) - 1))
-        weight = np.where(self.known[known] == every, self.weight[known], 1.0) if len(self.known) else np.ones(len(every))
-        n = np.maximum(0, high - low - self.shingle + 1)
         out = np.zeros(len(low))
+        if not len(low):
+            return out
+        every = shingles(hashes, self.shingle)
+        known = self._known(every)
+        weight = np.where(known >= 0, self.weight[known], 1.0) if len(self.known) else np.ones(len(every))
+        last = np.maximum(low, high - self.shingle + 1)
+        most = np.r_[0, np.cumsum(np.where(known >= 0, weight, 0.0))]
+        look = (most[np.minimum(last, len(every))] - most[np.minimum(low, len(every))]) >= threshold * self.total[item] - 1e-9
+        rows = np.flatnonzero(look if wanted is None else look | wanted)
+        n = last[rows] - low[rows]
+        # a shingle counts where it has not been in the window before
+        inside = np.zeros(len(every) + 1, np.int64)
+        np.add.at(inside, low[rows][n > 0], 1)
+        np.add.at(inside, last[rows][n > 0], -1)
+        used = np.flatnonzero(np.cumsum(inside)[:-1])
+        order = used[np.argsort(every[used], kind="stable")]
+        before = np.full(len(every), -1)
+        same = every[order[1:]] == every[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
         for a, b in _parts_of(np.cumsum(n), 1_000_000):
-            k = n[a:b]
-            row = np.repeat(np.arange(a, b), k)
-            at = np.repeat(low[a:b], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-            order = np.lexsort((every[at], row))
-            row, at = row[order], at[order]
-            once = np.r_[True, (row[1:] != row[:-1]) | (every[at[1:]] != every[at[:-1]])] if len(row) else np.empty(0, bool)
+            k, part = n[a:b], rows[a:b]
+            row = np.repeat(np.arange(b - a), k)
+            at = np.repeat(low[part], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            once = before[at] < low[part][row]
             row, at = row[once], at[once]
-            code = _mix(every[at] + item[row].astype(np.uint64) * _U(_BASE))
+            own = np.flatnonzero(known[at] >= 0)
+            code = _mix(every[at[own]] + item[part][row[own]].astype(np.uint64) * _U(_BASE))
             place = np.minimum(np.searchsorted(self.pairs, code), max(0, len(self.pairs) - 1))
-            shared = np.bincount(row - a, weight[at] * (self.pairs[place] == code), b - a) if len(self.pairs) else np.zeros(b - a)
-            whole = np.bincount(row - a, weight[at], b - a) + self.total[item[a:b]] - shared
-            out[a:b] = np.divide(shared, whole, out=np.zeros(b - a), where=whole > 0)
+            hit = own[self.pairs[place] == code] if len(own) else own
+            shared = np.bincount(row[hit], weight[at[hit]], b - a)
+            whole = np.bincount(row, weight[at], b - a) + self.total[item[part]] - shared
+            out[part] = np.divide(shared, whole, out=np.zeros(b - a), where=whole > 0)
         return out
 
     def search(self, hashes: np.ndarray, offsets: np.ndarray, threshold: float) -> list[np.ndarray]:
@@ -276,10 +304,7 @@ class Index:
         places, first = np.unique(pair * span + begin + margin, return_index=True)
         low = np.maximum(begin[first], offsets[text[first]])
         high = np.minimum(begin[first] + self.sizes[item[first]], offsets[text[first] + 1])
-        near = self.similarity(hashes, low, high, item[first])
         pairs, back = np.unique(places // span, return_inverse=True)
-        best = np.zeros(len(pairs))
-        np.maximum.at(best, back, near)
         # words covered by equal parts: each adds what the next one does not cover
         exact = part_at >= 0
         covered = np.zeros(len(pairs), np.int64)
@@ -288,6 +313,9 @@ class Index:
             step = np.full(len(which), self.part)
             step[:-1] = np.where(which[1:] == which[:-1], np.minimum(self.part, where[1:] - where[:-1]), self.part)
             np.add.at(covered, which, step)
+        near = self.similarity(hashes, low, high, item[first], covered[back] > 0, threshold)
+        best = np.zeros(len(pairs))
+        np.maximum.at(best, back, near)
         keep = (covered > 0) | (best >= threshold)
         return [pairs[keep] // max(1, len(self.ids)), pairs[keep] % max(1, len(self.ids)), covered[keep], best[keep]]
 
