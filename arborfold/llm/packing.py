@@ -29,6 +29,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 SHARD_ITEMS = 20_000
 ISLANDS, EPOCHS = 3, 3
 POPULATION, OFFSPRING, ELITES = 6, 16, 2
+#: An epoch of an island ends early when so many offspring in a row are no better than its best packing.
+IDLE = 6
 #: Items that a bin-by-bin search for the best two looks through; more are cut into runs of this length, by size in turn.
 SEARCH_ITEMS = 2_000
 
@@ -48,9 +50,8 @@ def token_count(spark: SparkSession, text: Column, vocabulary: str = VOCABULARY)
 
     @F.arrow_udf(IntegerType())
     def count(texts: pa.Array) -> pa.Array:
-        given = [t for t in texts.to_pylist() if t is not None]
-        found = iter(_encoder(ranks.value).encode_ordinary_batch(given, num_threads=1))
-        return pa.array([len(next(found)) if ok else None for ok in texts.is_valid().to_pylist()], pa.int32())
+        encode = _encoder(ranks.value).encode_ordinary  # its batch call took 1.33 s where this took 0.91 s
+        return pa.array([None if t is None else len(encode(t)) for t in texts.to_pylist()], pa.int32())
 
     return count(text)
 
@@ -202,10 +203,13 @@ def evolve(sizes: list[int], capacity: int, start: list[Bins], seed: int, offspr
                 if not n:
                     paired.best_fit(i, n)
             people += [(_value(b), b) for b in (paired, *(first_fit(sizes, capacity, rng) for _ in range(POPULATION - 2)))]
+    idle, best = 0, None
     for _ in range(offspring):
         people.sort(key=lambda p: -p[0])
-        if len(people[0][1].free) <= needed:
-            break  # no packing has fewer bins
+        idle = idle + 1 if people[0][0] == best else 0
+        best = people[0][0]
+        if len(people[0][1].free) <= needed or idle > IDLE:
+            break  # no packing has fewer bins, or none is found
         i, j = rng.integers(0, min(2, len(people))), rng.integers(0, len(people))
         child = crossover(people[i][1], people[j][1], sizes, rng) if i != j else mutate(people[i][1], sizes, rng)
         people = [*people[: POPULATION + ELITES - 1], (_value(child), child)]
