@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 
@@ -10,7 +11,11 @@ from pyspark.sql import SparkSession
 
 def local_session(cores: int = 8, memory: str = "16g", partitions: int = 8) -> SparkSession:
     """A local session with the settings that every query expects (UTC, adaptive plans)."""
-    shared = os.environ.get("ARBORFOLD_CHECKPOINTS") or tempfile.mkdtemp(prefix="arborfold-")
+    shared = os.environ.get("ARBORFOLD_CHECKPOINTS")
+    if not shared:
+        own = tempfile.TemporaryDirectory(prefix="arborfold-", ignore_cleanup_errors=True)
+        atexit.register(own.cleanup)
+        shared = own.name
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("arborfold")
