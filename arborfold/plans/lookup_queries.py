@@ -140,12 +140,14 @@ def s08_save_and_load(spark: SparkSession, folder: str) -> DataFrame:
 @_query(f"{_PART} union all select -1, 1, 'new', 0.5")
 def s09_jdbc_upsert(spark: SparkSession, folder: str) -> DataFrame:
     """Events written to a database table by JDBC, read again, and one row put in twice."""
-    url = f"jdbc:derby:memory:{os.path.basename(Cut(spark).base)};create=true"
+    place = Cut(spark).base.removeprefix("file://").removeprefix("file:")
+    os.makedirs(place, exist_ok=True)
+    url = f"jdbc:derby:{place}/database;create=true"
     store.write_jdbc(_rows(spark, folder).coalesce(4), url, "events", "overwrite")
     stored = store.reader(spark, url)("events")
     known = stored.select(*[F.col(c).alias(c.lower()) for c in stored.columns])
     new = spark.createDataFrame([(-1, 1, "new", 0.5)], known.schema)
-    again = known.limit(1)
+    again = known.where("event_id is not null").orderBy("event_id").limit(1)  # the same one each time that it is computed
     return store.upsert(store.upsert(known, new.unionByName(again), ["event_id"]), new, ["event_id"])
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import gc
+import re
 import sqlite3
 from collections.abc import Iterator
 from urllib.parse import parse_qsl, urlsplit
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborfold.operators.skew import positions
+from arborfold.plans.cut import Cut, _delete
 
 FORMAT_VERSION = 1
 
@@ -76,7 +79,8 @@ def reader(spark: SparkSession, url: str):  # noqa: ANN201
     """A function from table name to DataFrame for a place.
 
     parquet:FOLDER, json:FOLDER, orc:FOLDER; sqlite:FILE (read by ranges of rows); postgres://... and jdbc:URL (a driver
-    must be there); memory: (temporary views). Anything else is an error that says what would do.
+    must be there; what only the driver's process can reach is read at once, see read_embedded()); memory: (temporary
+    views). Anything else is an error that says what would do.
     """
     kind, sep, rest = url.partition(":")
     if kind in ("parquet", "json", "orc") and rest:
@@ -91,6 +95,8 @@ def reader(spark: SparkSession, url: str):  # noqa: ANN201
         parts = urlsplit(rest)
         options = dict(parse_qsl(parts.query))
         plain = f"jdbc:{rest.split('?')[0]}"
+        if _embedded(spark, plain):
+            return lambda name: read_embedded(spark, dict(url=plain, dbtable=name, **options))
         return lambda name: spark.read.format("jdbc").options(url=plain, dbtable=name, **options).load()
     if kind == "memory" and sep:
         return spark.table
@@ -129,8 +135,73 @@ def read_sqlite(spark: SparkSession, file: str, name: str, range_rows: int = 500
 
 
 def write_jdbc(df: DataFrame, url: str, name: str, mode: str = "append") -> None:
-    """A table of a database by JDBC, written in parallel."""
-    df.write.format("jdbc").options(url=url, dbtable=name).mode(mode).save()
+    """A table of a database by JDBC, written in parallel; by the driver alone if no other process can reach the database.
+
+    The driver then takes written files of EMBEDDED_ROWS rows one after the other.
+    """
+    spark = df.sparkSession
+    if not _embedded(spark, url):
+        df.write.format("jdbc").options(url=url, dbtable=name).mode(mode).save()
+        return
+    jvm = spark.sparkContext._jvm
+    utils, options, dialect = _jdbc(spark, {"url": url, "dbtable": name})
+    with contextlib.closing(dialect.createConnectionFactory(options).apply(-1)) as con:
+        kept = mode == "ignore" and utils.tableExists(con, options)
+    if kept:
+        return
+    spark.createDataFrame([], df.schema).write.format("jdbc").options(url=url, dbtable=name).mode(mode).save()  # no rows, no tasks: the table is made here
+    with contextlib.closing(dialect.createConnectionFactory(options).apply(-1)) as con:
+        there = utils.getSchemaOption(con, options)
+    schema = df._jdf.schema()
+    statement = utils.getInsertStatement(name, schema, there, spark.conf.get("spark.sql.caseSensitive") == "true", dialect)
+    cut = Cut(spark)
+    df.write.option("maxRecordsPerFile", EMBEDDED_ROWS).parquet(f"{cut.base}/rows")
+    context = getattr(getattr(jvm.org.apache.spark, "TaskContext$"), "MODULE$")
+    for file in spark.read.schema(df.schema).parquet(f"{cut.base}/rows").inputFiles():  # a transaction each
+        rows = spark.read.schema(df.schema).parquet(file)._jdf.collectAsList()
+        context.setTaskContext(context.empty())  # it counts the rows there; no job can run in a thread that has one
+        try:
+            utils.savePartition(name, jvm.scala.jdk.javaapi.CollectionConverters.asScala(rows.iterator()), schema, statement, options.batchSize(), dialect, options.isolationLevel(), options)
+        finally:
+            context.unset()
+        del rows
+        gc.collect()  # Python's handles of Java objects are in cycles; till these are gone the JVM keeps the rows
+    _delete(spark, cut.base)
+
+
+#: Rows that the driver holds at a time on their way into or out of an embedded database.
+EMBEDDED_ROWS = 100_000
+
+
+def _embedded(spark: SparkSession, url: str) -> bool:
+    """Whether the database runs in the driver's process (Derby without a server) and the executors are other processes."""
+    return re.match("jdbc:derby:(?!//)", url) is not None and not spark.sparkContext._jsc.sc().isLocal()
+
+
+def _jdbc(spark: SparkSession, options: dict[str, str]):  # noqa: ANN202
+    """Spark's functions, options and dialect for a table."""
+    jvm = spark.sparkContext._jvm
+    jdbc = jvm.org.apache.spark.sql.execution.datasources.jdbc
+    return jdbc.JdbcUtils, jdbc.JdbcOptionsInWrite(jvm.PythonUtils.toScalaMap(options)), jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(options["url"])
+
+
+def read_embedded(spark: SparkSession, options: dict[str, str]) -> DataFrame:
+    """A table of a database in the driver's process as it is now: the driver reads it and executors get it as a written table."""
+    to_java = spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava
+    schema = spark.read.format("jdbc").options(**options).load().schema
+    place = f"{Cut(spark).base}/embedded"
+    none = spark.createDataFrame([], schema)
+    none.write.parquet(place)
+    utils, jdbc_options, dialect = _jdbc(spark, options)
+    with contextlib.closing(dialect.createConnectionFactory(jdbc_options).apply(-1)) as con:
+        rows = con.createStatement().executeQuery(f"select * from {options['dbtable']}")
+        groups = utils.resultSetToRows(rows, none._jdf.schema()).grouped(EMBEDDED_ROWS)
+        while groups.hasNext():
+            part = spark._jsparkSession.createDataFrame(to_java(groups.next()), none._jdf.schema())
+            DataFrame(part, spark).coalesce(1).write.mode("append").parquet(place)
+            del part
+            gc.collect()  # see write_jdbc()
+    return spark.read.schema(schema).parquet(place)
 
 
 def upsert(stored: DataFrame, arriving: DataFrame, keys: list[str]) -> DataFrame:
