@@ -6,9 +6,10 @@ import random
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from arborfold.operators import hierarchy
+from arborfold.operators import hierarchy, sync
 from tests.test_hierarchy import random_links
 from tools import compare
 
@@ -192,3 +193,19 @@ def test_fanout_and_queues_of_every_entry(spark, tmp_path):
     assert len(got) == len(want) and set(got) == want
     queues = {r["peer"]: (r["n_entries"], r["first_entry"], r["last_entry"]) for r in ours(spark, str(tmp_path), "y04_queue_drain")}
     assert queues == {"p": (12, "e0", "e9"), "q": (12, "e0", "e9")}
+
+
+def test_fanout_of_a_large_tree_is_shared_out(spark, monkeypatch):
+    """One tree makes nearly all rows; no task has more than a fourth of them, and none is lost or doubled."""
+    monkeypatch.setattr(sync, "PART_ROWS", 500, raising=False)
+    monkeypatch.setattr(sync, "TASK_ROWS", 2_000, raising=False)
+    entries = [("big", f"e{i}") for i in range(400)] + [("small", f"s{i}") for i in range(5)] + [("off", "o"), (None, "x"), ("nobody's", "y")]
+    peers = [("big", f"p{i}") for i in range(50)] + [("small", "p0"), ("off", "p1")]
+    settings = [("big", True, True), ("small", True, True), ("off", True, None), ("nobody's", True, True)]
+    df = sync.fan_out(spark.createDataFrame(entries, "tree_id string, entry_id string"), spark.createDataFrame(peers, "tree_id string, peer string"), spark.createDataFrame(settings, "tree_id string, sync_enabled boolean, sync_on_commit boolean"))
+    got = [(r["peer"], r["tree_id"], r["entry_id"]) for r in df.collect()]
+    want = {(p, t, e) for t, e in entries for u, p in peers if t == u and t in ("big", "small")}
+    assert len(got) == len(want) == 20_005 and set(got) == want
+    each = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(each) < len(want) / 4
+    assert sync.fan_out(df.select("tree_id", "entry_id").limit(0), spark.createDataFrame(peers, "tree_id string, peer string"), spark.createDataFrame(settings, "tree_id string, sync_enabled boolean, sync_on_commit boolean")).count() == 0
